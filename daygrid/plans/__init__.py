@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("scans", "panels")
+FAMILIES = ("scans", "panels", "regression")
 
 
 def load() -> None:
