@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("scans", "panels", "regression")
+FAMILIES = ("scans", "panels", "regression", "inference", "checks")
 
 
 def load() -> None:
