@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daygrid.functions.stats import corr_from_sums, effective_n, fisher_z_columns
-from daygrid.session import stable
+from daygrid.session import checked_broadcast, stable
 
 HASH_DIGITS = 12
 
@@ -33,13 +33,20 @@ def block_start(seed: Column, rep: Column, block_no: Column, n: Column, block: i
     return F.conv(digits, 16, 10).cast("long") % (n - (block - 1))
 
 
+def df_parallelism(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def block_draws(cells: DataFrame, keys: Sequence[str], reps: int, block: int) -> DataFrame:
     """(keys, rep, block_no, start, length) from one row per series (keys, n_rows, seed).
 
     Replicates are spread over the cluster before they unfold into blocks, by
-    the columns the replicates are later grouped on.
+    the columns they are later grouped on. The number of partitions is given,
+    as adaptive execution would merge the few input rows into one task.
     """
-    per_rep = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(*keys, "rep")
+    tasks = df_parallelism(cells)
+    per_rep = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(tasks, *keys, "rep")
     n_blocks = F.ceil(F.col("n_rows") / F.lit(float(block))).cast("int")
     drawn = per_rep.withColumn("block_no", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     left = F.col("n_rows") - F.col("block_no") * block
@@ -86,14 +93,15 @@ def replicate_sums(
 ) -> DataFrame:
     """(keys, rep, sums) from the drawn blocks.
 
-    The block table is written first, so the optimizer knows its size: when it
-    is small the draws meet it by broadcast and are grouped where they already
-    are, without another shuffle.
+    The block table is written and counted first: when it is small the draws
+    meet it by broadcast and are grouped where they already are, without another
+    shuffle. Every draw has its block, so the outer join drops nothing and only
+    spares the hash from being computed once more for a null test.
     """
     sums = stable(block_sums(positioned, keys, terms, block), "blocks")
     cells = series_cells(positioned, keys, seed).filter(F.col("n_rows") >= block)
     drawn = block_draws(cells, keys, reps, block)
-    joined = drawn.join(sums, [*keys, "start", "length"])
+    joined = drawn.join(checked_broadcast(sums), [*keys, "start", "length"], "left")
     return joined.groupBy(*keys, "rep").agg(*(F.sum(n).alias(n) for n in terms))
 
 
@@ -154,7 +162,8 @@ def stat_interval(
     cells = series_cells(pos, keys, seed).filter(F.col("n_rows") >= block)
     drawn = block_draws(cells, keys, reps, block)
     picked = drawn.withColumn("pos", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)))
-    boots = picked.join(pos.drop("n_rows"), [*keys, "pos"]).groupBy(*keys, "rep").agg(statistic.alias("value"))
+    rows = checked_broadcast(stable(pos.drop("n_rows"), "rows"))
+    boots = picked.join(rows, [*keys, "pos"], "left").groupBy(*keys, "rep").agg(statistic.alias("value"))
     point = df.groupBy(*keys).agg(statistic.alias("point"))
     return point.join(interval(boots, keys, F.col("value")), list(keys))
 

@@ -20,16 +20,12 @@ def city_events(df: DataFrame, out: str = "event_count") -> DataFrame:
 def area_weights(areas: DataFrame, minimum: float = 1e-4) -> DataFrame:
     """Share of each precinct's area per zone; slivers are dropped, the rest sums to 1.
 
-    One row per (precinct, zone) pair; a plain grouped sum is joined back
-    instead of a window so that a big precinct is reduced map-side.
+    ``areas`` has one row per (precinct, zone), so a window holds at most the
+    zones of one precinct; both totals share one shuffle.
     """
-    whole = areas.groupBy("precinct").agg(F.sum("area").alias("_whole"))
-    share = areas.join(whole, "precinct").withColumn("_share", F.col("area") / F.col("_whole"))
-    kept = share.filter(F.col("_share") >= minimum)
-    norm = Window.partitionBy("precinct")
-    return kept.select(
-        "precinct", "LocationID", (F.col("_share") / F.sum("_share").over(norm)).alias("weight")
-    )
+    w = Window.partitionBy("precinct")
+    share = areas.withColumn("_share", F.col("area") / F.sum("area").over(w)).filter(F.col("_share") >= minimum)
+    return share.select("precinct", "LocationID", (F.col("_share") / F.sum("_share").over(w)).alias("weight"))
 
 
 def precinct_pairs(df: DataFrame) -> DataFrame:

@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,10 @@ from pyspark.sql import types as T
 from daygrid.config import SearchSettings
 from daygrid.session import stable
 
+# The helpers below run inside tasks. Sent by value, they need no copy of this
+# package on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RANK_CUTOFF = 1e-10
 SALTS = 8
 FLUSH_GROUPS = 256
@@ -115,22 +121,27 @@ class _Moments:
         return np.vstack([self.y_mean - self.x_mean @ b, b])
 
 
-def fit_ols(df: DataFrame, keys: Sequence[str], xs: Sequence[str], ys: Sequence[str], train: Column) -> DataFrame:
-    """Least squares of every target on [1, xs], per group, from one pass over train rows.
+def fit_ols(df: DataFrame, keys: Sequence[str], specs: dict[str, Sequence[str]], train: Column) -> DataFrame:
+    """Least squares of every target on an intercept and its columns, per group.
 
-    Rank-deficient designs get the minimum-norm solution. One row per group
-    with an array ``coef_<y>`` of intercept and coefficients.
+    ``specs`` maps target to columns; all fits share one Gram pass over the
+    train rows. Rank-deficient designs get the minimum-norm solution. One row
+    per group with an array ``coef_<target>`` of intercept and coefficients.
     """
-    keys, xs, ys = list(keys), list(xs), list(ys)
-    p = len(xs) + 1
-    out = T.StructType([*_key_fields(df, keys), *(T.StructField(f"coef_{y}", T.ArrayType(T.DoubleType())) for y in ys)])
+    keys = list(keys)
+    cols = list(dict.fromkeys([*(x for xs in specs.values() for x in xs), *specs]))
+    vec = T.ArrayType(T.DoubleType())
+    out = T.StructType([*_key_fields(df, keys), *(T.StructField(f"coef_{y}", vec) for y in specs)])
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _Moments(_square(pdf, p + len(ys)), range(1, p), range(p, p + len(ys)))
-        coef = m.raw(m.least_squares())
-        return pd.DataFrame([[*key, *(coef[:, t].tolist() for t in range(len(ys)))]], columns=out.names)
-
-    cells = gram_cells(df.filter(train), keys, [*xs, *ys])
+        g = _square(pdf, len(cols) + 1)
+        fitted = []
+        for y, xs in specs.items():
+            m = _Moments(g, [cols.index(x) + 1 for x in xs], [cols.index(y) + 1])
+            fitted.append(m.raw(m.least_squares())[:, 0].tolist())
+        return pd.DataFrame([[*key, *fitted]], columns=out.names)
+
+    cells = gram_cells(df.filter(train), keys, cols)
     return stable(cells.groupBy(*keys).applyInPandas(solve, out), "ols")
 
 
@@ -143,14 +154,13 @@ def linear_value(xs: Sequence[str], coef: str) -> Column:
 
 
 def residuals(
-    df: DataFrame, keys: Sequence[str], xs: Sequence[str], ys: Sequence[str], train: Column, names: dict[str, str] | None = None
+    df: DataFrame, keys: Sequence[str], specs: dict[str, Sequence[str]], train: Column, names: dict[str, str]
 ) -> DataFrame:
-    """Add y - fitted(y) for every target; models are fitted on train rows only."""
-    names = names or {y: f"resid_{y}" for y in ys}
-    models = fit_ols(df, keys, xs, ys, train)
+    """Add y - fitted(y) under ``names[y]`` for every target; fitted on train rows only."""
+    models = fit_ols(df, keys, specs, train)
     joined = df.join(models, list(keys))
     return joined.select(
-        *df.columns, *((F.col(y) - linear_value(xs, f"coef_{y}")).alias(names[y]) for y in ys)
+        *df.columns, *((F.col(y) - linear_value(xs, f"coef_{y}")).alias(names[y]) for y, xs in specs.items())
     )
 
 

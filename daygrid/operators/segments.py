@@ -18,12 +18,15 @@ AXES = (
 
 
 def time_slot(ts: Column, windows: TimeWindows) -> Column:
+    return slot_at(F.weekday(ts), F.hour(ts), windows)
+
+
+def slot_at(weekday: Column, hour: Column, windows: TimeWindows) -> Column:
     """``time_wdAM`` on weekday mornings, ``time_weMID`` around weekend noon, else null.
 
     The only definition of the time windows; every mode goes through it.
     """
-    weekend = F.weekday(ts) >= 5
-    hour = F.hour(ts)
+    weekend = weekday >= 5
     return F.when(~weekend & hour.isin(list(windows.weekday_morning)), F.lit(COMMUTE)).when(
         weekend & hour.isin(list(windows.weekend_midday)), F.lit(LEISURE)
     )

@@ -90,7 +90,7 @@ def leak_fit(spark: SparkSession, d: str) -> DataFrame:
     distorted = series.withColumn("y", F.when(t.is_train(), F.col("y")).otherwise(F.col("y") * 10 + 500))
     parts = []
     for source in (series, distorted):
-        models = linear.fit_ols(source, ["target"], BASELINE, ["y"], t.is_train())
+        models = linear.fit_ols(source, ["target"], {"y": BASELINE}, t.is_train())
         fitted = series.join(models, "target").select("target", "date", linear.linear_value(BASELINE, "coef_y").alias("fit"))
         parts.append(fitted)
     return quality.differing(parts[0], parts[1], ["date", "target"], ["fit"])
@@ -103,7 +103,7 @@ def leak_climate(spark: SparkSession, d: str) -> DataFrame:
     distorted = exo.withColumns({v: F.when(t.is_train(), F.col(v)).otherwise(F.col(v) * 10 + 500) for v in t.EXO})
     parts = []
     for source in (exo, distorted):
-        models = linear.fit_ols(source, ["g"], harmonic_names(), t.EXO, t.is_train())
+        models = linear.fit_ols(source, ["g"], dict.fromkeys(t.EXO, harmonic_names()), t.is_train())
         fits = [linear.linear_value(harmonic_names(), f"coef_{v}").alias(v) for v in t.EXO]
         parts.append(exo.drop(*t.EXO).join(models, "g").select("date", *fits))
     return quality.differing(parts[0], parts[1], ["date"], t.EXO)

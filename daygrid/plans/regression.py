@@ -93,7 +93,7 @@ def _test_r2(prefix: str, source: str, keys: list[str]) -> tuple[str, str]:
 @query("calendar_residual", with_ctes(["series", "exo"], f"SELECT date, target, {r6('resid')} FROM res", _SERIES_RES))
 def calendar_residual(spark: SparkSession, d: str) -> DataFrame:
     series = stable(t.with_calendar(t.target_series(spark, d)), "series")
-    out = linear.residuals(series, ["target"], BASELINE, ["y"], t.is_train(), {"y": "resid"})
+    out = linear.residuals(series, ["target"], {"y": BASELINE}, t.is_train(), {"y": "resid"})
     return t.rounded(out.select("date", "target", "resid"))
 
 
@@ -213,7 +213,7 @@ _CLEAN_RES = [
 )
 def resid_anom_corr(spark: SparkSession, d: str) -> DataFrame:
     rows = stable(_clean(spark, d), "clean")
-    res = linear.residuals(rows, ["target"], BASELINE, ["y"], t.is_train(), {"y": "resid"})
+    res = linear.residuals(rows, ["target"], {"y": BASELINE}, t.is_train(), {"y": "resid"})
     wide = metrics.correlations(res, ["target"], "resid", {a: a for a in ANOM})
     return t.rounded(wide.unpivot("target", ANOM, "anomaly", "corr_with_residual"))
 
@@ -650,7 +650,7 @@ def series_ablation(spark: SparkSession, d: str) -> DataFrame:
     rows = stable(t.with_split(_clean(spark, d)), "clean")
     models = linear.search_ridge(rows, ["target"], CONDITION_COLUMNS, "y", t.is_train(), SearchSettings(), SERIES_RIDGE_ALPHA)
     pred = linear.predict(rows.filter(~t.is_train()), models, ["target"], CONDITION_COLUMNS).withColumn("model", F.lit("Linear"))
-    base = linear.residuals(rows, ["target"], BASELINE, ["y"], t.is_train(), {"y": "resid"}).filter(~t.is_train())
+    base = linear.residuals(rows, ["target"], {"y": BASELINE}, t.is_train(), {"y": "resid"}).filter(~t.is_train())
     base = base.select("target", "split", "y", F.lit("BASE").alias("condition"), (F.col("y") - F.col("resid")).alias("pred"), F.lit("Baseline").alias("model"))
     both = pred.select(*base.columns).unionByName(base)
     return t.rounded(metrics.score_splits(both, ["target", "condition", "model"], "y", "pred"))

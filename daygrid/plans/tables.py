@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from daygrid.functions.calendar import calendar_block, calendar_names, date_spine, harmonic_names
 from daygrid.functions.stats import tidy
 from daygrid.operators.counts import pivot_types, top_keys
-from daygrid.operators.events import area_weights, city_events, collapse_events, with_daily_total, zone_event_mass
+from daygrid.operators.events import area_weights, city_events, with_daily_total, zone_event_mass
 from daygrid.operators.features import by_day, panel_features, series_lag_columns, split_label
 from daygrid.operators.grid import complete_grid, fill_grid, join_daily, join_zone_events
 from daygrid.operators.linear import residuals
@@ -56,8 +56,11 @@ def zone_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def demand_panel(spark: SparkSession, d: str) -> DataFrame:
+    return grid_of(zone_counts(spark, d))
+
+
+def grid_of(counts: DataFrame) -> DataFrame:
     """Complete date x zone grid of the top zones by train demand."""
-    counts = zone_counts(spark, d)
     top = top_keys(counts, "zone", "demand", PERIOD.train_end, PANEL.top_n, PANEL.exclude).select("zone")
     return fill_grid(complete_grid(top, PERIOD), counts, ["date", "zone"], "demand")
 
@@ -67,16 +70,22 @@ def crosswalk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def permits(spark: SparkSession, d: str) -> DataFrame:
-    return collapse_events(sample.permit_rows(spark, d)).filter(
-        F.col("day").between(F.lit(PERIOD.start), F.lit(PERIOD.end))
-    )
+    """Permit rows of the period. Duplicates are left to the distinct counts that follow."""
+    return sample.permit_rows(spark, d, PERIOD)
 
 
 def merged_panel(spark: SparkSession, d: str) -> DataFrame:
     """Panel with daily variables and the three event encodings."""
+    # One pass over the lines serves both the demand and the area weights.
+    flows = stable(
+        sample.routes(spark, d).groupBy("date", "zone", "origin").agg(F.sum("n").cast("double").alias("n")), "flows"
+    )
+    inside = flows.filter(F.col("date").between(F.lit(PERIOD.start), F.lit(PERIOD.end)))
+    counts = inside.groupBy("date", "zone").agg(F.sum("n").alias("demand"))
+    weights = area_weights(sample.flow_areas(flows), sample.MIN_AREA_SHARE)
     rows = stable(permits(spark, d), "permits")
-    zone_events = zone_event_mass(rows, crosswalk(spark, d), "event_count_zone")
-    panel = join_daily(demand_panel(spark, d), sample.exo_daily(spark, d).select("date", *EXO), PERIOD)
+    zone_events = zone_event_mass(rows, weights, "event_count_zone")
+    panel = join_daily(grid_of(counts), sample.exo_daily(spark, d).select("date", *EXO), PERIOD)
     panel = join_daily(panel, city_events(rows), PERIOD).withColumn(
         "event_count", F.coalesce(F.col("event_count"), F.lit(0)).cast("long")
     )
@@ -107,7 +116,7 @@ def with_calendar(df: DataFrame) -> DataFrame:
 def anomalies(spark: SparkSession, d: str) -> DataFrame:
     """(date, anom_*): outside variables minus their train day-of-year climate."""
     exo = stable(with_calendar(sample.exo_daily(spark, d).select("date", *EXO, F.lit(1).alias("g"))), "exo")
-    out = residuals(exo, ["g"], CLIMATE, EXO, is_train(), {v: f"anom_{v}" for v in EXO})
+    out = residuals(exo, ["g"], dict.fromkeys(EXO, CLIMATE), is_train(), {v: f"anom_{v}" for v in EXO})
     return out.select("date", *ANOMALIES)
 
 
@@ -136,8 +145,8 @@ def mode_segment_table(spark: SparkSession, d: str) -> DataFrame:
 def with_residuals(df: DataFrame, keys: list[str], y: str, exo: list[str] = EXO) -> DataFrame:
     """Add ``resid`` (y minus its calendar baseline) and ``anom_*``, fitted per group on train rows."""
     base = df.withColumn("y", F.col(y).cast("double"))
-    out = residuals(base, keys, BASELINE, ["y"], is_train(), {"y": "resid"})
-    return residuals(out, keys, CLIMATE, exo, is_train(), {v: f"anom_{v}" for v in exo})
+    specs = {"y": BASELINE, **dict.fromkeys(exo, CLIMATE)}
+    return residuals(base, keys, specs, is_train(), {"y": "resid", **{v: f"anom_{v}" for v in exo}})
 
 
 def with_split(df: DataFrame) -> DataFrame:

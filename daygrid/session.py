@@ -24,6 +24,7 @@ def local_session(cores: int | str = 8, app: str = "daygrid") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -59,6 +60,16 @@ def stable(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a written table, given only after its rows were counted.
+
+    The count of a Parquet table comes from file footers. A table over the
+    limit is sent to a sort-merge join instead, which also keeps the optimizer
+    from broadcasting the other side on a wrong estimate.
+    """
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
 def bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint for a side whose row count is bounded by construction."""
     return F.broadcast(df) if max_rows <= BROADCAST_ROWS else df

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from daygrid.config import PanelSettings, Period, SeriesSettings, TimeWindows
 from daygrid.functions.calendar import date_spine, within
-from daygrid.operators.segments import count_segments, sum_segments, time_slot, trip_rules
+from daygrid.operators.segments import count_segments, slot_at, sum_segments, trip_rules
 from daygrid.session import bounded
 from daygrid.sources.readers import read_table
 
@@ -35,10 +35,9 @@ def user_type() -> Column:
     return F.when(F.col("l_linestatus") == "O", F.lit("member")).otherwise(F.lit("casual"))
 
 
-def started_at() -> Column:
-    """Ship day plus an hour of day taken from the line's keys."""
-    hour = (F.col("l_orderkey") + F.col("l_linenumber") * 5) % 24
-    return F.col("l_shipdate") + F.make_dt_interval(F.lit(0), hour.cast("int"))
+def trip_hour() -> Column:
+    """Hour of day of a line, taken from its keys, as ship days carry no time."""
+    return (F.col("l_orderkey") + F.col("l_linenumber") * 5) % 24
 
 
 def day_zone_counts(spark: SparkSession, folder: str, period: Period | None = None) -> DataFrame:
@@ -78,7 +77,7 @@ def routes(spark: SparkSession, folder: str, period: Period | None = None) -> Da
         "l_suppkey",
         F.to_date("l_shipdate").alias("date"),
         user_type().alias("member_casual"),
-        time_slot(started_at(), SAMPLE_WINDOWS).alias("slot"),
+        slot_at(F.weekday("l_shipdate"), trip_hour(), SAMPLE_WINDOWS).alias("slot"),
     )
     counted = (
         raw.join(origin, raw.l_orderkey == origin.o_orderkey)
@@ -163,31 +162,38 @@ def zone_lookup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def permit_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """(event_id, day, police_precinct): one row per order and day, the set of its
-    suppliers' nations as a comma list. Pairs are made distinct before grouping,
-    so a set never holds more than the number of nations.
+def permit_rows(spark: SparkSession, folder: str, period: Period | None = None) -> DataFrame:
+    """(event_id, day, police_precinct): one row per order, its suppliers' nations as a comma list.
+
+    Nation keys run from 0 to 24, so the set of one order is a bit mask: a plain
+    hash aggregation that combines map-side, however many lines an order has.
     """
-    pairs = read_table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    raw = read_table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey")
     zones = read_table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    nations = (
-        pairs.join(zones, pairs.l_suppkey == zones.s_suppkey)
+    masks = (
+        raw.join(zones, raw.l_suppkey == zones.s_suppkey)
         .groupBy("l_orderkey")
-        .agg(F.array_sort(F.collect_set("s_nationkey")).alias("ids"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, s_nationkey)")).alias("mask"))
     )
-    listed = F.concat(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), F.lit(","))
-    orders = read_table(spark, folder, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    return nations.join(orders, nations.l_orderkey == orders.o_orderkey).select(
+    ids = F.filter(F.sequence(F.lit(0), F.lit(24)), lambda i: F.getbit(F.col("mask"), i) == 1)
+    listed = F.concat(F.array_join(F.transform(ids, lambda i: i.cast("string")), ","), F.lit(","))
+    orders = read_table(spark, folder, "orders")
+    if period:
+        orders = orders.filter(within(F.col("o_orderdate"), period.start, period.end))
+    orders = orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return masks.join(orders, masks.l_orderkey == orders.o_orderkey).select(
         F.col("l_orderkey").alias("event_id"), "day", listed.alias("police_precinct")
     )
 
 
 def overlap_areas(spark: SparkSession, folder: str) -> DataFrame:
     """(precinct, LocationID, area): lines shared by a supplier and a customer nation."""
-    return (
-        routes(spark, folder)
-        .groupBy(F.col("zone").alias("precinct"), F.col("origin").alias("LocationID"))
-        .agg(F.sum("n").cast("double").alias("area"))
+    return flow_areas(routes(spark, folder))
+
+
+def flow_areas(flows: DataFrame) -> DataFrame:
+    return flows.groupBy(F.col("zone").alias("precinct"), F.col("origin").alias("LocationID")).agg(
+        F.sum("n").cast("double").alias("area")
     )
 
 
@@ -209,6 +215,7 @@ __all__ = [
     "day_type_counts",
     "day_zone_counts",
     "exo_daily",
+    "flow_areas",
     "hourly_events",
     "lines",
     "order_hours",
@@ -216,7 +223,7 @@ __all__ = [
     "overlap_areas",
     "permit_rows",
     "routes",
-    "started_at",
+    "trip_hour",
     "trip_segments",
     "user_type",
     "zone_lookup",
