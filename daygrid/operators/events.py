@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from daygrid.functions.text import parse_id_list
 from daygrid.operators.counts import distinct_per
+from daygrid.session import checked_broadcast
 
 
 def collapse_events(df: DataFrame) -> DataFrame:
@@ -40,10 +41,11 @@ def zone_event_mass(df: DataFrame, weights: DataFrame, out: str = "event_count")
 
     Events are counted per (date, precinct) before they meet the weights, so
     the weight join handles days x precincts rows whatever the event volume.
+    The weights are a written lookup table, broadcast only if it is small.
     """
     counted = precinct_pairs(df).groupBy("date", "precinct").agg(F.count(F.lit(1)).alias("_n"))
     return (
-        counted.join(weights, "precinct")
+        counted.join(checked_broadcast(weights), "precinct")
         .groupBy("date", F.col("LocationID").alias("zone"))
         .agg(F.sum(F.col("_n") * F.col("weight")).alias(out))
         .filter(F.col(out) > 0)

@@ -66,7 +66,8 @@ def grid_of(counts: DataFrame) -> DataFrame:
 
 
 def crosswalk(spark: SparkSession, d: str) -> DataFrame:
-    return area_weights(sample.overlap_areas(spark, d), sample.MIN_AREA_SHARE)
+    """The weight lookup, written once: a small table that outlives the raw lines."""
+    return stable(area_weights(sample.overlap_areas(spark, d), sample.MIN_AREA_SHARE), "weights")
 
 
 def permits(spark: SparkSession, d: str) -> DataFrame:
@@ -77,12 +78,10 @@ def permits(spark: SparkSession, d: str) -> DataFrame:
 def merged_panel(spark: SparkSession, d: str) -> DataFrame:
     """Panel with daily variables and the three event encodings."""
     # One pass over the lines serves both the demand and the area weights.
-    flows = stable(
-        sample.routes(spark, d).groupBy("date", "zone", "origin").agg(F.sum("n").cast("double").alias("n")), "flows"
-    )
+    flows = stable(sample.flows(spark, d), "flows")
     inside = flows.filter(F.col("date").between(F.lit(PERIOD.start), F.lit(PERIOD.end)))
     counts = inside.groupBy("date", "zone").agg(F.sum("n").alias("demand"))
-    weights = area_weights(sample.flow_areas(flows), sample.MIN_AREA_SHARE)
+    weights = stable(area_weights(sample.flow_areas(flows), sample.MIN_AREA_SHARE), "weights")
     rows = stable(permits(spark, d), "permits")
     zone_events = zone_event_mass(rows, weights, "event_count_zone")
     panel = join_daily(grid_of(counts), sample.exo_daily(spark, d).select("date", *EXO), PERIOD)

@@ -63,47 +63,57 @@ def day_type_counts(spark: SparkSession, folder: str, period: Period | None = No
     )
 
 
-def routes(spark: SparkSession, folder: str, period: Period | None = None) -> DataFrame:
-    """Identical trips with their number ``n``.
+def _trip_groups(
+    spark: SparkSession, folder: str, period: Period | None, facets: dict[str, Column]
+) -> DataFrame:
+    """Lines counted per (date, supplier nation, customer nation, facets).
 
     Orders meet customers first (the smaller pair), the lines are joined once
     on the order key and are then counted per supplier before that join.
     """
     orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    homes = read_table(spark, folder, "customer").select("c_custkey", "c_nationkey")
-    origin = orders.join(homes, orders.o_custkey == homes.c_custkey).select("o_orderkey", "c_nationkey")
+    homes = read_table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("origin"))
+    origin = orders.join(homes, orders.o_custkey == homes.c_custkey).select("o_orderkey", "origin")
     raw = lines(spark, folder, period).select(
-        "l_orderkey",
-        "l_suppkey",
-        F.to_date("l_shipdate").alias("date"),
-        user_type().alias("member_casual"),
-        slot_at(F.weekday("l_shipdate"), trip_hour(), SAMPLE_WINDOWS).alias("slot"),
+        "l_orderkey", "l_suppkey", F.to_date("l_shipdate").alias("date"), *(c.alias(n) for n, c in facets.items())
     )
     counted = (
         raw.join(origin, raw.l_orderkey == origin.o_orderkey)
-        .groupBy(
-            "date",
-            "member_casual",
-            "slot",
-            "l_suppkey",
-            "c_nationkey",
-            (F.col("l_orderkey") % 97 != 0).alias("known"),
-        )
+        .groupBy("date", "l_suppkey", "origin", *facets)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    zones = read_table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    return counted.join(zones, counted.l_suppkey == zones.s_suppkey).select(
+    zones = read_table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("zone"))
+    return counted.join(zones, counted.l_suppkey == zones.s_suppkey).select("date", "zone", "origin", *facets, "n")
+
+
+def routes(spark: SparkSession, folder: str, period: Period | None = None) -> DataFrame:
+    """Identical trips with their number ``n``: user type, time slot and both stations."""
+    facets = {
+        "member_casual": user_type(),
+        "slot": slot_at(F.weekday("l_shipdate"), trip_hour(), SAMPLE_WINDOWS),
+        "known": F.col("l_orderkey") % 97 != 0,
+    }
+    groups = _trip_groups(spark, folder, period, facets)
+
+    def station(c: str) -> Column:
+        return F.when(F.col("known"), F.col(c).cast("string"))
+
+    return groups.select(
         "date",
         "member_casual",
         "slot",
-        F.col("s_nationkey").alias("zone"),
-        F.col("c_nationkey").alias("origin"),
-        F.when(F.col("known"), F.col("c_nationkey").cast("string")).alias("start_station_id"),
-        F.when(F.col("known"), F.col("s_nationkey").cast("string")).alias("end_station_id"),
+        station("origin").alias("start_station_id"),
+        station("zone").alias("end_station_id"),
         "n",
     )
 
 
+def flows(spark: SparkSession, folder: str, period: Period | None = None) -> DataFrame:
+    """(date, zone, origin, n): at most days x zones x zones rows, however many lines."""
+    groups = _trip_groups(spark, folder, period, {})
+    return groups.groupBy("date", "zone", "origin").agg(F.sum("n").cast("double").alias("n"))
+
+
 def trip_segments(spark: SparkSession, folder: str, period: Period = SAMPLE_PERIOD) -> DataFrame:
     """(date, segment, n) for the seven trip segments, from one pass over the lines."""
     return count_segments(routes(spark, folder, period), trip_rules(F.col("slot")), weight="n")
@@ -188,11 +198,11 @@ def permit_rows(spark: SparkSession, folder: str, period: Period | None = None)
 
 def overlap_areas(spark: SparkSession, folder: str) -> DataFrame:
     """(precinct, LocationID, area): lines shared by a supplier and a customer nation."""
-    return flow_areas(routes(spark, folder))
+    return flow_areas(flows(spark, folder))
 
 
-def flow_areas(flows: DataFrame) -> DataFrame:
-    return flows.groupBy(F.col("zone").alias("precinct"), F.col("origin").alias("LocationID")).agg(
+def flow_areas(counted: DataFrame) -> DataFrame:
+    return counted.groupBy(F.col("zone").alias("precinct"), F.col("origin").alias("LocationID")).agg(
         F.sum("n").cast("double").alias("area")
     )
 
@@ -216,6 +226,7 @@ __all__ = [
     "day_zone_counts",
     "exo_daily",
     "flow_areas",
+    "flows",
     "hourly_events",
     "lines",
     "order_hours",
