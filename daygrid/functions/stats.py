@@ -41,15 +41,17 @@ def erf(x: Column) -> Column:
 
     total = F.aggregate(F.sequence(F.lit(1), F.lit(ERF_TERMS)), start, step, lambda acc: acc["total"])
     value = F.lit(2.0) / F.sqrt(F.pi()) * F.exp(-a * a) * total
-    return F.when(x < 0, -value).otherwise(value)
+    return F.when(x < 0, -value).when(x >= 0, value)
 
 
 def two_sided_p(z: Column) -> Column:
-    return F.lit(1.0) - erf(F.abs(z) / F.sqrt(F.lit(2.0)))
+    p = F.lit(1.0) - erf(F.abs(z) / F.sqrt(F.lit(2.0)))
+    return F.when(p > 0, p).when(p <= 0, F.lit(0.0))
 
 
 def fisher_z(r: Column) -> Column:
-    return F.atanh(F.greatest(F.least(r, F.lit(0.999)), F.lit(-0.999)))
+    """atanh of r held in [-0.999, 0.999]; ``least`` and ``greatest`` skip nulls, so a null is kept here."""
+    return F.when(r.isNotNull(), F.atanh(F.greatest(F.least(r, F.lit(0.999)), F.lit(-0.999))))
 
 
 def fisher_z_columns(r_a: Column, n_a: Column, r_b: Column, n_b: Column) -> list[Column]:
@@ -63,7 +65,7 @@ def fisher_z_columns(r_a: Column, n_a: Column, r_b: Column, n_b: Column) -> list
 def effective_n(n: Column, r1: Column) -> Column:
     """Sample size corrected for lag-1 autocorrelation, which is held in [0, 0.99]."""
     r = F.least(F.greatest(r1, F.lit(0.0)), F.lit(0.99))
-    return n * (F.lit(1.0) - r) / (F.lit(1.0) + r)
+    return F.when(r1.isNotNull(), n * (F.lit(1.0) - r) / (F.lit(1.0) + r))
 
 
 def r2_from(sse: Column, sst: Column) -> Column:

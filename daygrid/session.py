@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # zones of a lookup, ...). Larger or unknown sides are left to the optimizer,
 # which checks their measured size.
 BROADCAST_ROWS = 100_000
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def local_session(cores: int | str = 8, app: str = "daygrid") -> SparkSession:
@@ -39,9 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the executors")
-    folder = tempfile.mkdtemp(prefix="daygrid-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="daygrid-")
+    return _LOCAL_FOLDERS[app]
 
 
 def scratch(spark: SparkSession, label: str) -> str:
