@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daygrid.config import Period
+from daygrid.functions.calendar import day_range
 from daygrid.session import bounded
 
 
@@ -23,8 +24,13 @@ def fill_grid(grid: DataFrame, facts: DataFrame, keys: Sequence[str], value: str
 
 
 def join_daily(df: DataFrame, daily: DataFrame, period: Period) -> DataFrame:
-    """Many-to-one left join to a per-date table, which has one row per day at most."""
-    return df.join(bounded(daily, period.days), "date", "left")
+    """Many-to-one left join to a per-date table with at most one row per day.
+
+    Cut to the period, such a table has at most ``period.days`` rows, which is
+    the bound its broadcast rests on.
+    """
+    inside = daily.filter(day_range(F.col("date"), period))
+    return df.join(bounded(inside, period.days), "date", "left")
 
 
 def join_zone_events(df: DataFrame, events: DataFrame, value: str = "event_count_zone") -> DataFrame:

@@ -30,7 +30,7 @@ from daygrid.session import stable
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RANK_CUTOFF = 1e-10
-SALTS = 8
+ROWS_PER_TASK = 50_000
 FLUSH_GROUPS = 256
 
 # 30 log-spaced penalties from 1e-2 to 1e4.
@@ -164,7 +164,9 @@ def residuals(
     )
 
 
-def _salted(rows: DataFrame, models: DataFrame, keys: Sequence[str], salts: int) -> tuple:
+def _salted(rows: DataFrame, models: DataFrame, keys: Sequence[str], largest: float) -> tuple:
+    """Rows and models grouped by key and salt; the largest group is cut to about ROWS_PER_TASK rows."""
+    salts = max(1, math.ceil(largest / ROWS_PER_TASK))
     salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys][:4]), F.lit(salts)).cast("int")
     left = rows.withColumn("_salt", salt).groupBy(*keys, "_salt")
     right = models.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).groupBy(*keys, "_salt")
@@ -243,7 +245,8 @@ def loo_errors(
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=out.names)
 
     rows = df.filter(train).select(*keys, *(c for c in (y, *union)))
-    left, right = _salted(rows, systems, keys, SALTS)
+    largest = systems.agg(F.max("n").alias("n")).first().n or 0
+    left, right = _salted(rows, systems, keys, largest)
     partial = left.cogroup(right).applyInPandas(score, out)
     alpha = F.array(*(F.lit(a) for a in alphas))[F.col("a")]
     return partial.groupBy(*keys, "condition", "a").agg(
@@ -391,7 +394,7 @@ def search_errors(
         return cell[score_schema.names]
 
     models = cells.groupBy(*keys).applyInPandas(fold_models, model_schema)
-    left, right = _salted(blocked, models, by, SALTS)
+    left, right = _salted(blocked, models, by, blocked.count())
     partial = left.cogroup(right).applyInPandas(score, score_schema)
     fold = (F.col("block") - 1).alias("fold")
     return partial.groupBy(*keys, "condition", "draw", fold).agg((F.sum("sae") / F.sum("rows")).alias("mae")).withColumn(

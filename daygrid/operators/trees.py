@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -62,27 +64,37 @@ def fit_tree_search(
     draw: Callable[[Space, int, int], dict],
     space: Space,
     search: SearchSettings,
+    parallelism: int = 4,
 ) -> tuple[DataFrame, dict]:
     """Search by mean fold error on train dates, refit on all of train, predict every row.
 
     Spark ML trains each tree level over all partitions, so a fit scales with
-    the data; draws and folds are a loop of such fits. A single draw needs no folds.
+    the data. The draw x fold fits are independent jobs and run ``parallelism``
+    at a time. A single draw needs no folds.
     """
-    assembled = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(df)
+    assembler = VectorAssembler(inputCols=list(cols), outputCol="_features")
     params = [draw(space, search.seed, d) for d in range(search.draws)]
     best = params[0]
     if len(params) > 1:
         keyed = df.filter(train).withColumn("_k", F.lit(1))
-        blocked = stable(with_fold_block(keyed, ["_k"], search.folds), "folds")
-        blocked = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(blocked)
-        scores = []
-        for i, p in enumerate(params):
-            maes = []
-            for f in range(1, search.folds + 1):
-                model = build(p, y, search.seed).fit(blocked.filter(F.col("block") < f))
-                held = model.transform(blocked.filter(F.col("block") == f))
-                maes.append(held.agg(F.avg(F.abs(F.col(y) - F.col("pred"))).alias("mae")).first().mae)
-            scores.append((sum(maes) / len(maes), i))
-        best = params[min(scores)[1]]
+        blocked = assembler.transform(stable(with_fold_block(keyed, ["_k"], search.folds), "folds"))
+
+        def fold_error(task: tuple[int, int]) -> float:
+            i, fold = task
+            model = build(params[i], y, search.seed).fit(blocked.filter(F.col("block") < fold))
+            held = model.transform(blocked.filter(F.col("block") == fold))
+            return held.agg(F.avg(F.abs(F.col(y) - F.col("pred"))).alias("mae")).first().mae
+
+        folds = range(1, search.folds + 1)
+        maes = in_parallel(fold_error, [(i, f) for i in range(len(params)) for f in folds], parallelism)
+        means = [sum(maes[i * len(folds) : (i + 1) * len(folds)]) / len(folds) for i in range(len(params))]
+        best = params[means.index(min(means))]
+    assembled = assembler.transform(df)
     model = build(best, y, search.seed).fit(assembled.filter(train))
     return model.transform(assembled).drop("_features"), best
+
+
+def in_parallel(fn: Callable, tasks: Sequence, parallelism: int) -> list:
+    """Submit independent Spark jobs from a few threads, as Spark ML's own tuning does."""
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        return pool.map(inheritable_thread_target(fn), tasks)

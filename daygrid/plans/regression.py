@@ -670,10 +670,12 @@ def ablation_table(spark: SparkSession, d: str) -> DataFrame:
     naive = held.select(names, F.lit("SeasonalNaive").alias("model"), "zone", "split", "demand", F.col("demand_lag_7").alias("pred"))
     parts = [ridge_pred, naive]
     one = SearchSettings(draws=1)
-    for name, cols in conditions.items():
-        pred, _ = trees.fit_tree_search(rows, cols, "demand", t.is_train(), trees.boosted, trees.boosted_draw, SMALL_BOOSTED, one)
-        tagged = pred.filter(~t.is_train()).withColumns({"condition": F.lit(name), "model": F.lit("Boosted")})
-        parts.append(tagged.select(*keep))
+
+    def boosted_rows(name: str) -> DataFrame:
+        pred, _ = trees.fit_tree_search(rows, conditions[name], "demand", t.is_train(), trees.boosted, trees.boosted_draw, SMALL_BOOSTED, one)
+        return pred.filter(~t.is_train()).withColumns({"condition": F.lit(name), "model": F.lit("Boosted")}).select(*keep)
+
+    parts += trees.in_parallel(boosted_rows, list(conditions), 4)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

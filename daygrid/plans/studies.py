@@ -13,12 +13,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygrid.config import PANEL_RIDGE_ALPHA, SERIES_RIDGE_ALPHA, PanelSettings, Period, SearchSettings, SeriesSettings, TimeWindows
+from daygrid.config import (
+    PANEL_BOOSTED,
+    PANEL_RIDGE_ALPHA,
+    SERIES_BOOSTED,
+    SERIES_FOREST,
+    SERIES_RIDGE_ALPHA,
+    PanelSettings,
+    Period,
+    SearchSettings,
+    SeriesSettings,
+    TimeWindows,
+)
 from daygrid.functions.calendar import calendar_block, calendar_names, date_spine, day_range, harmonic_names
 from daygrid.functions.stats import safe_corr
-from daygrid.operators import bootstrap, counts, events, features, grid, linear, metrics, quality, segments
-from daygrid.session import bounded, stable
-from daygrid.sources.readers import require_columns
+from daygrid.operators import bootstrap, counts, events, features, grid, linear, metrics, quality, segments, trees
+from daygrid.session import stable
+from daygrid.sources.readers import require_columns, union_all
 
 USER_TYPES = ("member", "casual")
 
@@ -91,6 +102,39 @@ def panel_scores(panel: Panel, settings: PanelSettings, search: SearchSettings =
     return metrics.score_zone_mean(ridge.unionByName(naive), ["condition", "model"], "demand", "pred")
 
 
+def panel_tree_scores(panel: Panel, settings: PanelSettings, search: SearchSettings = SearchSettings()) -> DataFrame:
+    """Boosted-tree rows of the ablation table, one per condition, zone-mean scores."""
+    period = settings.period
+    split = features.split_label(F.col("date"), period)
+    names = [f"zone_{z}" for z in panel.zones[1:]]
+    indicators = [c.alias(n) for n, c in zip(names, features.zone_indicators(panel.zones))]
+    rows = stable(panel.table.dropna().select("*", *indicators, split.alias("split")), "rows")
+    train = F.col("date") <= F.lit(period.train_end)
+
+    def one(condition: str) -> DataFrame:
+        cols = [*panel.conditions[condition], *names]
+        pred, _ = trees.fit_tree_search(rows, cols, "demand", train, trees.boosted, trees.boosted_draw, PANEL_BOOSTED, search)
+        return pred.filter(~train).select(F.lit(condition).alias("condition"), F.lit("Boosted").alias("model"), "zone", "split", "demand", "pred")
+
+    return metrics.score_zone_mean(union_all([one(c) for c in panel.conditions]), ["condition", "model"], "demand", "pred")
+
+
+def series_tree_scores(study: SeriesStudy, settings: SeriesSettings, search: SearchSettings = SearchSettings()) -> DataFrame:
+    """Random-forest and boosted-tree rows for every target and condition."""
+    train = F.col("date") <= F.lit(settings.period.train_end)
+    conditions = features.series_conditions(study.features.columns)
+    families = (("RandomForest", trees.forest, trees.forest_draw, SERIES_FOREST), ("Boosted", trees.boosted, trees.boosted_draw, SERIES_BOOSTED))
+    parts = []
+    for target in [r.target for r in study.features.select("target").distinct().orderBy("target").collect()]:
+        rows = study.features.filter(F.col("target") == target)
+        for condition, cols in conditions.items():
+            for model, build, draw, space in families:
+                pred, _ = trees.fit_tree_search(rows, cols, "y", train, build, draw, space, search)
+                tags = {"condition": F.lit(condition), "model": F.lit(model)}
+                parts.append(pred.filter(~train).withColumns(tags).select("target", "condition", "model", "split", "y", "pred"))
+    return metrics.score_splits(union_all(parts), ["target", "condition", "model"], "y", "pred")
+
+
 def type_series(trips: DataFrame, period: Period) -> DataFrame:
     """Trips (started_at, member_casual) to (date, member, casual, total). A day without trips is an error."""
     require_columns(trips, ["started_at", "member_casual"])
@@ -203,7 +247,7 @@ def segment_study(segs: DataFrame, weather: DataFrame, settings: SeriesSettings)
     r2 = metrics.score(pred, ["segment", "condition"], "y", "pred")
     wide = r2.groupBy("segment").agg(*(F.max(F.when(F.col("condition") == c, F.col("r2"))).alias(f"r2{c}_test") for c in ("A", "B")))
     wide = wide.withColumn("delta_r2", F.col("r2B_test") - F.col("r2A_test"))
-    return SegmentStudy(rows, corr.join(bounded(wide, 1000), "segment", "left"))
+    return SegmentStudy(rows, corr.join(wide, "segment", "left"))
 
 
 def two_mode_cells(first: SegmentStudy, second: SegmentStudy, variable: str, modes: tuple[str, str]) -> DataFrame:

@@ -208,11 +208,10 @@ def flow_areas(counted: DataFrame) -> DataFrame:
 
 
 def hourly_events(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        read_table(spark, folder, "events")
-        .groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("transit_timestamp"))
-        .agg(F.sum("value").alias("ridership"))
-    )
+    ts = F.col("ts")
+    full_hour = F.to_date(ts).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(ts))
+    events = read_table(spark, folder, "events")
+    return events.groupBy(full_hour.alias("transit_timestamp")).agg(F.sum("value").alias("ridership"))
 
 
 __all__ = [

@@ -124,8 +124,9 @@ def test_models_ignore_rows_outside_train(series):
         assert all(np.allclose(a[s], b[s], rtol=1e-9) for s in a)
 
 
-def test_one_heavy_group_is_spread_over_tasks(spark):
+def test_one_heavy_group_is_spread_over_tasks(spark, monkeypatch):
     """A group with most of the rows goes through the salted passes unchanged."""
+    monkeypatch.setattr(linear, "ROWS_PER_TASK", 700)
     rng = np.random.default_rng(1)
     rows = [("hot" if i % 10 else f"k{i % 30}", START + timedelta(i % 300), float(rng.normal()), float(rng.normal())) for i in range(6000)]
     df = spark.createDataFrame(rows, "g string, date date, x double, y double").cache()
