@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from daygrid.config import PANEL_BOOSTED, SERIES_FOREST, SERIES_RIDGE_ALPHA, SearchSettings
+from daygrid.config import PANEL_BOOSTED, PANEL_RIDGE_ALPHA, SERIES_FOREST, SERIES_RIDGE_ALPHA, SearchSettings
 from daygrid.functions.stats import safe_corr
 from daygrid.operators import features, grid, linear, metrics, trees
 from daygrid.operators.segments import AXES
@@ -615,9 +615,8 @@ def forest_model(spark: SparkSession, d: str) -> DataFrame:
 
 @query("boosted_model")
 def boosted_model(spark: SparkSession, d: str) -> DataFrame:
-    rows, zones = _panel_rows(spark, d)
-    cols = features.panel_conditions([c for c in rows.columns if not c.startswith("zone_") and c not in ("g", "split")], EXO)["D"]
-    pred, _ = trees.fit_tree_search(rows, [*cols, *zones], "demand", t.is_train(), trees.boosted, trees.boosted_draw, SMALL_BOOSTED, SMOKE)
+    rows, conditions = _panel_setup(spark, d)
+    pred, _ = trees.fit_tree_search(rows, conditions["D"], "demand", t.is_train(), trees.boosted, trees.boosted_draw, SMALL_BOOSTED, SMOKE)
     return metrics.score_zone_mean(pred.withColumn("model", F.lit("Boosted")), ["model"], "demand", "pred")
 
 
@@ -656,27 +655,116 @@ def series_ablation(spark: SparkSession, d: str) -> DataFrame:
     return t.rounded(metrics.score_splits(both, ["target", "condition", "model"], "y", "pred"))
 
 
-@query("ablation_table")
-def ablation_table(spark: SparkSession, d: str) -> DataFrame:
-    """Panel conditions x {seasonal naive, searched ridge, boosted trees}: zone-mean val and test scores."""
+_PANEL_BASE = [
+    *(f"demand_lag_{k}" for k in (1, 2, 3, 7, 14)),
+    "demand_rolling_mean_7",
+    "dow_sin",
+    "dow_cos",
+    "month_sin",
+    "month_cos",
+    "is_weekend",
+    "is_holiday",
+]
+_PANEL_ZONES = [f"zr_{k}" for k in range(2, 11)]
+_PANEL_SETS = {
+    "A": [],
+    "B": EXO,
+    "C": ["event_count"],
+    "Cprime": ["event_count_manhattan"],
+    "D": [*EXO, "event_count"],
+    "E": ["event_count_zone"],
+}
+_PANEL_RIDGE = [
+    ("ranked", "SELECT *, dense_rank() OVER (ORDER BY zone) AS zr FROM feats WHERE demand_lag_14 IS NOT NULL"),
+    (
+        "pr",
+        f"SELECT *, 1 AS g, date <= DATE '{TRAIN_END}' AS is_train, "
+        + ", ".join(f"CAST(zr = {k} AS DOUBLE) AS zr_{k}" for k in range(2, 11))
+        + " FROM ranked",
+    ),
+    *[
+        cte
+        for c, extra in _PANEL_SETS.items()
+        for cte in ridge(
+            f"pa{c.lower()}", "pr", ["g"], [*_PANEL_BASE, *extra, *_PANEL_ZONES], "demand",
+            f"(SELECT 0 AS a, CAST({FIXED_ALPHA} AS DOUBLE) AS alpha)", carry=("date", "zone"),
+        )
+    ],
+    (
+        "pall",
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS condition, 'Ridge' AS model, s.zone, s.date, s.demand AS y, s.demand - o.demand AS pred FROM pa{c.lower()}_out o "
+            f"JOIN pr s USING (date, zone) WHERE kind = 0 UNION ALL SELECT '{c}', 'SeasonalNaive', zone, date, demand, demand_lag_7 FROM pr"
+            for c in _PANEL_SETS
+        ),
+    ),
+    ("pzone", f"SELECT condition, model, zone, {_score_sql('val')}, {_score_sql('test')} FROM (SELECT *, {_SPLIT} AS split FROM pall) GROUP BY 1, 2, 3"),
+]
+
+
+def _panel_setup(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, list[str]]]:
     rows, zones = _panel_rows(spark, d)
     inputs = [c for c in rows.columns if not c.startswith("zone_") and c not in ("g", "split")]
-    conditions = {n: [*cols, *zones] for n, cols in features.panel_conditions(inputs, EXO).items()}
-    held = rows.filter(~t.is_train())
-    models = linear.search_ridge(rows, ["g"], conditions, "demand", t.is_train(), SearchSettings(), (1e-3, 1e4))
+    return rows, {n: [*cols, *zones] for n, cols in features.panel_conditions(inputs, EXO).items()}
+
+
+def _panel_predictions(held: DataFrame, models: DataFrame, conditions: dict[str, list[str]]) -> DataFrame:
+    """Ridge and seasonal-naive predictions of every condition, stacked."""
     keep = ["condition", "model", "zone", "split", "demand", "pred"]
-    ridge_pred = linear.predict(held, models, ["g"], conditions).withColumn("model", F.lit("Ridge")).select(*keep)
+    fitted = linear.predict(held, models, ["g"], conditions).withColumn("model", F.lit("Ridge")).select(*keep)
     names = F.explode(F.array(*(F.lit(n) for n in conditions))).alias("condition")
     naive = held.select(names, F.lit("SeasonalNaive").alias("model"), "zone", "split", "demand", F.col("demand_lag_7").alias("pred"))
-    parts = [ridge_pred, naive]
+    return fitted.unionByName(naive)
+
+
+@query(
+    "panel_ablation",
+    with_ctes(
+        ["feats"],
+        "SELECT condition, model, " + ", ".join(r6(f"avg({c})", c) for c in _SCORES) + " FROM pzone GROUP BY 1, 2",
+        _PANEL_RIDGE,
+    ),
+)
+def panel_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """Pooled ridge with zone indicators at a fixed penalty and seasonal naive, all six conditions."""
+    rows, conditions = _panel_setup(spark, d)
+    models = linear.fit_ridge(rows, ["g"], conditions, "demand", t.is_train(), FIXED_ALPHA)
+    pred = _panel_predictions(rows.filter(~t.is_train()), models, conditions)
+    return t.rounded(metrics.score_zone_mean(pred, ["condition", "model"], "demand", "pred"))
+
+
+@query("ablation_table")
+def ablation_table(spark: SparkSession, d: str) -> DataFrame:
+    """Panel conditions x {seasonal naive, searched ridge, boosted trees}: zone-mean val and test scores."""
+    rows, conditions = _panel_setup(spark, d)
+    models = linear.search_ridge(rows, ["g"], conditions, "demand", t.is_train(), SearchSettings(), PANEL_RIDGE_ALPHA)
+    out = _panel_predictions(rows.filter(~t.is_train()), models, conditions)
     one = SearchSettings(draws=1)
 
     def boosted_rows(name: str) -> DataFrame:
         pred, _ = trees.fit_tree_search(rows, conditions[name], "demand", t.is_train(), trees.boosted, trees.boosted_draw, SMALL_BOOSTED, one)
-        return pred.filter(~t.is_train()).withColumns({"condition": F.lit(name), "model": F.lit("Boosted")}).select(*keep)
+        tagged = pred.filter(~t.is_train()).withColumns({"condition": F.lit(name), "model": F.lit("Boosted")})
+        return tagged.select(*out.columns)
 
-    parts += trees.in_parallel(boosted_rows, list(conditions), 4)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    for part in trees.in_parallel(boosted_rows, list(conditions), 4):
+        out = out.unionByName(part)
     return t.rounded(metrics.score_zone_mean(out, ["condition", "model"], "demand", "pred"))
+
+
+@query(
+    "feature_pair_corr",
+    with_ctes(
+        ["series", "exo"],
+        f"SELECT {r6(corr_expr('anom_exo_sum', 'anom_exo_count'), 'sum_count')}, {r6(corr_expr('anom_exo_high', 'anom_exo_low'), 'high_low')} FROM res WHERE target = 'total'",
+        _SERIES_RES,
+    ),
+)
+def feature_pair_corr(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation of two pairs of anomalies."""
+    a = t.anomalies(spark, d)
+    return t.rounded(
+        a.agg(
+            safe_corr(F.col("anom_exo_sum"), F.col("anom_exo_count")).alias("sum_count"),
+            safe_corr(F.col("anom_exo_high"), F.col("anom_exo_low")).alias("high_low"),
+        )
+    )
