@@ -106,7 +106,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         ["spine"],
         f"""SELECT date, exo_mean, exo_max, exo_min, coalesce(exo_sum, 0.0) AS exo_sum,
         coalesce(exo_high, 0.0) AS exo_high, coalesce(exo_low, 0.0) AS exo_low, coalesce(exo_count, 0.0) AS exo_count
-        FROM spine LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS exo_mean,
+        FROM spine LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS date, round(sum(o_totalprice), 2) / count(*) AS exo_mean,
         max(o_totalprice) AS exo_max, min(o_totalprice) AS exo_min, {_tally('1-URGENT')} AS exo_sum,
         {_tally('2-HIGH')} AS exo_high, {_tally('5-LOW')} AS exo_low, CAST(count(*) AS DOUBLE) AS exo_count
         FROM orders GROUP BY 1) o USING (date)""",
