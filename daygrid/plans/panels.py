@@ -16,10 +16,10 @@ from daygrid.sources import sample
 from daygrid.sources.readers import read_table
 
 
-@query("join_exog_date", with_ctes(["panel", "exo"], f"SELECT p.date, zone, demand, {r6('exo_mean')}, exo_sum FROM panel p LEFT JOIN exo USING (date)"))
+@query("join_exog_date", with_ctes(["panel", "exo"], "SELECT p.date, zone, demand, exo_mean, exo_sum FROM panel p LEFT JOIN exo USING (date)"))
 def join_exog_date(spark: SparkSession, d: str) -> DataFrame:
     exo = sample.exo_daily(spark, d).select("date", "exo_mean", "exo_sum")
-    return t.rounded(grid.join_daily(t.demand_panel(spark, d), exo, t.PERIOD))
+    return grid.join_daily(t.demand_panel(spark, d), exo, t.PERIOD)
 
 
 @query("join_zone_events", with_ctes(["merged"], f"SELECT date, zone, demand, {r6('event_count_zone')} FROM merged"))

@@ -54,7 +54,7 @@ def csv_scan(spark: SparkSession, d: str) -> DataFrame:
     "json_columnar_unpack",
     with_ctes(
         ["exo"],
-        f"SELECT date, {r6('exo_mean')}, exo_max, exo_sum FROM exo",
+        "SELECT date, exo_mean, exo_max, exo_sum FROM exo",
     ),
 )
 def json_columnar_unpack(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ def json_columnar_unpack(spark: SparkSession, d: str) -> DataFrame:
     docs.write.text(path)
     fields = ", ".join(f"{v}: array<double>" for v in names)
     raw = spark.read.schema(f"daily struct<time: array<string>, {fields}>").json(path)
-    return t.rounded(unpack_arrays(raw, names))
+    return unpack_arrays(raw, names)
 
 
 @query(
