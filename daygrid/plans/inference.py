@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daygrid.config import BOOTSTRAP_BLOCK, BOOTSTRAP_REPS
-from daygrid.functions.stats import fisher_z_columns
+from daygrid.functions.stats import fisher_z_columns, safe_corr
 from daygrid.operators import bootstrap as bs
+from daygrid.operators.grid import join_daily
 from daygrid.operators.segments import COMMUTE, LEISURE
 from daygrid.plans import tables as t
 from daygrid.plans.registry import query
 from daygrid.plans.regression import _MODE_RES, _SEG_RES, _SERIES_RES
 from daygrid.plans.sqltext import corr_expr, r6, with_ctes
 from daygrid.session import stable
+from daygrid.sources import sample
 
 SEED = 42
 REPS, BLOCK = BOOTSTRAP_REPS, BOOTSTRAP_BLOCK
@@ -74,9 +76,6 @@ _CORR_IN = ("bs_in", f"SELECT target, date, {SEED} AS seed, anom_exo_sum AS x, r
 
 def _target_residuals(spark: SparkSession, d: str) -> DataFrame:
     """(date, target, y, resid, anom_exo_sum), written once."""
-    from daygrid.operators.grid import join_daily
-    from daygrid.sources import sample
-
     exo = sample.exo_daily(spark, d).select("date", t.RAIN_SUM)
     table = stable(t.with_calendar(join_daily(t.target_series(spark, d), exo, t.PERIOD)), "targets")
     res = t.with_residuals(table, ["target"], "y", [t.RAIN_SUM])
@@ -238,10 +237,6 @@ def _fisher_sql(a: str, na: str, b: str, nb: str) -> str:
 )
 def fisher_z(spark: SparkSession, d: str) -> DataFrame:
     """Test of two raw correlations with the day count as sample size."""
-    from daygrid.functions.stats import safe_corr
-    from daygrid.operators.grid import join_daily
-    from daygrid.sources import sample
-
     exo = sample.exo_daily(spark, d).select("date", "exo_count")
     joined = join_daily(t.daily_series(spark, d), exo, t.PERIOD)
     x = F.col("exo_count")

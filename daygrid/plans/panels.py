@@ -10,7 +10,7 @@ from daygrid.operators import counts, events, features, grid, metrics, quality
 from daygrid.operators.segments import sum_segments
 from daygrid.plans import tables as t
 from daygrid.plans.registry import query
-from daygrid.plans.sqltext import CALENDAR, EXO, LAGS, TRAIN_END, calendar_select, lag_select, r6, r6_all, with_ctes
+from daygrid.plans.sqltext import CALENDAR, EXO, TRAIN_END, calendar_select, lag_select, r6, r6_all, with_ctes
 from daygrid.session import stable
 from daygrid.sources import sample
 from daygrid.sources.readers import read_table

@@ -20,7 +20,6 @@ from daygrid.plans.sqltext import (
     LAGS,
     TRAIN_END,
     VAL_END,
-    calendar_select,
     corr_expr,
     hash_uniform,
     lag_select,
@@ -109,7 +108,7 @@ def exog_anomaly(spark: SparkSession, d: str) -> DataFrame:
     "weekday_mean_baseline",
     with_ctes(
         ["series"],
-        f"""SELECT date, target, {r6('avg(y) FILTER (WHERE date <= DATE ' + chr(39) + TRAIN_END + chr(39) + ') OVER (PARTITION BY target, isodow(date))', 'baseline')}
+        f"""SELECT date, target, round(avg(y) FILTER (WHERE date <= DATE '{TRAIN_END}') OVER (PARTITION BY target, isodow(date)), 6) + 0.0 AS baseline
         FROM series""",
     ),
 )
@@ -119,7 +118,7 @@ def weekday_mean_baseline(spark: SparkSession, d: str) -> DataFrame:
     return t.rounded(y.join(mean, ["target", "dow"], "left").select("date", "target", "baseline"))
 
 
-@query("seasonal_naive", with_ctes(["feats"], "SELECT date, zone, demand, coalesce(demand_lag_7, NULL) AS pred FROM feats WHERE demand_lag_14 IS NOT NULL"))
+@query("seasonal_naive", with_ctes(["feats"], "SELECT date, zone, demand, demand_lag_7 AS pred FROM feats WHERE demand_lag_14 IS NOT NULL"))
 def seasonal_naive(spark: SparkSession, d: str) -> DataFrame:
     w = features.by_day("zone")
     lagged = t.demand_panel(spark, d).select("date", "zone", "demand", *features.lags("demand", (1, 7, 14), w, "demand_lag_"))
@@ -381,7 +380,8 @@ def date_block_folds(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_LOG_RANGE = f"exp(ln({SERIES_RIDGE_ALPHA[0]}) + {hash_uniform(chr(39) + '42:' + chr(39) + ' || range')} * (ln({SERIES_RIDGE_ALPHA[1]}) - ln({SERIES_RIDGE_ALPHA[0]})))"
+_SEED_TEXT = "'42:' || range"
+_LOG_RANGE = f"exp(ln({SERIES_RIDGE_ALPHA[0]}) + {hash_uniform(_SEED_TEXT)} * (ln({SERIES_RIDGE_ALPHA[1]}) - ln({SERIES_RIDGE_ALPHA[0]})))"
 _SEARCH = [
     *_FEATURES,
     ("dr", f"SELECT CAST(range AS INTEGER) AS a, {_LOG_RANGE} AS alpha FROM range(20)"),
@@ -515,6 +515,7 @@ def mode_segment_2x2(spark: SparkSession, d: str) -> DataFrame:
     return t.rounded(_mode_w(spark, d))
 
 
+_AM, _MID = "'time_wdAM'", "'time_weMID'"
 _MODE_R2 = [
     *_MODE_RES,
     ("gf", "SELECT *, CAST(date IN (SELECT date FROM hol) AS DOUBLE) AS cal_is_holiday FROM res WHERE segment <> 'all' AND segment LIKE 'time%'"),
@@ -530,8 +531,8 @@ _MODE_R2 = [
     "mode_segment_delta_r2",
     with_ctes(
         ["modes", "exo", "hol"],
-        f"SELECT mode, {r6(chr(109) + 'ax(g) FILTER (WHERE segment = ' + chr(39) + 'time_wdAM' + chr(39) + ')', 'commute')}, "
-        f"{r6('max(g) FILTER (WHERE segment = ' + chr(39) + 'time_weMID' + chr(39) + ')', 'leisure')} FROM dr2 GROUP BY mode",
+        f"SELECT mode, {r6('max(g) FILTER (WHERE segment = ' + _AM + ')', 'commute')}, "
+        f"{r6('max(g) FILTER (WHERE segment = ' + _MID + ')', 'leisure')} FROM dr2 GROUP BY mode",
         _MODE_R2,
     ),
 )

@@ -10,7 +10,7 @@ from daygrid.functions.calendar import calendar_block, calendar_names, date_spin
 from daygrid.functions.stats import tidy
 from daygrid.operators.counts import pivot_types, top_keys
 from daygrid.operators.events import area_weights, city_events, with_daily_total, zone_event_mass
-from daygrid.operators.features import by_day, panel_features, series_lag_columns, split_label
+from daygrid.operators.features import panel_features, series_lag_columns, split_label
 from daygrid.operators.grid import complete_grid, fill_grid, join_daily, join_zone_events
 from daygrid.operators.linear import residuals
 from daygrid.session import bounded, stable
@@ -151,5 +151,3 @@ def with_residuals(df: DataFrame, keys: list[str], y: str, exo: list[str] = EXO)
 def with_split(df: DataFrame) -> DataFrame:
     return df.withColumn("split", split_label(F.col("date"), PERIOD))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]
