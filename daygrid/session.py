@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A hinted side must stay below this many rows by construction (calendar days,
-# zones of a lookup, ...). Larger or unknown sides are left to the optimizer,
-# which checks their measured size.
+# A hinted side is a written table of at most this many bytes, or a table of at
+# most this many rows by construction (calendar days, zones of a lookup, ...).
+# Larger or unknown sides are left to the optimizer, which checks their size.
+BROADCAST_BYTES = 16 << 20
 BROADCAST_ROWS = 100_000
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -62,14 +63,18 @@ def stable(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast hint for a written table, given only after its rows were counted.
+def planned_bytes(df: DataFrame) -> int:
+    """Size that the optimizer gives ``df``; for a written table read back, the bytes of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
-    The count of a Parquet table comes from file footers. A table over the
-    limit is sent to a sort-merge join instead, which also keeps the optimizer
-    from broadcasting the other side on a wrong estimate.
+
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a written table, given only after its bytes were measured.
+
+    A table over the limit is sent to a sort-merge join instead, which also keeps
+    the optimizer from broadcasting the other side on a wrong estimate.
     """
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+    return F.broadcast(df) if planned_bytes(df) <= most else df.hint("merge")
 
 
 def bounded(df: DataFrame, max_rows: int) -> DataFrame:

@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, compare
+from daygrid.plans import load
+from daygrid.plans.registry import ORACLES, QUERIES
 
 NO_SQL = {"forest_model", "boosted_model", "ablation_table"}
 COMPARED = [
@@ -24,7 +26,10 @@ def duck(sample_dir):
 
 
 def test_registry_is_complete():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_SQL
+    load()
+    assert set(QUERIES) - set(ORACLES) == NO_SQL
+    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
