@@ -65,7 +65,7 @@ def stable(df: DataFrame, label: str = "table") -> DataFrame:
 
 def planned_bytes(df: DataFrame) -> int:
     """Size that the optimizer gives ``df``; for a written table read back, the bytes of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
