@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from daygrid.llm import balance, decontaminate, forest, personal, quality, secret_scan, tokens, wrappers
+from daygrid.llm import balance, decontaminate, forest, jaccard, personal, quality, secret_scan, tokens, wrappers
 from daygrid.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op4_hash_prefix_forest(spark, sf_dir):
     return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark, sf_dir):
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ LLM_QUERIES = {
         op2_wrapper_extraction,
         op3_decontamination,
         op4_hash_prefix_forest,
+        op5_jaccard_join,
         op6_secret_scan,
         op7_quality_classifier,
         op9_token_counts,
@@ -59,4 +64,4 @@ LLM_QUERIES = {
     )
 }
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
-LLM_ORACLES = {"op3_decontamination": decontaminate.contaminated_sql()}
+LLM_ORACLES = {"op3_decontamination": decontaminate.contaminated_sql(), "op5_jaccard_join": jaccard.components_sql()}
