@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from daygrid.llm import balance, decontaminate, forest, jaccard, personal, quality, secret_scan, tokens, wrappers
+from daygrid.llm import balance, decontaminate, forest, jaccard, personal, pieces, quality, secret_scan, tokens, wrappers
 from daygrid.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -41,6 +41,10 @@ def op7_quality_classifier(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_sentencepiece(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
 def op9_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
@@ -59,6 +63,7 @@ LLM_QUERIES = {
         op5_jaccard_join,
         op6_secret_scan,
         op7_quality_classifier,
+        op8_sentencepiece,
         op9_token_counts,
         op10_personal_data,
     )
