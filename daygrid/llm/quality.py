@@ -37,13 +37,18 @@ TRAIN_ROWS = 10_000
 EPOCHS = 3
 THRESHOLD = 0.3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
 
 _RUNS = ((re.compile(r"\d+"), "0"), (re.compile(r"[^\W\d_A-Z]+"), "a"), (re.compile(r"[A-Z]+"), "A"))
 
 
 def shape_of(word: str) -> str:
     """Runs of capitals, other letters and digits become A, a and 0; the rest stays."""
+    if word.isascii() and word.isalpha():  # the common forms, without patterns
+        if word.islower():
+            return "a"
+        if word[1:].islower():
+            return "Aa"
     for runs, sign in _RUNS:
         word = runs.sub(sign, word)
     return word[:12]
