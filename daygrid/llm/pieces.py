@@ -22,7 +22,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrid.llm.common import parts, small_batches, texts_of
+from daygrid.llm.common import small_batches, texts_of
 
 MARK = "▁"
 CHUNK_CHARS = 32_000_000
@@ -75,6 +76,12 @@ class Vocabulary:
     def words(self, text: str) -> list[str]:
         return self.word.findall(self.model.normalize(text)) if text else []
 
+    def plain(self, text: str) -> bool:
+        """Whether each space of the text just starts a word."""
+        if not self.prefixed or not text or "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
+            return False
+        return self.model.normalize(text) == MARK + text.replace(" ", MARK)
+
     def decode(self, ids: list[int]) -> bytes:
         out = b"".join(map(self.bytes_of.__getitem__, ids))
         return out[1:] if self.prefixed and out[:1] == b" " else out
@@ -90,59 +97,73 @@ def vocabulary(path: str) -> Vocabulary:
 class Chunks:
     """Numbers the chunks of a task and the words of a chunk, alike in every pass."""
 
-    def __init__(self):
-        self.part, self.count, self.chars, self.numbers = TaskContext.get().partitionId(), 0, 0, {}
+    def __init__(self, known: Vocabulary):
+        self.known, self.part, self.count = known, TaskContext.get().partitionId(), 0
+        self.chars, self.numbers, self.between_spaces = 0, {}, {}
 
     @property
     def chunk(self) -> int:
         return self.part << 20 | self.count
 
-    def add(self, text: str, words: list[str]) -> list[int]:
+    def numbered(self, words: list[str]) -> tuple[int, ...]:
+        return tuple([self.numbers.setdefault(w, len(self.numbers)) for w in words])
+
+    def add(self, text: str) -> Iterable[int]:
+        """Word numbers of a text; what stands between two spaces is cut once per chunk."""
         self.chars += len(text)
-        return [self.numbers.setdefault(w, len(self.numbers)) for w in words]
+        if not self.known.plain(text):
+            return self.numbered(self.known.words(text))
+        stretches, seen = text.split(" "), self.between_spaces
+        for s in stretches:
+            if s not in seen:
+                seen[s] = self.numbered(self.known.word.findall(MARK + s))
+        return chain.from_iterable(map(seen.__getitem__, stretches))
 
     def full(self) -> bool:
         return self.chars > CHUNK_CHARS
 
     def next(self) -> None:
-        self.count, self.chars, self.numbers = self.count + 1, 0, {}
+        self.count, self.chars, self.numbers, self.between_spaces = self.count + 1, 0, {}, {}
 
 
 def chunk_words(docs: DataFrame, path: str) -> DataFrame:
-    """(word, chunk, number): the distinct words of each chunk."""
+    """(word, chunk, number, given): the distinct words of each chunk; ids only of words that are too long for the lattice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, chunks = vocabulary(path), Chunks()
+        known = vocabulary(path)
+        chunks = Chunks(known)
 
         def out() -> Iterator[pa.RecordBatch]:
             words = list(chunks.numbers)
             for i in range(0, len(words), 50_000):
                 part = words[i : i + 50_000]
                 numbers = np.arange(i, i + len(part), dtype=np.int32)
+                given = [encode_long(known.model, w) if len(w) > LONG_WORD else None for w in part]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.string()), pa.array(np.full(len(part), chunks.chunk)), pa.array(numbers)], names=["word", "chunk", "number"]
+                    [pa.array(part, pa.string()), pa.array(np.full(len(part), chunks.chunk)), pa.array(numbers), pa.array(given, pa.list_(pa.int32()))],
+                    names=["word", "chunk", "number", "given"],
                 )
 
         for _, texts in texts_of(batches, "cut_text"):
             for t in texts:
-                chunks.add(t, known.words(t))
+                chunks.add(t)
                 if chunks.full():
                     yield from out()
                     chunks.next()
         yield from out()
 
-    return docs.select("cut_text").mapInArrow(run, "word string, chunk long, number int")
+    return docs.select("cut_text").mapInArrow(run, "word string, chunk long, number int, given array<int>")
 
 
 def chunk_documents(docs: DataFrame, path: str) -> DataFrame:
     """(chunk, doc, check, words): each document as compressed word numbers of its chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, chunks = vocabulary(path), Chunks()
+        chunks = Chunks(vocabulary(path))
         for batch, texts in texts_of(batches, "cut_text"):
             names, checks, packed = [], [], []
             for t in texts:
-                numbers = np.array(chunks.add(t, known.words(t)), np.int32)
+                numbers = np.fromiter(chunks.add(t), np.int32)
                 names.append(chunks.chunk)
                 checks.append(zlib.crc32(t.encode("utf-8", "surrogatepass")))
                 packed.append(zlib.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
@@ -167,17 +188,17 @@ def bytes_or_unknown(known: Vocabulary) -> str:
 
 def merge_fold() -> str:
     """SQL fold over cut positions: the adjacent pair of the best score merges first, the leftmost of equals."""
-    score = "coalesce(try_element_at(edges, element_at(cuts, j) * 64 + element_at(cuts, j + 2) - element_at(cuts, j)).score, -4e9D)"
+    score = "coalesce(try_element_at(edges, element_at(cuts, j) * 64 + element_at(cuts, j + 2) - element_at(cuts, j)), -1L)"
     best = f"transform(sequence(1, size(cuts) - 2), j -> {score})"
     return f"""aggregate(sequence(1, n), sequence(1, n + 1), (cuts, k) -> IF(size(cuts) < 3, cuts, element_at(transform(array({best}),
-        s -> IF(array_max(s) <= -4e9D, cuts, filter(cuts, (c, x) -> x <> array_position(s, array_max(s))))), 1)))"""
+        s -> IF(array_max(s) < 0, cuts, filter(cuts, (c, x) -> x <> array_position(s, array_max(s))))), 1)))"""
 
 
 def viterbi_fold(unknown_score: float = -1e6) -> str:
     """SQL fold over end positions: the best path to each, then its cut positions."""
     step = """aggregate(sequence(1, n), array(named_struct('score', 0D, 'from', 0)), (best, e) -> concat(best, array(array_max(transform(
         sequence(greatest(1, e - {longest} + 1), e), c -> named_struct(
-            'score', element_at(best, c).score + coalesce(double(try_element_at(edges, c * 64 + e + 1 - c).score), IF(c = e, {unknown}D, -1e18D)), 'from', c))))))"""
+            'score', element_at(best, c).score + coalesce(element_at(scores, int(shiftright(try_element_at(edges, c * 64 + e + 1 - c), 20)) + 1), IF(c = e, {unknown}D, -1e18D)), 'from', c))))))"""
     back = """aggregate(sequence(1, n), array(n + 1), (cuts, k) -> IF(element_at(cuts, 1) = 1, cuts,
         concat(array(element_at(best, element_at(cuts, 1)).from), cuts)))"""
     return f"element_at(transform(array({step}), best -> {back}), 1)".replace("{unknown}", repr(unknown_score))
@@ -186,26 +207,32 @@ def viterbi_fold(unknown_score: float = -1e6) -> str:
 def encoded_words(words: DataFrame, known: Vocabulary, spark: SparkSession, fold: str = "bpe", keys: tuple[str, ...] = ("word",)) -> DataFrame:
     """``keys``, ids and any other columns of distinct words, by the lattice; rows must be dealt by ``keys``."""
     rest = [c for c in words.columns if c not in keys]
-    table = spark.createDataFrame(known.pieces, "piece string, id int, score double")  # a vocabulary's size, fixed by the model
+    levels = sorted({score for _, _, score in known.pieces})
+    rank = {score: r for r, score in enumerate(levels)}
+    rows = [(p, rank[score] << 20 | i) for p, i, score in known.pieces]
+    table = spark.createDataFrame(rows, "piece string, value long")  # a vocabulary's size, fixed by the model
     spans = (
-        words.withColumn("n", F.length("word"))
+        words.withColumn("n", F.least(F.length("word"), F.lit(LONG_WORD)))
         .select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
         .select("*", F.explode(F.expr(f"sequence(1, least({known.longest}, n - i + 1))")).alias("l"))
         .select("*", F.expr("substring(word, i, l)").alias("piece"))
     )
-    edge = F.struct((F.col("i") * 64 + F.col("l")).alias("key"), F.struct("score", "id").alias("value"))
+    # An edge is one number: place and length, rank of the score, id.
+    edge = F.shiftleft((F.col("i") * 64 + F.col("l")).cast("long"), 40).bitwiseOR(F.col("value"))
     lattice = (
         spans.join(F.broadcast(table), "piece", "left")
-        .filter("id IS NOT NULL OR l = 1")
+        .filter("value IS NOT NULL OR l = 1")
         .groupBy(*keys)
-        .agg(F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("found"), *[F.first(c).alias(c) for c in rest])
-        .withColumn("edges", F.map_from_entries("found"))
-        .withColumn("n", F.length("word"))
+        .agg(F.collect_list(edge).alias("found"), *[F.first(c).alias(c) for c in rest])
+        .withColumn("edges", F.expr(f"map_from_entries(transform(found, e -> struct(int(shiftright(e, 40)), e & {(1 << 40) - 1}L)))"))
+        .withColumn("n", F.least(F.length("word"), F.lit(LONG_WORD)))
     )
     cuts = merge_fold() if fold == "bpe" else viterbi_fold().replace("{longest}", str(known.longest))
+    if fold != "bpe":
+        lattice = lattice.withColumn("scores", F.array(*map(F.lit, levels)))
+    found = "try_element_at(edges, c * 64 + element_at(cuts, j + 2) - c)"
     ids = f"""flatten(transform(slice(cuts, 1, size(cuts) - 1), (c, j) ->
-        IF(try_element_at(edges, c * 64 + element_at(cuts, j + 2) - c) IS NULL, {bytes_or_unknown(known)},
-           array(try_element_at(edges, c * 64 + element_at(cuts, j + 2) - c).id))))"""
+        IF({found} IS NULL, {bytes_or_unknown(known)}, array(int({found} & {(1 << 20) - 1}L)))))"""
     return lattice.withColumn("cuts", F.expr(cuts)).select(*keys, *rest, F.expr(ids).alias("ids"))
 
 
@@ -252,20 +279,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(id, n_pieces, ids, round_trip) of every row; ``path`` is the model file on driver and workers."""
     spark = docs.sparkSession
     small_batches(spark)
+    # A word's edges come together, so grouping them by hash holds one partition's words.
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(WORDS_IN_PARTITION))
     known = vocabulary(path)
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("cut_text"))
     words = chunk_words(own, path).withColumn("part", F.expr(f"chunk DIV {CHUNKS_IN_GROUP << 20}"))
-    uses = words.groupBy("word", "part").agg(F.collect_list(F.struct("chunk", "number")).alias("uses"))
-    short = encoded_words(uses.filter(F.length("word") <= LONG_WORD), known, spark, fold, ("word", "part"))
-
-    def by_library(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            model = vocabulary(path).model
-            made = [encode_long(model, w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.list_(pa.int32()))], names=["uses", "ids"])
-
-    long_words = uses.filter(F.length("word") > LONG_WORD).select("word", "uses").mapInArrow(by_library, "uses array<struct<chunk:long,number:int>>, ids array<int>")
-    encoded = short.select("uses", "ids").union(long_words).select(F.explode("uses").alias("u"), "ids").select("u.chunk", "u.number", "ids")
+    uses = words.groupBy("word", "part").agg(F.collect_list(F.struct("chunk", "number")).alias("uses"), F.first("given").alias("given"))
+    encoded = encoded_words(uses, known, spark, fold, ("word", "part")).select(F.explode("uses").alias("u"), F.coalesce("given", "ids").alias("ids"))
+    encoded = encoded.select("u.chunk", "u.number", "ids")
     id_kind = docs.schema[id_col].dataType.simpleString()
 
     def join(words: pa.Table, rows: pa.Table) -> pa.Table:
