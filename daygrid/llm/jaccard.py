@@ -8,13 +8,16 @@ by token.
 
 * Index skipping: a list is ordered by set size; for a set only the block of sizes
   that can still reach the similarity is visited, and a pair is skipped when the
-  positions of the shared token leave too few tokens for the needed overlap.
+  positions of the shared token leave too few tokens for the needed overlap. Two
+  sets that meet at a frequent token have all their rare tokens before it; unless
+  they meet at a rare one too, they share at most their frequent tokens.
 * Answer skipping: a long list, or one of a frequent token, is not paired out.
-  All its sets are compared with one leader. Sets that the leader links need no
-  comparison with each other, for the result is components. For the rest the
-  leader's answers bound theirs: Jaccard distance is a metric, so two sets whose
-  distances to the leader differ by more than 0.25 cannot link; only the others
-  are compared. No pair between different components is left out otherwise.
+  All its sets are compared with one leader, the set that shares most lists. Sets
+  that the leader links need no comparison with each other, for the result is
+  components. What is left outside gets leaders of its own for some rounds. For the
+  rest the first leader's answers bound theirs: Jaccard distance is a metric, so two
+  sets whose distances to the leader differ by more than 0.25 cannot link; only the
+  others are compared. No pair between different components is left out otherwise.
 
 Frequent tokens are those whose share of the sets reaches ``HOT_SHARE`` in some
 chunk; any token whose share is that large overall is frequent in one chunk. Being
@@ -46,12 +49,15 @@ NUM, DEN = 75, 100
 HOT_SHARE = 1 / 2000
 HOT_LEAST, HOT_MOST = 16, 200_000
 CHUNK_TOKENS = 4_000_000
-SHORT_LIST = 8
+SHORT_LIST = 4
+ROUNDS = 4
+HOT_ENTRIES = 200_000
 BUCKET_ENTRIES = 400_000
 KNOWN_WORDS = 300_000
 PRINT_BYTES = 6
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-ENTRY = np.dtype([("token", "<u8"), ("key", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+ENTRY = np.dtype([("token", "<u8"), ("own", "<u2"), ("pos", "<u2")])
+SET = np.dtype([("key", "<i8"), ("n", "<i4")])
 
 
 class WordHashes(dict):
@@ -127,14 +133,30 @@ def _sets_and_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield hot(kind)
 
 
+def pack(sets: np.ndarray, entries: np.ndarray) -> bytes:
+    """Entries with the sets that they name, renumbered."""
+    used, own = np.unique(entries["own"], return_inverse=True)
+    entries = entries.copy()
+    entries["own"] = own
+    return len(used).to_bytes(4, "little") + sets[used].tobytes() + entries.tobytes()
+
+
+def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token, key, n and position of packed entries."""
+    m = int.from_bytes(payload[:4], "little")
+    sets = np.frombuffer(payload, SET, m, 4)
+    e = np.frombuffer(payload, ENTRY, -1, 4 + m * SET.itemsize)
+    return e["token"], sets["key"][e["own"]], sets["n"][e["own"]].astype(np.int64), e["pos"].astype(np.int64)
+
+
 def prefix_lists(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, payload) with packed entries of rare tokens, and (token, key, n) of frequent ones."""
+    """(bucket, payload) with packed prefix entries; those of frequent tokens go, by their set, to buckets below zero."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = shared.value, set()
         for _, texts in texts_of(batches, "shingled_text"):
-            rare, often = [], []
+            sets, rows, where = [], [np.empty(0, ENTRY)], [np.empty(0, np.int64)]
             for t in texts:
                 s = shingles(t)
                 if not len(s):
@@ -149,68 +171,68 @@ def prefix_lists(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
                 is_hot = frequent[at] == s if len(frequent) else np.zeros(len(s), bool)
                 first = s[~is_hot][:p]
-                e = np.empty(len(first), ENTRY)
-                e["token"], e["key"], e["n"], e["pos"] = first, key, len(s), np.arange(len(first))
-                rare.append(e)
-                if len(first) < p:
-                    last = s[is_hot][: p - len(first)]
-                    e = np.empty(len(last), ENTRY)
-                    e["token"], e["key"], e["n"], e["pos"] = last, key, len(s), 0
-                    often.append(e)
-            e = np.concatenate([np.empty(0, ENTRY), *rare])
-            b = ((e["token"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+                last = s[is_hot][: p - len(first)]
+                e = np.empty(len(first) + len(last), ENTRY)
+                e["token"], e["own"], e["pos"] = np.concatenate((first, last)), len(sets), np.minimum(np.arange(len(e)), min(len(first), 65535))
+                sets.append((key, len(s)))
+                rows.append(e)
+                where.append(((first >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
+                where.append(np.full(len(last), -1 - key % buckets, np.int64))
+            e, b, sets = np.concatenate(rows), np.concatenate(where), np.array(sets, SET)
             order = np.argsort(b, kind="stable")
             e, b = e[order], b[order]
-            ids, starts = np.unique(b, return_index=True)
-            cuts = [*starts[1:].tolist(), len(e)]
-            packed = [e[i:j].tobytes() for i, j in zip(starts.tolist(), cuts, strict=True)] if len(e) else []
-            h = np.concatenate([np.empty(0, ENTRY), *often])
-            none, nil = [None] * len(h), [None] * len(packed)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*ids.tolist(), *none], pa.int32()),
-                    pa.array([*packed, *none], pa.binary()),
-                    pa.array([*nil, *h["token"].view(np.int64).tolist()], pa.int64()),
-                    pa.array([*nil, *h["key"].tolist()], pa.int64()),
-                    pa.array([*nil, *h["n"].tolist()], pa.int64()),
-                ],
-                names=["bucket", "payload", "token", "key", "n"],
-            )
-
-    return docs.mapInArrow(run, "bucket int, payload binary, token long, key long, n long")
-
-
-def pairs_of_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs (a, b) of short lists; long lists as (token, key, n)."""
-    e = np.concatenate([np.frombuffer(p, ENTRY) for p in rows["payload"]])
-    e = e[np.lexsort((e["key"], e["n"], e["token"]))]
-    fresh = np.ones(len(e), bool)
-    fresh[1:] = (e["token"][1:] != e["token"][:-1]) | (e["key"][1:] != e["key"][:-1])
-    e = e[fresh]
-    starts = np.flatnonzero(np.concatenate(([True], e["token"][1:] != e["token"][:-1])))
-    sizes = np.diff(np.concatenate((starts, [len(e)])))
-    a, b, long_lists = [], [], []
-    for start, size in zip(starts[sizes > SHORT_LIST], sizes[sizes > SHORT_LIST], strict=True):
-        long_lists.append(e[start : start + size])
-    for size in range(2, SHORT_LIST + 1):
-        at = starts[sizes == size]
-        for i in range(size):
-            for j in range(i + 1, size):
-                x, y = e[at + i], e[at + j]
-                rest = 1 + np.minimum(x["n"] - x["pos"], y["n"] - y["pos"]) - 1
-                ok = (DEN * x["n"].astype(np.int64) >= NUM * y["n"].astype(np.int64)) & (rest >= needed(x["n"].astype(np.int64), y["n"].astype(np.int64)))
-                a.append(np.minimum(x["key"], y["key"])[ok])
-                b.append(np.maximum(x["key"], y["key"])[ok])
-    pairs = np.unique(np.stack((np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])), axis=1), axis=0)
-    h = np.concatenate([np.empty(0, ENTRY), *long_lists])
-    m, k = len(pairs), len(h)
+            cuts = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)] if len(b) else [0]
+            ids = [int(b[i]) for i in cuts[:-1]]
+            packed = [pack(sets, e[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "payload"])
+
+    return docs.mapInArrow(run, "bucket long, payload binary")
+
+
+def pairs_of_bucket(bucket: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Candidate pairs (a, b) of short lists; members (list, key, n, left) of long ones and of frequent tokens.
+
+    ``left`` is the number of tokens from the shared one on, the most that can be shared.
+
+    A long list is named by its members, so that tokens with the same list count once.
+    """
+    token, key, n, pos = (np.concatenate(x) for x in zip(*map(unpack, rows["payload"]), strict=True))
+    order = np.lexsort((key, n, token))
+    token, key, n, pos = token[order], key[order], n[order], pos[order]
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+    token, key, n, pos = token[fresh], key[fresh], n[fresh], pos[fresh]
+    starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    sizes = np.diff(np.concatenate((starts, [len(token)])))
+    a, b, names, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if int(bucket[0]) < 0:
+        names.append(token.view(np.int64))
+        at.append(np.arange(len(token)))
+    else:
+        for start, size in zip(starts[sizes > SHORT_LIST], sizes[sizes > SHORT_LIST], strict=True):
+            members = np.sort(key[start : start + size])
+            names.append(np.full(size, key_of(members)))
+            at.append(np.arange(start, start + size))
+        for size in range(2, SHORT_LIST + 1):
+            first = starts[sizes == size]
+            for i in range(size):
+                for j in range(i + 1, size):
+                    x, y = first + i, first + j
+                    ok = (DEN * n[x] >= NUM * n[y]) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= needed(n[x], n[y]))
+                    a.append(np.minimum(key[x], key[y])[ok])
+                    b.append(np.maximum(key[x], key[y])[ok])
+    pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0)
+    at = np.concatenate(at)
+    members = np.unique(np.stack((np.concatenate(names), key[at], n[at], n[at] - pos[at]), axis=1), axis=0)
+    m, k = len(pairs), len(members)
     return pd.DataFrame(
         {
             "a": pd.array([*pairs[:, 0].tolist(), *[None] * k], dtype="Int64"),
             "b": pd.array([*pairs[:, 1].tolist(), *[None] * k], dtype="Int64"),
-            "token": pd.array([*[None] * m, *h["token"].view(np.int64).tolist()], dtype="Int64"),
-            "key": pd.array([*[None] * m, *h["key"].tolist()], dtype="Int64"),
-            "n": pd.array([*[None] * m, *h["n"].tolist()], dtype="Int64"),
+            "list": pd.array([*[None] * m, *members[:, 0].tolist()], dtype="Int64"),
+            "key": pd.array([*[None] * m, *members[:, 1].tolist()], dtype="Int64"),
+            "n": pd.array([*[None] * m, *members[:, 2].tolist()], dtype="Int64"),
+            "left": pd.array([*[None] * m, *members[:, 3].tolist()], dtype="Int64"),
         }
     )
 
@@ -220,7 +242,7 @@ def packed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in texts_of(batches, "shingled_text"):
-            sets = [s for s in map(shingles, texts) if len(s)]
+            sets = list({key_of(s): s for s in map(shingles, texts) if len(s)}.values())
             prints = [np.unique(s << np.uint64(64 - 8 * PRINT_BYTES)).view(np.uint8).reshape(-1, 8)[:, 8 - PRINT_BYTES :].tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary())],
@@ -229,13 +251,14 @@ def packed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     ids = checked_broadcast(stable(wanted.select(F.col("doc").alias("rep")).distinct(), "set_ids"))
     chosen = docs.join(ids, F.col("doc").eqNullSafe(F.col("rep")), "left_semi")
-    return stable(chosen.mapInArrow(run, "key long, n long, prints binary").dropDuplicates(["key"]), "sets")
+    made = chosen.mapInArrow(run, "key long, n long, prints binary")
+    return stable(made.join(checked_broadcast(stable(wanted.select("key"), "set_keys")), "key", "left_semi"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, shared, n_a, n_b): the exact overlap of each pair."""
 
-    def unpack(raw: bytes) -> np.ndarray:
+    def widened(raw: bytes) -> np.ndarray:
         wide = np.zeros((len(raw) // PRINT_BYTES, 8), np.uint8)
         wide[:, :PRINT_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, PRINT_BYTES)
         return wide.view("<u8").ravel()
@@ -246,52 +269,69 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 raw = x.as_py()
                 if raw != last:
-                    last, mine = raw, unpack(raw)
-                shared.append(len(np.intersect1d(mine, unpack(y.as_py()), assume_unique=True)))
+                    last, mine = raw, widened(raw)
+                shared.append(len(np.intersect1d(mine, widened(y.as_py()), assume_unique=True)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64())], names=["a", "b", "n_a", "n_b", "shared"])
 
     first = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("prints").alias("x"))
     second = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("prints").alias("y"))
-    rows = pairs.join(first, "a").join(second, "b").select("a", "b", "n_a", "n_b", "x", "y")
-    return stable(rows.mapInArrow(run, "a long, b long, n_a long, n_b long, shared long"), "overlaps")
+    rows = pairs.join(second, "b").join(first, "a").select("a", "b", "n_a", "n_b", "x", "y")
+    return stable(rows.mapInArrow(run, "a long, b long, n_a long, n_b long, shared long").distinct(), "overlaps")
 
 
 def linking(overlaps: DataFrame) -> DataFrame:
     return overlaps.filter(f"{DEN} * shared >= {NUM} * (n_a + n_b - shared)").select("a", "b")
 
 
-def residual_pairs(lists: DataFrame, overlaps: DataFrame, leaders: DataFrame, roots: DataFrame) -> DataFrame:
+def with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the lists that still hold several components, with their root."""
+    found = lists.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    found = stable(found, "members")
+    several = found.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("list")
+    return found.join(several, "list")
+
+
+def fitting() -> str:
+    return f"{DEN} * least(n, leader_n) >= {NUM} * greatest(n, leader_n) AND {NUM + DEN} * least(left, leader_left) >= {NUM} * (n + leader_n)"
+
+
+def star_pairs(members: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pairs of each list's members with its leader, the candidate of the most weight."""
+    best = F.max(F.struct("weight", F.col("key").alias("leader"), F.col("n").alias("leader_n"), F.col("left").alias("leader_left"), F.col("root").alias("leader_root"))).alias("best")
+    leaders = candidates.groupBy("list").agg(best).select("list", "best.*").drop("weight")
+    pairs = members.join(leaders, "list").filter(f"root <> leader_root AND {fitting()}")
+    return pairs.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
+
+
+def residual_pairs(members: DataFrame, overlaps: DataFrame) -> DataFrame:
     """Pairs of long lists that the leaders' answers neither linked nor ruled out."""
     known = overlaps.select("a", "b", (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("gap"))
     known = known.union(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
-    root = roots.select(F.col("node").alias("key"), "root")
-    members = (
-        lists.join(leaders, "token")
-        .join(known.select(F.col("a").alias("key"), F.col("b").alias("leader"), "gap"), ["key", "leader"], "left")
-        .join(root, "key", "left")
-        .select("token", "leader", "key", "n", F.coalesce("root", "key").alias("root"), F.coalesce("gap", F.lit(0.0)).alias("gap"))
-    )
-    members = stable(members, "list_members")
-    own = members.filter("key = leader").select("token", F.col("root").alias("leader_root")).distinct()
-    members = members.join(own, "token")
-    least = members.filter("root <> leader_root").groupBy("token").agg(F.min("gap").alias("nearest"))
+    best = F.max(F.struct("weight", F.col("key").alias("leader"), F.col("root").alias("leader_root"))).alias("best")
+    leaders = members.groupBy("list").agg(best).select("list", "best.leader", "best.leader_root")
+    # Without a measured distance to the leader nothing is known of a set: null.
+    gaps = members.join(leaders, "list").join(known.select(F.col("a").alias("key"), F.col("b").alias("leader"), "gap"), ["key", "leader"], "left")
+    gaps = stable(gaps.withColumn("gap", F.when(F.col("key") == F.col("leader"), 0.0).otherwise(F.col("gap"))), "gaps")
+    outside = F.col("root") != F.col("leader_root")
     room = 1 - NUM / DEN + 1e-9
-    open_ = members.join(least, "token").filter((F.col("root") != F.col("leader_root")) | (F.col("gap") >= F.col("nearest") - room))
+    least = gaps.filter(outside).groupBy("list").agg(F.min(F.coalesce("gap", F.lit(0.0))).alias("nearest"))
+    open_ = gaps.join(least, "list").filter(outside | F.col("gap").isNull() | (F.col("gap") >= F.col("nearest") - room))
 
     def pair(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("key").sort_values(["n", "key"], kind="stable")
-        keys, n, root, gap = (rows[c].to_numpy() for c in ("key", "n", "root", "gap"))
+        keys, n, left, root, gap = (rows[c].to_numpy() for c in ("key", "n", "left", "root", "gap"))
         ends = np.searchsorted(n, n * DEN // NUM, side="right")  # the block of sizes that can still match
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in range(len(keys)):
+        for i in np.flatnonzero(left >= needed(n, n)):  # partners are as large or larger and need as much
             block = slice(i + 1, ends[i])
-            ok = (root[block] != root[i]) & (np.abs(gap[block] - gap[i]) <= room)
-            other = keys[block][ok]
+            far = np.abs(gap[block] - gap[i]) > room  # false where a distance is not known
+            enough = np.minimum(left[block], left[i]) >= needed(n[block], n[i])
+            other = keys[block][(root[block] != root[i]) & enough & ~far]
             a.append(np.minimum(other, keys[i]))
             b.append(np.maximum(other, keys[i]))
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    found = open_.select("token", "key", "n", "root", "gap").groupBy("token").applyInPandas(pair, "a long, b long")
+    found = open_.select("list", "key", "n", "left", "root", "gap").groupBy("list").applyInPandas(pair, "a long, b long")
     return found.distinct().join(overlaps.select("a", "b"), ["a", "b"], "left_anti")
 
 
@@ -317,24 +357,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hot = [r["token"] for r in often.orderBy(F.desc("n"), "token").limit(HOT_MOST).collect()]
     hot = np.sort(np.array(hot, np.int64).view(np.uint64))
 
-    lists = stable(prefix_lists(own, hot, parts(total["entries"] or 0, BUCKET_ENTRIES)), "prefixes")
-    short = stable(
-        lists.filter("payload IS NOT NULL").select("bucket", "payload").groupBy("bucket").applyInPandas(pairs_of_bucket, "a long, b long, token long, key long, n long"),
-        "candidates",
-    )
-    long_lists = lists.filter("token IS NOT NULL").select("token", "key", "n").union(short.filter("token IS NOT NULL").select("token", "key", "n"))
-    long_lists = stable(long_lists.distinct(), "long_lists")
-    leaders = stable(long_lists.groupBy("token").agg(F.min("key").alias("leader"), F.count("*").alias("held")).filter("held > 1").drop("held"), "leaders")
-    stars = long_lists.join(leaders, "token").filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    pairs = stable(short.filter("a IS NOT NULL").select("a", "b").union(stars).distinct(), "pairs")
+    packed = prefix_lists(own, hot, parts(total["entries"] or 0, BUCKET_ENTRIES))
+    found = packed.groupBy("bucket").applyInPandas(pairs_of_bucket, "a long, b long, list long, key long, n long, left long")
+    found = stable(found, "candidates")
+    lists = found.filter("list IS NOT NULL").groupBy("list", "key").agg(F.max("n").alias("n"), F.max("left").alias("left"))
+    lists = stable(lists, "lists")
+    held = lists.groupBy("list").agg(F.count("*").alias("held")).filter("held > 1")
+    weights = lists.join(held, "list").groupBy("key").agg(F.sum("held").alias("weight"))
+    lists = stable(lists.join(held.select("list"), "list").join(weights, "key"), "weighted_lists")
 
-    in_pairs = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    in_pairs = found.filter("a IS NOT NULL").select(F.explode(F.array("a", "b")).alias("key")).union(lists.select("key")).distinct()
     sets = packed_sets(own, in_pairs.join(classes.select("key", "doc"), "key"))
+    members = lists.withColumn("root", F.col("key"))
+    pairs = stable(found.filter("a IS NOT NULL").select("a", "b").union(star_pairs(members, members)).distinct(), "pairs")
     overlaps = verified(pairs, sets)
-    links = linking(overlaps)
-    rest = stable(residual_pairs(long_lists, overlaps, leaders, components(links)), "residual_pairs")
-    links = links.union(linking(verified(rest, sets)))
-    roots = components(links)
+    for _ in range(ROUNDS):
+        roots = components(linking(overlaps))
+        members = stable(with_roots(lists, roots), "open_members")
+        main = members.groupBy("list").agg(F.max(F.struct("weight", "key", "root")).alias("m")).select("list", F.col("m.root").alias("main"))
+        fresh = star_pairs(members, members.join(main, "list").filter("root <> main"))
+        fresh = stable(fresh.join(overlaps.select("a", "b"), ["a", "b"], "left_anti"), "star_pairs")
+        if fresh.isEmpty():
+            break
+        overlaps = overlaps.union(verified(fresh, sets))
+    members = stable(with_roots(lists, components(linking(overlaps))), "open_members")
+    rest = stable(residual_pairs(members, overlaps), "residual_pairs")
+    roots = components(linking(overlaps.union(verified(rest, sets))))
 
     grouped = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "doc", F.coalesce("root", "key").alias("root"))
     grouped = stable(grouped, "grouped")

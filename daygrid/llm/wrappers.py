@@ -11,7 +11,8 @@ task page by page.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 comments are never content. Where a page marks its article (article or main
 element), the text is all of it but such parts; otherwise it is the page's varying
-slots, and the whole body for a host of one page.
+slots, and the whole body for a host of one page or a page without any varying slot
+(all pages of its host are copies).
 
 Defined results: a null html counts as empty and gives an empty text; a null url
 is a host of its own name; broken markup never fails (open elements close at the
@@ -206,8 +207,8 @@ def has_article(node: Node) -> bool:
 
 def main_text(page: str, template: list | None) -> str:
     root = parse(page)
-    pages = template[3] if template else 0
-    return " ".join(content(root, template, pages, has_article(root)))
+    marked, pages = has_article(root), template[3] if template else 0
+    return " ".join(content(root, template, pages, marked)) or " ".join(content(root, None, 0, marked))
 
 
 def host_of(url: str) -> F.Column:
