@@ -29,7 +29,7 @@ FLOATING_HOLIDAYS = (
 
 def day_of(c: Column | str) -> Column:
     """Calendar day of a timestamp or a text; text that is no timestamp gives null."""
-    return F.to_date(c)
+    return (F.col(c) if isinstance(c, str) else c).try_cast("timestamp").cast("date")
 
 
 def day_of_text(c: Column | str) -> Column:

@@ -24,12 +24,15 @@ def fill_grid(grid: DataFrame, facts: DataFrame, keys: Sequence[str], value: str
 
 
 def join_daily(df: DataFrame, daily: DataFrame, period: Period) -> DataFrame:
-    """Many-to-one left join to a per-date table with at most one row per day.
+    """Many-to-one left join to a per-date table with one row per day; a second row for a day is an error.
 
-    Cut to the period, such a table has at most ``period.days`` rows, which is
-    the bound its broadcast rests on.
+    Cut to the period and grouped by day, the table has at most ``period.days``
+    rows, which is the bound its broadcast rests on.
     """
-    inside = daily.filter(day_range(F.col("date"), period))
+    rest = [c for c in daily.columns if c != "date"]
+    once = daily.filter(day_range(F.col("date"), period)).groupBy("date").agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_row"))
+    one = F.expr("IF(_n > 1, CAST(raise_error('a day has several rows') AS DATE), date)")
+    inside = once.select(one.alias("date"), *(F.col("_row").getField(c).alias(c) for c in rest))
     return df.join(bounded(inside, period.days), "date", "left")
 
 

@@ -165,9 +165,12 @@ def residuals(
 
 
 def _salted(rows: DataFrame, models: DataFrame, keys: Sequence[str], largest: float) -> tuple:
-    """Rows and models grouped by key and salt; the largest group is cut to about ROWS_PER_TASK rows."""
+    """Rows and models grouped by key and salt; the largest group is cut to about ROWS_PER_TASK rows.
+
+    The salt is the hash of all other columns, so rows that agree in some still spread.
+    """
     salts = max(1, math.ceil(largest / ROWS_PER_TASK))
-    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys][:4]), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(salts)).cast("int")
     left = rows.withColumn("_salt", salt).groupBy(*keys, "_salt")
     right = models.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).groupBy(*keys, "_salt")
     return left, right
@@ -362,7 +365,8 @@ def search_errors(
     union = list(dict.fromkeys(c for cols in conditions.values() for c in cols))
     p = len(union)
     by = [*keys, "block"]
-    blocked = stable(with_fold_block(df.filter(train), keys, folds).select(*by, y, *union), "blocks")
+    apart = [c for c in ("date", "zone") if c in df.columns and c not in (*by, y, *union)]
+    blocked = stable(with_fold_block(df.filter(train), keys, folds).select(*by, y, *union, *apart), "blocks")
     cells = gram_cells(blocked, by, [*union, y])
     vec = T.ArrayType(T.DoubleType())
     head = [*_key_fields(df, keys), T.StructField("block", T.IntegerType()), T.StructField("condition", T.StringType()), T.StructField("draw", T.IntegerType())]
@@ -394,7 +398,8 @@ def search_errors(
         return cell[score_schema.names]
 
     models = cells.groupBy(*keys).applyInPandas(fold_models, model_schema)
-    left, right = _salted(blocked, models, by, blocked.count())
+    largest = cells.filter("i = 0 AND j = 0").agg(F.max("v")).first()[0] or 0
+    left, right = _salted(blocked, models, by, largest)
     partial = left.cogroup(right).applyInPandas(score, score_schema)
     fold = (F.col("block") - 1).alias("fold")
     return partial.groupBy(*keys, "condition", "draw", fold).agg((F.sum("sae") / F.sum("rows")).alias("mae")).withColumn(

@@ -104,13 +104,14 @@ def wrong_rolling(df: DataFrame, key: str, value: str, roll_col: str, size: int)
 
 
 def differing(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str], tol: float = 1e-9) -> DataFrame:
-    """Keys whose values differ between two runs by more than the relative tolerance."""
-    right = b.select(*keys, *(F.col(c).alias(f"_{c}") for c in cols))
-    bad = F.lit(False)
+    """Keys whose values differ between two runs by more than the relative tolerance, or that one run lacks."""
+    left = a.select(*keys, *cols, F.lit(True).alias("_in_a"))
+    right = b.select(*keys, *(F.col(c).alias(f"_{c}") for c in cols), F.lit(True).alias("_in_b"))
+    bad = F.col("_in_a").isNull() | F.col("_in_b").isNull()
     for c in cols:
         gap = F.abs(F.col(c) - F.col(f"_{c}")) > tol * F.greatest(F.lit(1.0), F.abs(c))
-        bad = bad | F.coalesce(gap, F.lit(True))
-    return a.select(*keys, *cols).join(right, list(keys)).filter(bad).select(*keys)
+        bad = bad | F.coalesce(gap, ~F.col(c).eqNullSafe(F.col(f"_{c}")))
+    return left.join(right, list(keys), "full").filter(bad).select(*keys)
 
 
 def weight_sums(df: DataFrame, tol: float = 1e-9) -> DataFrame:

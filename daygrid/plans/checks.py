@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from daygrid.streaming.daily_counts import update_counts
 
 @query(
     "dq_row_count",
-    with_ctes(["panel"], "SELECT count(*) AS rows_before, count(*) AS rows_after, true AS kept FROM panel"),
+    with_ctes(["panel", "exo"], "SELECT a.n AS rows_before, b.n AS rows_after, a.n = b.n AS kept FROM (SELECT count(*) AS n FROM panel) a, (SELECT count(*) AS n FROM panel LEFT JOIN exo USING (date)) b"),
 )
 def dq_row_count(spark: SparkSession, d: str) -> DataFrame:
     panel = stable(t.demand_panel(spark, d), "panel")
@@ -58,11 +60,21 @@ def dq_split_order(spark: SparkSession, d: str) -> DataFrame:
     return quality.split_ranges(t.demand_panel(spark, d), features.split_label(F.col("date"), t.PERIOD))
 
 
-@query("leak_lag", with_ctes(["feats"], "SELECT a.zone, a.date FROM feats a LEFT JOIN feats b ON a.zone = b.zone AND b.date = a.date - 7 WHERE a.demand_lag_7 IS DISTINCT FROM b.demand"))
+@query(
+    "leak_lag",
+    with_ctes(
+        ["feats"],
+        " UNION ALL ".join(
+            f"SELECT a.zone, a.date, {k} AS lag FROM feats a LEFT JOIN feats b ON a.zone = b.zone AND b.date = a.date - {k} WHERE a.demand_lag_{k} IS DISTINCT FROM b.demand"
+            for k in t.PANEL.lags
+        ),
+    ),
+)
 def leak_lag(spark: SparkSession, d: str) -> DataFrame:
     table = stable(t.demand_panel(spark, d), "panel")
-    lagged = table.select("*", *features.lags("demand", (7,), features.by_day("zone"), "demand_lag_"))
-    return quality.wrong_lags(lagged, "zone", "demand", "demand_lag_7", 7).select("zone", "date")
+    lagged = stable(table.select("*", *features.lags("demand", t.PANEL.lags, features.by_day("zone"), "demand_lag_")), "lagged")
+    wrong = [quality.wrong_lags(lagged, "zone", "demand", f"demand_lag_{k}", k).select("zone", "date", F.lit(k).alias("lag")) for k in t.PANEL.lags]
+    return reduce(DataFrame.union, wrong)
 
 
 @query(
@@ -80,33 +92,39 @@ def leak_rolling(spark: SparkSession, d: str) -> DataFrame:
     return quality.wrong_rolling(rolled, "zone", "demand", "roll_7", 7).select("zone", "date")
 
 
-@query("leak_fit", with_ctes(["wide"], "SELECT date, 'total' AS target FROM wide WHERE false"))
+@query("leak_fit", with_ctes(["series"], "SELECT date, target, 'all_days' AS fitted_on FROM series"))
 def leak_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Baselines fitted with distorted val and test values must not move: no rows expected.
+    """Days whose baseline moves when val and test values are distorted, by what the fit may see.
 
-    Both fits predict the same undistorted days, test days included.
+    Fits on train days must not move, so they give no row. Fits that see all days
+    are the control: every day of theirs moves. All predict the same undistorted days.
     """
     series = stable(t.with_calendar(t.target_series(spark, d)), "series")
     distorted = series.withColumn("y", F.when(t.is_train(), F.col("y")).otherwise(F.col("y") * 10 + 500))
-    parts = []
-    for source in (series, distorted):
-        models = linear.fit_ols(source, ["target"], {"y": BASELINE}, t.is_train())
-        fitted = series.join(models, "target").select("target", "date", linear.linear_value(BASELINE, "coef_y").alias("fit"))
-        parts.append(fitted)
-    return quality.differing(parts[0], parts[1], ["date", "target"], ["fit"])
+    moved = []
+    for name, days in (("train", t.is_train()), ("all_days", F.lit(True))):
+        parts = []
+        for source in (series, distorted):
+            models = linear.fit_ols(source, ["target"], {"y": BASELINE}, days)
+            parts.append(series.join(models, "target").select("target", "date", linear.linear_value(BASELINE, "coef_y").alias("fit")))
+        moved.append(quality.differing(parts[0], parts[1], ["date", "target"], ["fit"]).withColumn("fitted_on", F.lit(name)))
+    return moved[0].union(moved[1])
 
 
-@query("leak_climate", with_ctes(["exo"], "SELECT date FROM exo WHERE false"))
+@query("leak_climate", with_ctes(["exo"], "SELECT date, 'all_days' AS fitted_on FROM exo"))
 def leak_climate(spark: SparkSession, d: str) -> DataFrame:
     """The same proof for the climate of the outside variables."""
     exo = stable(t.with_calendar(sample.exo_daily(spark, d).select("date", *t.EXO, F.lit(1).alias("g"))), "exo")
     distorted = exo.withColumns({v: F.when(t.is_train(), F.col(v)).otherwise(F.col(v) * 10 + 500) for v in t.EXO})
-    parts = []
-    for source in (exo, distorted):
-        models = linear.fit_ols(source, ["g"], dict.fromkeys(t.EXO, harmonic_names()), t.is_train())
-        fits = [linear.linear_value(harmonic_names(), f"coef_{v}").alias(v) for v in t.EXO]
-        parts.append(exo.drop(*t.EXO).join(models, "g").select("date", *fits))
-    return quality.differing(parts[0], parts[1], ["date"], t.EXO)
+    moved = []
+    for name, days in (("train", t.is_train()), ("all_days", F.lit(True))):
+        parts = []
+        for source in (exo, distorted):
+            models = linear.fit_ols(source, ["g"], dict.fromkeys(t.EXO, harmonic_names()), days)
+            fits = [linear.linear_value(harmonic_names(), f"coef_{v}").alias(v) for v in t.EXO]
+            parts.append(exo.drop(*t.EXO).join(models, "g").select("date", *fits))
+        moved.append(quality.differing(parts[0], parts[1], ["date"], t.EXO).withColumn("fitted_on", F.lit(name)))
+    return moved[0].union(moved[1])
 
 
 @query("dq_weight_sum", with_ctes(["cw"], "SELECT precinct, round(sum(weight), 6) + 0.0 AS total, abs(sum(weight) - 1) < 1e-9 AS ok FROM cw GROUP BY 1"))

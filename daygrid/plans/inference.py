@@ -123,12 +123,12 @@ def bootstrap_corr_ci(spark: SparkSession, d: str) -> DataFrame:
         f"""SELECT target, {_ci('value')}, (SELECT round(avg(y), 6) + 0.0 FROM bs_in i WHERE i.target = r.target) AS point FROM (SELECT target, rep, sum(s) / sum(length) AS value FROM bs_idx
         JOIN (SELECT target, start, length, sum(y) AS s FROM (SELECT target, start, length, start + i AS pos FROM (SELECT DISTINCT target, start, length FROM bs_idx),
         LATERAL (SELECT range AS i FROM range(length)) l) JOIN bs_pos USING (target, pos) GROUP BY 1, 2, 3) USING (target, start, length) GROUP BY 1, 2) r GROUP BY target""",
-        [("bs_in", f"SELECT target, date, {SEED} AS seed, y FROM series"), *_draws("target", 500)],
+        [("bs_in", f"SELECT target, date, {SEED} AS seed, y FROM series"), *_draws("target", REPS)],
     ),
 )
 def bootstrap_stat_ci(spark: SparkSession, d: str) -> DataFrame:
     rows = stable(t.target_series(spark, d), "series")
-    return t.rounded(bs.stat_interval(rows, ["target"], F.avg("y"), F.lit(SEED), 500, BLOCK))
+    return t.rounded(bs.stat_interval(rows, ["target"], F.avg("y"), F.lit(SEED), REPS, BLOCK))
 
 
 _PAIR_IN = (

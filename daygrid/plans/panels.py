@@ -336,8 +336,10 @@ def zone_onehot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def zone_categories(panel: DataFrame) -> list[int]:
-    """Train zones of the panel: at most top_n ids, which become column names."""
-    rows = panel.filter(t.is_train()).select("zone").distinct().orderBy("zone").limit(t.PANEL.top_n).collect()
+    """Train zones of the panel, which become column names; more than top_n of them are an error."""
+    rows = panel.filter(t.is_train()).select("zone").distinct().orderBy("zone").limit(t.PANEL.top_n + 1).collect()
+    if len(rows) > t.PANEL.top_n:
+        raise ValueError(f"the panel has more than {t.PANEL.top_n} zones")
     return [r.zone for r in rows]
 
 

@@ -345,6 +345,6 @@ def split_labels(spark: SparkSession, d: str) -> DataFrame:
 def resum_spill_rows(spark: SparkSession, d: str) -> DataFrame:
     """Partial counts per input (return flag stands for the file) merged per (date, zone)."""
     lines = read_table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date"), "l_suppkey", "l_returnflag")
-    partial = count_rows(lines, ["date", "l_suppkey", "l_returnflag"])
     zones = read_table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("zone"))
-    return resum(partial.join(zones, partial.l_suppkey == zones.s_suppkey), ["date", "zone"], "n")
+    partial = count_rows(lines.join(zones, lines.l_suppkey == zones.s_suppkey), ["date", "zone", "l_returnflag"])
+    return resum(partial, ["date", "zone"], "n")

@@ -25,7 +25,7 @@ from daygrid.config import (
     SeriesSettings,
     TimeWindows,
 )
-from daygrid.functions.calendar import calendar_block, calendar_names, date_spine, day_range, harmonic_names
+from daygrid.functions.calendar import day_of, calendar_block, calendar_names, date_spine, day_range, harmonic_names
 from daygrid.functions.stats import safe_corr
 from daygrid.operators import bootstrap, counts, events, features, grid, linear, metrics, quality, segments, trees
 from daygrid.session import stable
@@ -60,7 +60,7 @@ def zone_panel(
     period = settings.period
     require_columns(trips, ["pickup_ts", "zone"])
     quality.require_one_to_one(weather, ["date"], "weather")
-    daily = trips.select(F.to_date("pickup_ts").alias("date"), F.col("zone").cast("int").alias("zone"))
+    daily = trips.select(day_of("pickup_ts").alias("date"), F.col("zone").cast("int").alias("zone"))
     daily = daily.filter(day_range(F.col("date"), period)).groupBy("date", "zone").agg(F.count(F.lit(1)).cast("double").alias("demand"))
     if zones is not None:
         daily = daily.join(zones.select(F.col("zone").cast("int").alias("zone")).distinct(), "zone", "left_semi")
@@ -138,7 +138,7 @@ def series_tree_scores(study: SeriesStudy, settings: SeriesSettings, search: Sea
 def type_series(trips: DataFrame, period: Period) -> DataFrame:
     """Trips (started_at, member_casual) to (date, member, casual, total). A day without trips is an error."""
     require_columns(trips, ["started_at", "member_casual"])
-    daily = trips.select(F.to_date("started_at").alias("date"), "member_casual").filter(day_range(F.col("date"), period))
+    daily = trips.select(day_of("started_at").alias("date"), "member_casual").filter(day_range(F.col("date"), period))
     wide = stable(counts.pivot_types(counts.count_rows(daily, ["date", "member_casual"]), USER_TYPES), "daily")
     return grid.require_no_missing_days(date_spine(trips.sparkSession, period.start, period.end), wide)
 
@@ -212,13 +212,15 @@ def series_study(
 def trip_segments(trips: DataFrame, period: Period, windows: TimeWindows = TimeWindows()) -> DataFrame:
     """Trips (started_at, member_casual, start_station_id, end_station_id) to (date, segment, n)."""
     require_columns(trips, ["started_at", "member_casual", "start_station_id", "end_station_id"])
-    dated = trips.withColumn("date", F.to_date("started_at")).filter(day_range(F.col("date"), period))
+    trips = trips.withColumn("started_at", F.col("started_at").try_cast("timestamp"))
+    dated = trips.withColumn("date", day_of("started_at")).filter(day_range(F.col("date"), period))
     return segments.count_segments(dated, segments.trip_rules(segments.time_slot(F.col("started_at"), windows)))
 
 
 def hourly_segments(hourly: DataFrame, period: Period, windows: TimeWindows = TimeWindows()) -> DataFrame:
     """Hourly sums (transit_timestamp, ridership) to (date, segment, n)."""
     require_columns(hourly, ["transit_timestamp", "ridership"])
+    hourly = hourly.withColumn("transit_timestamp", F.col("transit_timestamp").try_cast("timestamp"))
     inside = hourly.filter(day_range(F.to_date("transit_timestamp"), period))
     return segments.sum_segments(inside, "transit_timestamp", "ridership", windows)
 

@@ -41,17 +41,17 @@ def trip_hour() -> Column:
 
 
 def day_zone_counts(spark: SparkSession, folder: str, period: Period | None = None) -> DataFrame:
-    """(date, zone, demand). Counted per supplier first, so the join is skew-free."""
-    per_supplier = (
-        lines(spark, folder, period)
-        .groupBy(F.to_date("l_shipdate").alias("date"), "l_suppkey")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """(date, zone, demand). The lines meet their zone first; the map-side count leaves days x zones rows a task.
+
+    Where the suppliers are no broadcast, adaptive execution can split a hot
+    supplier's partition, as the count has a shuffle of its own.
+    """
     zones = read_table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("zone"))
+    raw = lines(spark, folder, period).select("l_suppkey", F.to_date("l_shipdate").alias("date"))
     return (
-        per_supplier.join(zones, per_supplier.l_suppkey == zones.s_suppkey)
+        raw.join(zones, raw.l_suppkey == zones.s_suppkey)
         .groupBy("date", "zone")
-        .agg(F.sum("n").cast("double").alias("demand"))
+        .agg(F.count(F.lit(1)).cast("double").alias("demand"))
     )
 
 
@@ -68,8 +68,8 @@ def _trip_groups(
 ) -> DataFrame:
     """Lines counted per (date, supplier nation, customer nation, facets).
 
-    Orders meet customers first (the smaller pair), the lines are joined once
-    on the order key and are then counted per supplier before that join.
+    Orders meet customers first (the smaller pair); the lines are joined on the
+    supplier and on the order key and are then counted once.
     """
     orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     homes = read_table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("origin"))
@@ -77,13 +77,13 @@ def _trip_groups(
     raw = lines(spark, folder, period).select(
         "l_orderkey", "l_suppkey", F.to_date("l_shipdate").alias("date"), *(c.alias(n) for n, c in facets.items())
     )
-    counted = (
-        raw.join(origin, raw.l_orderkey == origin.o_orderkey)
-        .groupBy("date", "l_suppkey", "origin", *facets)
+    zones = read_table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("zone"))
+    return (
+        raw.join(zones, raw.l_suppkey == zones.s_suppkey)
+        .join(origin, raw.l_orderkey == origin.o_orderkey)
+        .groupBy("date", "zone", "origin", *facets)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    zones = read_table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("zone"))
-    return counted.join(zones, counted.l_suppkey == zones.s_suppkey).select("date", "zone", "origin", *facets, "n")
 
 
 def routes(spark: SparkSession, folder: str, period: Period | None = None) -> DataFrame:
@@ -176,25 +176,24 @@ def zone_lookup(spark: SparkSession, folder: str) -> DataFrame:
 def permit_rows(spark: SparkSession, folder: str, period: Period | None = None) -> DataFrame:
     """(event_id, day, police_precinct): one row per order, its suppliers' nations as a comma list.
 
-    Nation keys run from 0 to 24, so the set of one order is a bit mask: a plain
-    hash aggregation that combines map-side, however many lines an order has.
+    The set of an order holds each nation once, in ascending order, and is bounded
+    by the nations; sets combine map-side, however many lines an order has. Only
+    lines of the period's orders are joined to suppliers.
     """
-    raw = read_table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey")
-    zones = read_table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    masks = (
-        raw.join(zones, raw.l_suppkey == zones.s_suppkey)
-        .groupBy("l_orderkey")
-        .agg(F.bit_or(F.expr("shiftleft(1L, s_nationkey)")).alias("mask"))
-    )
-    ids = F.filter(F.sequence(F.lit(0), F.lit(24)), lambda i: F.getbit(F.col("mask"), i) == 1)
-    listed = F.concat(F.array_join(F.transform(ids, lambda i: i.cast("string")), ","), F.lit(","))
     orders = read_table(spark, folder, "orders")
     if period:
         orders = orders.filter(within(F.col("o_orderdate"), period.start, period.end))
     orders = orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    return masks.join(orders, masks.l_orderkey == orders.o_orderkey).select(
-        F.col("l_orderkey").alias("event_id"), "day", listed.alias("police_precinct")
+    raw = read_table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey")
+    zones = read_table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+    inside = raw.join(orders, raw.l_orderkey == orders.o_orderkey)
+    sets = (
+        inside.join(zones, inside.l_suppkey == zones.s_suppkey)
+        .groupBy("l_orderkey", "day")
+        .agg(F.array_sort(F.collect_set("s_nationkey")).alias("ids"))
     )
+    listed = F.concat(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), F.lit(","))
+    return sets.select(F.col("l_orderkey").alias("event_id"), "day", listed.alias("police_precinct"))
 
 
 def overlap_areas(spark: SparkSession, folder: str) -> DataFrame:
