@@ -48,12 +48,11 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 HOT_SHARE = 1 / 2000
 HOT_LEAST, HOT_MOST = 16, 200_000
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
 SHORT_LIST = 4
 ROUNDS = 4
-HOT_ENTRIES = 200_000
 BUCKET_ENTRIES = 400_000
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 PRINT_BYTES = 6
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ENTRY = np.dtype([("token", "<u8"), ("own", "<u2"), ("pos", "<u2")])

@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from daygrid.llm.common import small_batches, texts_of
 
 MARK = "▁"
-CHUNK_CHARS = 32_000_000
+CHUNK_CHARS = 20_000_000
 CHUNKS_IN_GROUP = 512
 LONG_WORD = 48
-WORDS_IN_PARTITION = 150_000
+WORDS_IN_PARTITION = 60_000
 _LOADED: dict[str, Vocabulary] = {}
 
 

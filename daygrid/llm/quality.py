@@ -37,7 +37,7 @@ TRAIN_ROWS = 10_000
 EPOCHS = 3
 THRESHOLD = 0.3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 150_000
 
 _RUNS = ((re.compile(r"\d+"), "0"), (re.compile(r"[^\W\d_A-Z]+"), "a"), (re.compile(r"[A-Z]+"), "A"))
 
