@@ -14,8 +14,8 @@ by token.
 * Answer skipping: a long list, or one of a frequent token, is not paired out.
   All its sets are compared with one leader, the set that shares most lists. Sets
   that the leader links need no comparison with each other, for the result is
-  components. What is left outside gets leaders of its own for some rounds. For the
-  rest the first leader's answers bound theirs: Jaccard distance is a metric, so two
+  components. What is left outside gets leaders of its own, round by round while a
+  round still closes a tenth of the open lists. For the rest the first leader's answers bound theirs: Jaccard distance is a metric, so two
   sets whose distances to the leader differ by more than 0.25 cannot link; only the
   others are compared. No pair between different components is left out otherwise.
 
@@ -51,6 +51,7 @@ HOT_LEAST, HOT_MOST = 16, 200_000
 CHUNK_TOKENS = 2_000_000
 SHORT_LIST = 4
 ROUNDS = 4
+ROUND_GAIN = 0.1
 BUCKET_ENTRIES = 400_000
 KNOWN_WORDS = 150_000
 PRINT_BYTES = 6
@@ -370,16 +371,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = lists.withColumn("root", F.col("key"))
     pairs = stable(found.filter("a IS NOT NULL").select("a", "b").union(star_pairs(members, members)).distinct(), "pairs")
     overlaps = verified(pairs, sets)
+    members, still_open = stable(with_roots(lists, components(linking(overlaps))), "open_members"), None
     for _ in range(ROUNDS):
-        roots = components(linking(overlaps))
-        members = stable(with_roots(lists, roots), "open_members")
+        before, still_open = still_open, members.count()
+        if before is not None and still_open > (1 - ROUND_GAIN) * before:
+            break
         main = members.groupBy("list").agg(F.max(F.struct("weight", "key", "root")).alias("m")).select("list", F.col("m.root").alias("main"))
         fresh = star_pairs(members, members.join(main, "list").filter("root <> main"))
         fresh = stable(fresh.join(overlaps.select("a", "b"), ["a", "b"], "left_anti"), "star_pairs")
         if fresh.isEmpty():
             break
         overlaps = overlaps.union(verified(fresh, sets))
-    members = stable(with_roots(lists, components(linking(overlaps))), "open_members")
+        members = stable(with_roots(lists, components(linking(overlaps))), "open_members")
     rest = stable(residual_pairs(members, overlaps), "residual_pairs")
     roots = components(linking(overlaps.union(verified(rest, sets))))
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daygrid.llm import balance, decontaminate, forest, jaccard, personal, pieces, quality, secret_scan, tokens, wrappers
+from daygrid.llm.graph import components
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -344,3 +345,16 @@ def test_pipeline_equals_its_stages_by_hand(spark, sample_dir):
     for r in out:
         plain = re.sub(r'((?i:token) = ")[0-9a-fA-F]{40}(")', r"\1[SECRET]\2", text[r["doc_id"]])
         assert r["ids"] == model.encode(plain)
+
+
+def test_components_of_chains_cycles_and_stars(spark):
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(100, 130)] + [(7, 3), (3, 9), (9, 7), (5, 5)]
+    links = chain + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(40, k) for k in range(41, 60)]
+    root = {x: x for pair in links if pair[0] != pair[1] for x in pair}
+    for _ in root:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    found = components(spark.createDataFrame(links, "a long, b long"))
+    assert {r.node: r.root for r in found.collect()} == root
