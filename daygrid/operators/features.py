@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from daygrid.config import PanelSettings, Period, SeriesSettings
-from daygrid.functions.calendar import calendar_block, cyclic_calendar, is_holiday
+from daygrid.functions.calendar import cyclic_calendar, is_holiday
 
 
 def by_day(key: str) -> WindowSpec:
@@ -104,10 +103,6 @@ def series_lag_columns(settings: SeriesSettings, key: str, y: str = "y") -> list
     return [*lags(y, settings.lags, w, "lag_y_"), *rolling_means(y, settings.rolling, w, "lag_roll_mean_")]
 
 
-def series_calendar(df: DataFrame, start: date, order: int = 3) -> DataFrame:
-    return df.select(*df.columns, *calendar_block(F.col("date"), start, order))
-
-
 def train_moments(df: DataFrame, cols: Sequence[str], is_train: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Mean and population deviation of every column on train rows; 0 deviation becomes 1."""
     aggs = []

@@ -33,7 +33,7 @@ def dq_unique_key(spark: SparkSession, d: str) -> DataFrame:
     return quality.duplicate_keys(read_table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-_NULLS = ["exo_mean", "exo_sum", "exo_count"]
+_NULLS = ["exo_mean", "exo_max", "exo_min", "exo_sum", "exo_high", "exo_low", "exo_count"]
 
 
 @query(
