@@ -89,9 +89,13 @@ def fit_tree_search(
         maes = in_parallel(fold_error, [(i, f) for i in range(len(params)) for f in folds], parallelism)
         means = [sum(maes[i * len(folds) : (i + 1) * len(folds)]) / len(folds) for i in range(len(params))]
         best = params[means.index(min(means))]
-    assembled = assembler.transform(df)
-    model = build(best, y, search.seed).fit(assembled.filter(train))
-    return model.transform(assembled).drop("_features"), best
+    return fit_tree(df, cols, y, train, build(best, y, search.seed)), best
+
+
+def fit_tree(df: DataFrame, cols: Sequence[str], y: str, train: Column, model: GBTRegressor | RandomForestRegressor) -> DataFrame:
+    """Fit ``model`` on the train rows and predict every row."""
+    assembled = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(df)
+    return model.fit(assembled.filter(train)).transform(assembled).drop("_features")
 
 
 def in_parallel(fn: Callable, tasks: Sequence, parallelism: int) -> list:

@@ -116,7 +116,7 @@ def panel_tree_scores(panel: Panel, settings: PanelSettings, search: SearchSetti
         pred, _ = trees.fit_tree_search(rows, cols, "demand", train, trees.boosted, trees.boosted_draw, PANEL_BOOSTED, search)
         return pred.filter(~train).select(F.lit(condition).alias("condition"), F.lit("Boosted").alias("model"), "zone", "split", "demand", "pred")
 
-    return metrics.score_zone_mean(union_all([one(c) for c in panel.conditions]), ["condition", "model"], "demand", "pred")
+    return metrics.score_zone_mean(union_all(trees.in_parallel(one, list(panel.conditions), 3)), ["condition", "model"], "demand", "pred")
 
 
 def series_tree_scores(study: SeriesStudy, settings: SeriesSettings, search: SearchSettings = SearchSettings()) -> DataFrame:
@@ -124,14 +124,16 @@ def series_tree_scores(study: SeriesStudy, settings: SeriesSettings, search: Sea
     train = F.col("date") <= F.lit(settings.period.train_end)
     conditions = features.series_conditions(study.features.columns)
     families = (("RandomForest", trees.forest, trees.forest_draw, SERIES_FOREST), ("Boosted", trees.boosted, trees.boosted_draw, SERIES_BOOSTED))
-    parts = []
-    for target in [r.target for r in study.features.select("target").distinct().orderBy("target").collect()]:
+    targets = [r.target for r in study.features.select("target").distinct().orderBy("target").collect()]
+
+    def one(task: tuple) -> DataFrame:
+        target, condition, (model, build, draw, space) = task
         rows = study.features.filter(F.col("target") == target)
-        for condition, cols in conditions.items():
-            for model, build, draw, space in families:
-                pred, _ = trees.fit_tree_search(rows, cols, "y", train, build, draw, space, search)
-                tags = {"condition": F.lit(condition), "model": F.lit(model)}
-                parts.append(pred.filter(~train).withColumns(tags).select("target", "condition", "model", "split", "y", "pred"))
+        pred, _ = trees.fit_tree_search(rows, conditions[condition], "y", train, build, draw, space, search)
+        tags = {"condition": F.lit(condition), "model": F.lit(model)}
+        return pred.filter(~train).withColumns(tags).select("target", "condition", "model", "split", "y", "pred")
+
+    parts = trees.in_parallel(one, [(y, c, f) for y in targets for c in conditions for f in families], 3)
     return metrics.score_splits(union_all(parts), ["target", "condition", "model"], "y", "pred")
 
 
