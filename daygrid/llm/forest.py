@@ -6,8 +6,11 @@ is a contiguous run, so it can be cut into blocks of equal prefix of fixed depth
 A query descends in all trees at once to the longest prefix for which the runs
 together hold enough candidates: counts of all prefix lengths are summed over the
 trees and the length is the largest with a sufficient sum (the synchronous
-ascent). The runs of that length are then read block by block, with exact
-distances, and the blocks' best are merged.
+ascent). Lengths up to the blocks' come from counts per block; queries for which a
+whole block is still enough go on inside their blocks, down to the whole string.
+The runs of the length found are then read block by block, with exact distances,
+and the blocks' best are merged. Enough is a constant share of the vectors, so
+recall does not fall as they grow.
 
 Equal vectors are indexed once with their smallest ids. Blocks that hold more
 vectors than planned are split by a salt. The centre is fitted on a bounded
@@ -35,7 +38,7 @@ from daygrid.session import checked_broadcast, stable
 TREES = 32
 STRING_BITS = 48
 BLOCK_ROWS = 2000
-CANDIDATE_SCALE, CANDIDATE_POWER = 4.0, 0.8
+CANDIDATE_SHARE = 1.5  # of the vectors, summed over the trees, which read many of them more than once
 SAMPLE_ROWS = 4000
 NEAREST = 10
 
@@ -106,7 +109,7 @@ def nearest(
     )
     n = index.count()
     depth = min(bits, max(0, int(np.ceil(np.log2(max(1, n / BLOCK_ROWS))))))
-    wanted = int(np.ceil(CANDIDATE_SCALE * n**CANDIDATE_POWER))
+    wanted = int(np.ceil(CANDIDATE_SHARE * n))
     block = F.shiftright("code", bits - depth).alias("block") if depth else F.lit(0).cast("long").alias("block")
 
     # Runs of every prefix length: counts per block, rolled up.
@@ -126,45 +129,82 @@ def nearest(
         .mapInPandas(coded, f"id {id_kind}, vector {kind}, codes array<long>, dim int"),
         "queries",
     )
-    descents = asked.select("id", "dim", F.posexplode("codes").alias("tree", "code")).select("id", "dim", "tree", block)
-    levels = descents.select("id", "dim", "tree", lengths, prefix)
-    ascent = (
+    descents = asked.select("id", "dim", F.posexplode("codes").alias("tree", "code")).select("id", "dim", "tree", "code", block)
+    levels = descents.select("id", "dim", "tree", "code", lengths, prefix)
+    longest = F.coalesce(F.max(F.when(F.col("held") >= wanted, F.col("length"))), F.lit(0)).alias("length")
+    ascent = stable(
         levels.join(runs, ["dim", "tree", "length", "prefix"])
         .groupBy("id", "length")
         .agg(F.sum("held").alias("held"))
         .groupBy("id")
-        .agg(F.coalesce(F.max(F.when(F.col("held") >= wanted, F.col("length"))), F.lit(0)).alias("length"))
+        .agg(longest),
+        "ascent",
     )
-    chosen = levels.join(ascent, ["id", "length"])
     salted = blocks.withColumn("salts", F.ceil(F.col("count") / (2 * BLOCK_ROWS)).cast("int"))
-    visits = (
-        chosen.join(salted.select("dim", "tree", "block", "salts", lengths, prefix), ["dim", "tree", "length", "prefix"])
-        .select("id", "dim", "tree", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        .join(asked.select("id", "vector"), "id")
-    )
+    salts = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
     stored = (
         index.select("node", "dim", "vector", "members", F.posexplode("codes").alias("tree", "code"))
-        .select("node", "dim", "vector", "members", "tree", block)
+        .select("node", "dim", "vector", "members", "tree", "code", block)
         .join(checked_broadcast(salted.select("dim", "tree", "block", "salts")), ["dim", "tree", "block"])
         .withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
         .drop("salts")
     )
+    keys = ["dim", "tree", "block", "salt"]
+
+    # Where whole blocks are enough, the runs of longer prefixes inside them.
+    def deeper(_, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        held_codes, asked_codes, found = np.sort(rows["code"].to_numpy()), queries["code"].to_numpy(), []
+        for length in range(depth + 1, bits + 1) if len(rows) and len(queries) else ():
+            low = asked_codes >> (bits - length) << (bits - length)
+            held = np.searchsorted(held_codes, low + (1 << (bits - length))) - np.searchsorted(held_codes, low)
+            some = held > 0
+            if not some.any():
+                break
+            found.append(pd.DataFrame({"id": queries["id"].to_numpy()[some], "length": length, "held": held[some]}))
+        return pd.concat(found) if found else pd.DataFrame({"id": [], "length": [], "held": []})
+
+    inside = (
+        descents.join(ascent.filter(F.col("length") == depth).select("id"), "id")
+        .join(salted.select("dim", "tree", "block", "salts"), ["dim", "tree", "block"])
+        .select("id", "dim", "tree", "block", "code", salts)
+    )
+    deep = (
+        inside.groupBy(keys)
+        .cogroup(stored.select(*keys, "code").groupBy(keys))
+        .applyInPandas(deeper, f"id {id_kind}, length int, held long")
+        .groupBy("id", "length")
+        .agg(F.sum("held").alias("held"))
+        .groupBy("id")
+        .agg(longest)
+    )
+    ascent = stable(ascent.union(deep).groupBy("id").agg(F.max("length").alias("length")), "lengths")
+    chosen = levels.withColumnRenamed("length", "upto").join(ascent, "id").filter(F.col("upto") == F.least("length", F.lit(depth)))
+    visits = (
+        chosen.join(salted.select("dim", "tree", "block", "salts", lengths, prefix).withColumnRenamed("length", "upto"), ["dim", "tree", "upto", "prefix"])
+        .select("id", "dim", "tree", "block", "code", "length", salts)
+        .join(asked.select("id", "vector"), "id")
+    )
 
     def search(_, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or rows.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         rows = rows.assign(first=rows["members"].map(lambda m: m[0])).sort_values("first", kind="stable")
         x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-        members = rows["members"].to_numpy()
+        members, held_codes = rows["members"].to_numpy(), rows["code"].to_numpy()
+        squares = (x * x).sum(axis=1)
         found = []
-        for q, v in zip(queries["id"], queries["vector"], strict=True):
-            gap = x - np.asarray(v, dtype=np.float64)
+        for q, v, code, length in zip(queries["id"], queries["vector"], queries["code"], queries["length"], strict=True):
+            at = np.flatnonzero((held_codes ^ code) >> (bits - length) == 0) if length > depth else np.arange(len(x))
+            v = np.asarray(v, dtype=np.float64)
+            if len(at) > k + 1:  # the products only leave out what is farther by more than their error
+                rough = (squares + v @ v - 2 * (x @ v))[at]
+                at = at[rough <= np.partition(rough, k)[k] + 1e-9 * (squares.max() + v @ v)]
+            gap = x[at] - v
             d = np.sqrt((gap * gap).sum(axis=1))
             for i in np.argsort(d, kind="stable")[: k + 1]:
-                found.extend((q, m, d[i]) for m in members[i] if m != q)
+                found.extend((q, m, d[i]) for m in members[at[i]] if m != q)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    keys = ["dim", "tree", "block", "salt"]
     found = visits.groupBy(keys).cogroup(stored.groupBy(keys)).applyInPandas(search, f"query_id {id_kind}, vec_id {id_kind}, score double")
     ranked = W.partitionBy("query_id").orderBy("score", "vec_id")
     return (

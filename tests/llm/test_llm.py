@@ -155,6 +155,20 @@ def test_nearest(spark):
     assert forest.nearest(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_nearest_at_long_prefixes(spark, monkeypatch):
+    """Blocks of seven bits over vectors without near neighbours."""
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 20)
+    x = np.random.default_rng(4).standard_normal((2000, 48))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))]
+    got = forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, trees=4).collect()
+    hits = []
+    for q in range(0, len(x), 50):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits.append(len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(d)[:10].tolist())) / 10)
+    assert len(got) == 400 and np.mean(hits) >= 0.9, np.mean(hits)
+
+
 def brute_components(rows):
     def grams(t):
         w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(jaccard.LOWER))
