@@ -3,16 +3,18 @@
 Each page becomes a tree of its block elements; consecutive siblings of one kind
 fold into one repeating node. The trees of a host are aligned by simple tree
 matching (the largest order-preserving mapping of children with equal labels) and
-merged into the host's template. A node whose text is the same on all its pages is
-template, a varying slot is content. Templates are merged inside tasks first, then
-per host over salted, distinct partial templates, so a hot host never meets in one
-task page by page.
+merged into the host's template, whose nodes are the slots. Templates are merged
+inside tasks first, then per host over salted, distinct partial templates, so a hot
+host never meets in one task page by page. Then each page is aligned with the
+template and Spark counts, over the host's different pages, those that hold a slot
+and those that hold one line in it. A line that stands on all pages of its slot, two
+at least, is template, any other one content.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 comments are never content. Where a page marks its article (article or main
-element), the text is all of it but such parts; otherwise it is the page's varying
-slots, and the whole body for a host of one page or a page without any varying slot
-(all pages of its host are copies).
+element), the text is that element's content; there, a line is template only if it
+also stands on half of the host's pages. Otherwise it is the whole page's content. A
+page without any (its host has one page, or copies of one) keeps all its lines.
 
 Defined results: a null html counts as empty and gives an empty text; a null url
 is a host of its own name; broken markup never fails (open elements close at the
@@ -53,6 +55,7 @@ NOISE = re.compile(
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 SPACES = re.compile(r"\s+")
 SALTS = 16
+ARROW_LINES = pa.list_(pa.struct([("text", pa.string()), ("slot", pa.int64()), ("line", pa.int64()), ("inside", pa.bool_())]))
 
 
 class Node:
@@ -126,22 +129,18 @@ def parse(page: str) -> Node:
     return root
 
 
-def own_text(node: Node) -> str:
-    return " ".join(p for p in node.parts if isinstance(p, str))
-
-
 def template_of(node: Node) -> list:
-    """[label, digest of the text or None if it varies, children, pages] with runs of one label folded."""
+    """[label, children] with runs of one label folded."""
     children: list = []
     for c in node.children:
         if c.noise:
             continue
         made = template_of(c)
         if children and children[-1][0] == made[0]:
-            children[-1] = merged(children[-1], made, same_page=True)
+            children[-1] = merged(children[-1], made)
         else:
             children.append(made)
-    return [node.label, blake2b(own_text(node).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() if own_text(node) else "", children, 1]
+    return [node.label, children]
 
 
 def matching(a: list, b: list) -> list[tuple[int, int]]:
@@ -149,7 +148,7 @@ def matching(a: list, b: list) -> list[tuple[int, int]]:
     w = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
         for j, y in enumerate(b):
-            w[i + 1][j + 1] = max(w[i][j + 1], w[i + 1][j], w[i][j] + (1 + min(len(x[2]), len(y[2])) if x[0] == y[0] else 0))
+            w[i + 1][j + 1] = max(w[i][j + 1], w[i + 1][j], w[i][j] + (1 + min(len(x[1]), len(y[1])) if x[0] == y[0] else 0))
     pairs, i, j = [], len(a), len(b)
     while i and j:
         if w[i][j] == w[i - 1][j]:
@@ -162,55 +161,50 @@ def matching(a: list, b: list) -> list[tuple[int, int]]:
     return pairs[::-1]
 
 
-def merged(a: list, b: list, same_page: bool = False) -> list:
+def merged(a: list, b: list) -> list:
     """Template of two aligned trees; unmatched children stay, in order."""
     children, i, j = [], 0, 0
-    for x, y in [*matching(a[2], b[2]), (len(a[2]), len(b[2]))]:
-        children += a[2][i:x] + b[2][j:y]
-        if x < len(a[2]):
-            children.append(merged(a[2][x], b[2][y], same_page))
+    for x, y in [*matching(a[1], b[1]), (len(a[1]), len(b[1]))]:
+        children += a[1][i:x] + b[1][j:y]
+        if x < len(a[1]):
+            children.append(merged(a[1][x], b[1][y]))
         i, j = x + 1, y + 1
     folded: list = []
     for c in children:
         if folded and folded[-1][0] == c[0]:
-            folded[-1] = merged(folded[-1], c, same_page)
+            folded[-1] = merged(folded[-1], c)
         else:
             folded.append(c)
-    return [a[0], a[1] if a[1] == b[1] else None, folded, max(a[3], b[3]) if same_page else a[3] + b[3]]
+    return [a[0], folded]
+
 
+def digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
-def content(node: Node, template: list | None, pages: int, in_article: bool) -> Iterator[str]:
-    """Blocks of a page in order: varying slots, or all blocks inside a marked article."""
-    at = template[2] if template else []
-    heads: list = []
+
+def lines_of(node: Node, template: list, slot: str = "") -> Iterator[tuple[str, str, bool]]:
+    """(text, slot, whether in a marked article) of a page's lines in order; the slot is the path of the aligned template node."""
+    folds, at = [], []
     for c in node.children:
-        if not c.noise and (not heads or heads[-1] != c.label):
-            heads.append(c.label)
-    found = {heads[i]: at[j] for i, j in matching([[h, "", [], 1] for h in heads], at)}
-    constant = template is not None and pages > 1 and template[1] is not None and template[3] > 1
-    keep = node.article if in_article else not constant
-    block: list[str] = []
+        if not c.noise and (not folds or folds[-1][0] != c.label):
+            folds.append([c.label, []])
+        at.append(len(folds) - 1)
+    place = dict(matching(folds, template[1])) if folds else {}
+    fold = iter(at)
     for p in node.parts:
         if isinstance(p, str):
-            if keep:
-                block.append(p)
-        elif not p.noise:
-            yield from block
-            block = []
-            yield from content(p, found.get(p.label), pages, in_article)
-    yield from block
+            yield p, slot, node.article
+            continue
+        i = next(fold)
+        if not p.noise:
+            j = place.get(i)
+            yield from lines_of(p, template[1][j] if j is not None else [p.label, []], f"{slot}/{j if j is not None else p.label}")
 
 
 def has_article(node: Node) -> bool:
     return any(not c.noise and (c.article or has_article(c)) for c in node.children)
 
 
-def main_text(page: str, template: list | None) -> str:
-    root = parse(page)
-    marked, pages = has_article(root), template[3] if template else 0
-    return " ".join(content(root, template, pages, marked)) or " ".join(content(root, None, 0, marked))
-
-
 def host_of(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit("none"))
 
@@ -244,6 +238,17 @@ def templates(pages: DataFrame) -> DataFrame:
     return stable(halves.groupBy("host").applyInPandas(joined, kind), "templates")
 
 
+def constant_lines(aligned: DataFrame) -> DataFrame:
+    """(host, constant, firm): lines on all different pages of their slot, and those of them on half of the host's pages."""
+    seen = aligned.select("host", "copy", F.explode("lines").alias("x")).select("host", "copy", "x.slot", "x.line").distinct()
+    by_line = seen.groupBy("host", "slot", "line").agg(F.count("*").alias("n"))
+    by_slot = seen.select("host", "copy", "slot").distinct().groupBy("host", "slot").agg(F.count("*").alias("n"))
+    by_host = aligned.select("host", "copy").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
+    same = by_line.filter("n > 1").join(by_slot, ["host", "slot", "n"]).join(by_host, "host")
+    firm = F.collect_set(F.when(2 * F.col("n") >= F.col("n_pages"), F.col("line"))).alias("firm")
+    return stable(same.groupBy("host").agg(F.collect_set("line").alias("constant"), firm), "constant_lines")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page."""
     small_batches(pages.sparkSession, 500)
@@ -252,19 +257,33 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
     known = checked_broadcast(templates(own.select("host", "html")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: dict[str, list] = {}
         for batch in batches:
-            texts = []
-            for page, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            copies, marks, texts = [], [], []
+            for page, template in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if template not in loaded:
                     if len(loaded) > 2000:
                         loaded.clear()
                     loaded[template] = json.loads(template)
-                texts.append(main_text(page, loaded[template]))
-            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["page", "address", "text", "n_chars"])
+                root = parse(page)
+                found = list(lines_of(root, loaded[template]))
+                marks.append(has_article(root))
+                copies.append(digest("\n".join(f"{slot} {text}" for text, slot, _ in found)))
+                texts.append([{"text": t, "slot": digest(s), "line": digest(f"{s} {t}"), "inside": inside} for t, s, inside in found])
+            columns = [*batch.columns[:3], pa.array(copies, pa.int64()), pa.array(marks, pa.bool_()), pa.array(texts, ARROW_LINES)]
+            yield pa.RecordBatch.from_arrays(columns, names=["page", "address", "host", "copy", "marked", "lines"])
 
     id_kind = pages.schema[id_col].dataType.simpleString()
-    out = own.join(known, "host").select("page", "address", "html", "template").mapInArrow(run, f"page {id_kind}, address string, text string, n_chars long")
-    return out.select(F.col("page").alias(id_col), F.col("address").alias(url_col), "text", "n_chars")
+    kind = f"page {id_kind}, address string, host string, copy long, marked boolean, lines array<struct<text:string,slot:long,line:long,inside:boolean>>"
+    aligned = stable(own.join(known, "host").select("page", "address", "host", "html", "template").mapInArrow(align, kind), "aligned_pages")
+    held = aligned.join(checked_broadcast(constant_lines(aligned)), "host", "left")
+    own_lines = F.filter("lines", lambda x: ~F.col("marked") | x["inside"])
+    none = F.array().cast("array<long>")
+    varying = F.filter(
+        own_lines,
+        lambda x: ~F.array_contains(F.coalesce(F.when(F.col("marked"), F.col("firm")).otherwise(F.col("constant")), none), x["line"]),
+    )
+    kept = F.when(F.size(varying) > 0, varying).otherwise(own_lines)
+    text = F.array_join(F.transform(kept, lambda x: x["text"]), " ").alias("text")
+    return held.select(F.col("page").alias(id_col), F.col("address").alias(url_col), text).withColumn("n_chars", F.length("text").cast("long"))

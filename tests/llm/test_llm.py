@@ -114,6 +114,19 @@ def test_pages(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_with_repeated_constant_items(spark):
+    """Constant list items on unmarked pages, a constant line in marked articles, copies of a page."""
+    body = "<body><ul><li>Home</li><li>About</li></ul><div><p>Text {0}</p><p>All rights kept</p><p>More {0}</p></div></body>"
+    rows = [(i, "http://plain/", body.format(i)) for i in range(4)] + [(9, "http://plain/", body.format(3))]
+    rows += [(10 + i, "http://marked/", f"<body><article><p>Story {i}</p><p>Read our terms</p></article></body>") for i in range(4)]
+    rows += [(20 + i, "http://same/", "<body><article><p>One story</p></article></body>") for i in range(2)]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text = {r["page_id"]: r["text"] for r in got}
+    assert [text[i] for i in range(4)] == [f"Text {i} More {i}" for i in range(4)] and text[9] == text[3]
+    assert [text[10 + i] for i in range(4)] == [f"Story {i}" for i in range(4)]
+    assert text[20] == text[21] == "One story" and len(got) == len(rows)
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, ITEM), (2, "never seen words in any text at all"), (3, None), (4, ""), (5, "one")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(docs, items).collect()}
