@@ -48,10 +48,12 @@ CLOSES_P = set("address article aside blockquote div dl fieldset figure footer f
 CLOSES_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"ul", "ol", "dl", "table", "body", "article", "main", "div", "section"}
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|reply|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay"
-    r"|nav\w*|menu|breadcrumbs?|sidebar|widget|related|recommend\w*|share|sharing|social|newsletter|subscribe|footer|header|masthead|login|signup|search)(?:$|[\s_-])",
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|reply|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay"
+    r"|nav\w*|menu|breadcrumbs?|sidebar|widget|related|recommend\w*|share|sharing|social|newsletter|subscribe|footer|header|masthead|login|signup|search)",
     re.I,
 )
+# Parts that make a class a statement about a part of the page, not its name.
+MODIFIERS = set("has have no not with without hide hides hidden show shows is open opened closed enabled disabled allowed active on off layout".split())
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 SPACES = re.compile(r"\s+")
 SALTS = 16
@@ -65,6 +67,15 @@ class Node:
         self.label, self.noise, self.article, self.parts, self.children = label, noise, article, [], []
 
 
+def noise_marks(marks: str) -> bool:
+    """Whether a class or id names a part that is never content by its first or last word."""
+    for token in marks.split():
+        words = [w for w in re.split(r"[_-]+", token.lower()) if w]
+        if words and not MODIFIERS.intersection(words) and (NOISE.fullmatch(words[0]) or NOISE.fullmatch(words[-1])):
+            return True
+    return False
+
+
 def parse(page: str) -> Node:
     """Tree of block elements; ``parts`` holds texts and child nodes in page order."""
     root = Node("page")
@@ -110,7 +121,8 @@ def parse(page: str) -> Node:
             found = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])} if m[3] else {}
             marks = f"{found.get('class', '')} {found.get('id', '')}".strip()
             hidden = found.get("aria-hidden") == "true"
-            noise = name in DROPPED or hidden or found.get("role") in NOISE_ROLES or bool(marks and name not in ("html", "body") and NOISE.search(marks))
+            own = name in ("html", "body", "article", "main") or found.get("role") in ("main", "article")  # never noise by class
+            noise = name in DROPPED or hidden or found.get("role") in NOISE_ROLES or (not own and noise_marks(marks))
             if stack[-1].article and name == "header":  # an article's own heading group
                 noise = False
             article = name in ("article", "main") or found.get("role") in ("main", "article") or stack[-1].article

@@ -127,6 +127,18 @@ def test_pages_with_repeated_constant_items(spark):
     assert text[20] == text[21] == "One story" and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "post comments-open", "with-header", "page-search-results", "layout-with-sidebar"])
+def test_layout_classes_are_no_noise(name):
+    def inside(page):
+        return [t for t, *_ in wrappers.lines_of(wrappers.parse(page), ["page", []])]
+
+    assert inside(f"<body><div class='{name}'><p>Kept</p></div></body>") == ["Kept"]
+    for tag in ("article", "main"):
+        assert inside(f"<body><{tag} class='{name} related'><p>Kept</p></{tag}></body>") == ["Kept"]
+    for noise in ("sidebar", "post-comments", "comments list", "cookie-notice", "site-footer", "main nav", "search_box"):
+        assert inside(f"<body><div class='{noise}'><p>Dropped</p></div><p>Kept</p></body>") == ["Kept"]
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, ITEM), (2, "never seen words in any text at all"), (3, None), (4, ""), (5, "one")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(docs, items).collect()}
