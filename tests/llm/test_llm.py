@@ -386,6 +386,20 @@ def test_personal(spark, docs, empty):
     assert personal.digest(personal.find_personal(empty)).count() == 0
 
 
+def test_planted_further_spans_come_out(spark):
+    rows, wanted = [], {}
+    for i in range(60):
+        spoken, phone = f"anna.berg{i} [at] posthof [dot] com", f"555-{200 + i}-{4000 + 7 * i}"
+        text = f"please write to {spoken}, or call {phone} today; order ref 311-{300 + i}-{5000 + i} and mail x{i}@y.org or +1 555 {300 + i} {1000 + i}"
+        rows.append((i, text, "en", "s", len(text)))
+        wanted[i] = {f"email:{text.index(spoken)}:{text.index(spoken) + len(spoken)}", f"phone:{text.index(phone)}:{text.index(phone) + len(phone)}"}
+    got = by_id(personal.digest(personal.find_personal(spark.createDataFrame(rows, SCHEMA))))
+    found = [wanted[i] <= set(got[i]["spans"].split(",")) for i in wanted]
+    assert all(found), got[0]["spans"]
+    wrong = [f"phone:{t.index('311-')}:" in got[i]["spans"] for i, t, *_ in rows]
+    assert not any(wrong)
+
+
 def test_pipeline_equals_its_stages_by_hand(spark, sample_dir):
     import corpus_pipeline
 
