@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from daygrid.llm import balance, decontaminate, forest, jaccard, personal, pieces, quality, secret_scan, tokens, wrappers
+from daygrid.llm import balance, centroids, decontaminate, forest, jaccard, personal, pieces, quality, secret_scan, simhash, tokens, whitening, wrappers
 from daygrid.llm.common import table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -53,6 +53,18 @@ def op10_personal_data(spark, sf_dir):
     return personal.digest(personal.find_personal(table(spark, sf_dir, "documents")))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash_components(spark, sf_dir):
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES = {
     f.__name__: f
     for f in (
@@ -66,7 +78,14 @@ LLM_QUERIES = {
         op8_sentencepiece,
         op9_token_counts,
         op10_personal_data,
+        op11_embedding_whitening,
+        op12_simhash_components,
+        op13_centroid_clusters,
     )
 }
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
-LLM_ORACLES = {"op3_decontamination": decontaminate.contaminated_sql(), "op5_jaccard_join": jaccard.components_sql()}
+LLM_ORACLES = {
+    "op3_decontamination": decontaminate.contaminated_sql(),
+    "op5_jaccard_join": jaccard.components_sql(),
+    "op13_centroid_clusters": centroids.cluster_sql(),
+}
