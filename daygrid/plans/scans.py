@@ -19,12 +19,12 @@ from daygrid.session import scratch
 from daygrid.sources import sample
 from daygrid.sources.readers import (
     cached_counts,
+    read_columnar_json,
     read_csv,
     read_json_records,
     read_table,
     trim_names,
     union_all,
-    unpack_arrays,
     write_parquet,
 )
 
@@ -52,27 +52,23 @@ def csv_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "json_columnar_unpack",
-    with_ctes(
-        ["exo"],
-        "SELECT date, exo_mean, exo_max, exo_sum FROM exo",
-    ),
+    """SELECT CAST(o_orderdate AS DATE) AS date, round(sum(o_totalprice), 2) / count(*) AS exo_mean, max(o_totalprice) AS exo_max,
+    CAST(count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS DOUBLE) AS exo_sum FROM orders GROUP BY 1""",
 )
 def json_columnar_unpack(spark: SparkSession, d: str) -> DataFrame:
-    """Daily variables held as one document of parallel arrays per month, unpacked to rows.
+    """Daily variables of all orders held as one multi-line document of parallel arrays per month, unpacked to rows.
 
-    A month bounds every array, however long the period is.
+    A month bounds every array, however long the history is.
     """
-    daily = sample.exo_daily(spark, d)
     names = ["exo_mean", "exo_max", "exo_sum"]
     item = F.struct(F.col("date").cast("string").alias("time"), *names)
-    month = daily.groupBy(F.trunc("date", "month").alias("month")).agg(F.array_sort(F.collect_list(item)).alias("r"))
+    days = sample.exo_days(spark, d)
+    month = days.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.array_sort(F.collect_list(item)).alias("r"))
     block = F.struct(*(F.col(f"r.{c}").alias(c) for c in ["time", *names])).alias("daily")
-    docs = month.select(F.to_json(F.struct(block)).alias("value"))
     path = scratch(spark, "json")
-    docs.write.text(path)
-    fields = ", ".join(f"{v}: array<double>" for v in names)
-    raw = spark.read.schema(f"daily struct<time: array<string>, {fields}>").json(path)
-    return unpack_arrays(raw, names)
+    documents = month.select("month", F.to_json(F.struct(block), {"pretty": "true"}).alias("value"))
+    documents.write.partitionBy("month").text(path)
+    return read_columnar_json(spark, path, names)
 
 
 @query(
@@ -114,19 +110,24 @@ def union_inputs(spark: SparkSession, d: str) -> DataFrame:
     count(*) AS n FROM lineitem GROUP BY 1, 2""",
 )
 def agg_cache_reuse(spark: SparkSession, d: str) -> DataFrame:
-    """Two runs over the same files plus one file that arrives in between."""
+    """Three runs over files of which one arrives and one is written anew in between."""
     drop, cache = scratch(spark, "drop"), scratch(spark, "cache")
     lines = read_table(spark, d, "lineitem").select("l_shipdate", "l_linestatus", "l_orderkey")
-    early = F.col("l_orderkey") % 3 != 0
+    part = F.col("l_orderkey") % 3
 
     def shape(df: DataFrame) -> DataFrame:
         return df.select("source", F.to_date("l_shipdate").alias("date"), sample.user_type().alias("member_casual"))
 
-    keys = ["date", "member_casual"]
-    write_parquet(lines.filter(early), f"{drop}/part=1")
-    cached_counts(spark, [f"{drop}/part=1"], cache, keys, shape)
-    write_parquet(lines.filter(~early), f"{drop}/part=2")
-    return cached_counts(spark, [f"{drop}/part=1", f"{drop}/part=2"], cache, keys, shape)
+    def run(*parts: int) -> DataFrame:
+        return cached_counts(spark, [f"{drop}/part={i}" for i in parts], cache, ["date", "member_casual"], shape)
+
+    write_parquet(lines.filter(part == 0), f"{drop}/part=0")
+    write_parquet(lines.filter((part == 1) & (F.col("l_orderkey") % 2 == 0)), f"{drop}/part=1")
+    run(0, 1)
+    write_parquet(lines.filter(part == 2), f"{drop}/part=2")
+    run(0, 1, 2)
+    write_parquet(lines.filter(part == 1), f"{drop}/part=1")
+    return run(0, 1, 2)
 
 
 @query(
@@ -231,10 +232,14 @@ def parse_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "explode_ids",
-    with_ctes(["pairs"], "SELECT event_id, date, precinct FROM pairs"),
+    with_ctes(
+        ["permits_all"],
+        """SELECT DISTINCT event_id, day AS date, CAST(trim(tok) AS INTEGER) AS precinct
+        FROM (SELECT event_id, day, unnest(string_split(police_precinct, ',')) AS tok FROM permits_all) WHERE regexp_full_match(trim(tok), '[0-9]+')""",
+    ),
 )
 def explode_ids(spark: SparkSession, d: str) -> DataFrame:
-    return precinct_pairs(t.permits(spark, d))
+    return precinct_pairs(sample.permit_rows(spark, d))
 
 
 def _order_days(spark: SparkSession, d: str) -> DataFrame:

@@ -135,10 +135,9 @@ def order_segments(spark: SparkSession, folder: str, period: Period = SAMPLE_PER
     return sum_segments(order_hours(spark, folder, period), "transit_timestamp", "ridership", SAMPLE_WINDOWS)
 
 
-def exo_daily(spark: SparkSession, folder: str, period: Period = SAMPLE_PERIOD) -> DataFrame:
-    """Daily outside variables on a complete day spine.
+def exo_days(spark: SparkSession, folder: str, period: Period | None = None) -> DataFrame:
+    """Daily outside variables of the days that have orders.
 
-    Counts are 0 on days without orders; the price statistics stay null there.
     The mean divides the sum in whole cents, so it does not depend on row order.
     """
     day = F.to_date("o_orderdate").alias("date")
@@ -146,22 +145,27 @@ def exo_daily(spark: SparkSession, folder: str, period: Period = SAMPLE_PERIOD)
     def tally(priority: str, name: str) -> Column:
         return F.count_if(F.col("o_orderpriority") == priority).cast("double").alias(name)
 
-    per_day = (
-        read_table(spark, folder, "orders")
-        .filter(within(F.col("o_orderdate"), period.start, period.end))
-        .groupBy(day)
-        .agg(
-            (F.round(F.sum("o_totalprice"), 2) / F.count(F.lit(1))).alias("exo_mean"),
-            F.max("o_totalprice").alias("exo_max"),
-            F.min("o_totalprice").alias("exo_min"),
-            tally("1-URGENT", "exo_sum"),
-            tally("2-HIGH", "exo_high"),
-            tally("5-LOW", "exo_low"),
-            F.count(F.lit(1)).cast("double").alias("exo_count"),
-        )
+    orders = read_table(spark, folder, "orders")
+    if period:
+        orders = orders.filter(within(F.col("o_orderdate"), period.start, period.end))
+    return orders.groupBy(day).agg(
+        (F.round(F.sum("o_totalprice"), 2) / F.count(F.lit(1))).alias("exo_mean"),
+        F.max("o_totalprice").alias("exo_max"),
+        F.min("o_totalprice").alias("exo_min"),
+        tally("1-URGENT", "exo_sum"),
+        tally("2-HIGH", "exo_high"),
+        tally("5-LOW", "exo_low"),
+        F.count(F.lit(1)).cast("double").alias("exo_count"),
     )
+
+
+def exo_daily(spark: SparkSession, folder: str, period: Period = SAMPLE_PERIOD) -> DataFrame:
+    """Daily outside variables on a complete day spine.
+
+    Counts are 0 on days without orders; the price statistics stay null there.
+    """
     spine = date_spine(spark, period.start, period.end)
-    joined = spine.join(bounded(per_day, period.days), "date", "left")
+    joined = spine.join(bounded(exo_days(spark, folder, period), period.days), "date", "left")
     return joined.fillna(0.0, subset=EXO_REGRESSORS)
 
 
@@ -224,6 +228,7 @@ __all__ = [
     "day_type_counts",
     "day_zone_counts",
     "exo_daily",
+    "exo_days",
     "flow_areas",
     "flows",
     "hourly_events",
