@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daygrid.functions.stats import corr_from_sums, effective_n, fisher_z_columns
+from daygrid.functions.stats import corr_from_sums, effective_n, fisher_z_columns, safe_corr
 from daygrid.session import checked_broadcast, stable
 
 HASH_DIGITS = 12
@@ -114,13 +114,15 @@ def corr_replicates(
 ) -> DataFrame:
     """(keys, rep, r_<y>...): correlations of x with every y on the same resample."""
     terms = pair_terms(x, ys)
-    sums = replicate_sums(with_position(df, keys), keys, terms, seed, reps, block)
+    w = Window.partitionBy(*keys)
+    # A correlation does not depend on the level; without it the sums of squares keep their digits.
+    centred = with_position(df, keys).withColumns({c: F.col(c) - F.avg(c).over(w) for c in (x, *ys)})
+    sums = replicate_sums(centred, keys, terms, seed, reps, block)
     return sums.select(*keys, "rep", *(_pair_corr(y).alias(f"r_{y}") for y in ys))
 
 
 def corr_points(df: DataFrame, keys: Sequence[str], x: str, ys: Sequence[str]) -> DataFrame:
-    sums = df.groupBy(*keys).agg(*(F.sum(t).alias(n) for n, t in pair_terms(x, ys).items()))
-    return sums.select(*keys, F.col("s_n").cast("long").alias("n"), *(_pair_corr(y).alias(f"r_{y}") for y in ys))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(safe_corr(F.col(x), F.col(y)).alias(f"r_{y}") for y in ys))
 
 
 def interval(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:

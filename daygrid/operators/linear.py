@@ -1,8 +1,9 @@
 """Linear models from distributed sufficient statistics.
 
-Row data stays on the executors: every Arrow batch is reduced to a Gram matrix
-of its columns, the partial matrices are summed by Spark per (group, cell), and
-only the p x p solve runs as one small pandas call per group. Passes that need
+Row data stays on the executors: every Arrow batch is reduced to the count, mean and
+centred co-moments of its columns, which are merged pairwise with the difference of
+the means (raw second moments would lose a small spread on a large level), and only
+the p x p solve runs as one small pandas call per group. Passes that need
 rows again (leave-one-out errors, fold errors) bring rows and model together
 with a salted cogroup, so a large group is spread over many tasks and no model
 travels through the driver.
@@ -17,7 +18,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 RANK_CUTOFF = 1e-10
 ROWS_PER_TASK = 50_000
 FLUSH_GROUPS = 256
+MERGE_PARTS = 64  # parts of a group that are merged before the last merge
 
 # 30 log-spaced penalties from 1e-2 to 1e4.
 ALPHA_GRID = [10 ** (-2 + 6 * i / 29) for i in range(30)]
@@ -41,67 +43,89 @@ def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
-def gram_cells(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Cells (keys, i, j, v), i <= j, of the Gram matrix of [1, *cols] per group.
+class CoMoments:
+    """Count, mean and centred co-moments of some columns over some rows."""
+
+    def __init__(self, n: float, mean: np.ndarray, co: np.ndarray):
+        self.n, self.mean, self.co = n, mean, co
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> CoMoments:
+        mean = x.mean(axis=0)
+        gap = x - mean
+        return cls(float(len(x)), mean, gap.T @ gap)
+
+    @classmethod
+    def empty(cls, p: int) -> CoMoments:
+        return cls(0.0, np.zeros(p), np.zeros((p, p)))
+
+    def __add__(self, other: CoMoments) -> CoMoments:
+        """The moments of both sets of rows together."""
+        n = self.n + other.n
+        if not self.n or not other.n:
+            return self if self.n else other
+        gap = other.mean - self.mean
+        return CoMoments(n, self.mean + gap * (other.n / n), self.co + other.co + np.outer(gap, gap) * (self.n * other.n / n))
+
+
+def _together(pdf: pd.DataFrame, p: int) -> CoMoments:
+    """All parts of a group, in the order of their tasks, so that a retry gives the same bits."""
+    total = CoMoments.empty(p)
+    for r in pdf.sort_values("part").itertuples(index=False):
+        total = total + CoMoments(r.n, np.asarray(r.mean, dtype=float), np.asarray(r.co, dtype=float).reshape(p, p))
+    return total
+
+
+def co_moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """(keys, part, n, mean, co): centred co-moments of ``cols``, at most ``MERGE_PARTS`` rows per group.
 
     Rows with a null are the caller's concern; a null would surface as NaN.
     """
     keys, cols = list(keys), list(cols)
-    p = len(cols) + 1
-    upper_i, upper_j = np.triu_indices(p)
+    p = len(cols)
+    vec = T.ArrayType(T.DoubleType())
     schema = T.StructType(
-        [*_key_fields(df, keys), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("v", T.DoubleType())]
+        [*_key_fields(df, keys), T.StructField("part", T.IntegerType()), T.StructField("n", T.DoubleType()), T.StructField("mean", vec), T.StructField("co", vec)]
     )
 
-    def emit(store: dict) -> pd.DataFrame:
-        parts = []
-        for key, g in store.items():
-            cell = pd.DataFrame({"i": upper_i.astype("int32"), "j": upper_j.astype("int32"), "v": g[upper_i, upper_j]})
-            for name, value in zip(keys, key):
-                cell[name] = value
-            parts.append(cell[[*keys, "i", "j", "v"]])
-        return pd.concat(parts, ignore_index=True)
+    def emit(store: dict, part: int) -> pd.DataFrame:
+        return pd.DataFrame([[*key, part, m.n, m.mean, m.co.ravel()] for key, m in store.items()], columns=schema.names)
 
     def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store: dict = {}
+        part = TaskContext.get().partitionId()
         for pdf in batches:
-            for key, part in pdf.groupby(keys, sort=False, dropna=False):
-                x = np.column_stack([np.ones(len(part)), part[cols].to_numpy(float)])
-                g = x.T @ x
-                store[key] = store[key] + g if key in store else g
+            for key, rows in pdf.groupby(keys, sort=False, dropna=False):
+                m = CoMoments.of(rows[cols].to_numpy(float))
+                store[key] = store[key] + m if key in store else m
             if len(store) >= FLUSH_GROUPS:
-                yield emit(store)
+                yield emit(store, part)
                 store = {}
         if store:
-            yield emit(store)
+            yield emit(store, part)
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return emit({key[:-1]: _together(pdf, p)}, key[-1])
 
     picked = df.select(*keys, *(F.col(c).cast("double").alias(c) for c in cols))
     partial = picked.mapInPandas(reduce_batches, schema)
-    return partial.groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
-
-
-def _square(pdf: pd.DataFrame, p: int) -> np.ndarray:
-    g = np.zeros((p, p))
-    i, j, v = pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["v"].to_numpy()
-    g[i, j] = v
-    g[j, i] = v
-    return g
+    bucket = F.pmod("part", F.lit(MERGE_PARTS)).cast("int").alias("bucket")
+    return partial.groupBy(*keys, bucket).applyInPandas(merge, schema)
 
 
 class _Moments:
-    """Standardised second moments read off one Gram matrix of [1, x..., y...]."""
+    """Standardised second moments read off the co-moments of [x..., y...]."""
 
-    def __init__(self, g: np.ndarray, x: Sequence[int], y: Sequence[int]):
-        self.n = g[0, 0]
-        mean = g[0] / self.n
+    def __init__(self, total: CoMoments, x: Sequence[int], y: Sequence[int]):
+        self.n = total.n
         x, y = list(x), list(y)
-        cov = g - self.n * np.outer(mean, mean)
-        var = np.diag(cov)[x] / self.n
-        raw = np.diag(g)[x] / self.n
-        self.scale = np.where(var > 1e-14 * np.maximum(raw, 1e-300), np.sqrt(np.maximum(var, 0)), 1.0)
-        self.x_mean, self.y_mean = mean[x], mean[y]
-        self.zz = cov[np.ix_(x, x)] / np.outer(self.scale, self.scale)
-        self.zy = cov[np.ix_(x, y)] / self.scale[:, None]
+        var = np.diag(total.co)[x] / self.n
+        raw = var + total.mean[x] ** 2
+        # A constant leaves only what rounding its mean leaves.
+        self.scale = np.where(var > 1e-28 * np.maximum(raw, 1e-300), np.sqrt(np.maximum(var, 0)), 1.0)
+        self.x_mean, self.y_mean = total.mean[x], total.mean[y]
+        self.zz = total.co[np.ix_(x, x)] / np.outer(self.scale, self.scale)
+        self.zy = total.co[np.ix_(x, y)] / self.scale[:, None]
         self.values, self.basis = np.linalg.eigh(self.zz)
         self.values = np.maximum(self.values, 0.0)
         self.proj = self.basis.T @ self.zy
@@ -124,8 +148,7 @@ class _Moments:
 def fit_ols(df: DataFrame, keys: Sequence[str], specs: dict[str, Sequence[str]], train: Column) -> DataFrame:
     """Least squares of every target on an intercept and its columns, per group.
 
-    ``specs`` maps target to columns; all fits share one Gram pass over the
-    train rows. Rank-deficient designs get the minimum-norm solution. One row
+    ``specs`` maps target to columns; all fits share one pass over the train rows. Rank-deficient designs get the minimum-norm solution. One row
     per group with an array ``coef_<target>`` of intercept and coefficients.
     """
     keys = list(keys)
@@ -134,15 +157,14 @@ def fit_ols(df: DataFrame, keys: Sequence[str], specs: dict[str, Sequence[str]],
     out = T.StructType([*_key_fields(df, keys), *(T.StructField(f"coef_{y}", vec) for y in specs)])
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _square(pdf, len(cols) + 1)
-        fitted = []
+        total, fitted = _together(pdf, len(cols)), []
         for y, xs in specs.items():
-            m = _Moments(g, [cols.index(x) + 1 for x in xs], [cols.index(y) + 1])
+            m = _Moments(total, [cols.index(x) for x in xs], [cols.index(y)])
             fitted.append(m.raw(m.least_squares())[:, 0].tolist())
         return pd.DataFrame([[*key, *fitted]], columns=out.names)
 
-    cells = gram_cells(df.filter(train), keys, cols)
-    return stable(cells.groupBy(*keys).applyInPandas(solve, out), "ols")
+    parts = co_moments(df.filter(train), keys, cols)
+    return stable(parts.groupBy(*keys).applyInPandas(solve, out), "ols")
 
 
 def linear_value(xs: Sequence[str], coef: str) -> Column:
@@ -164,6 +186,11 @@ def residuals(
     )
 
 
+def _apart(df: DataFrame, used: Sequence[str]) -> list[str]:
+    """Columns that tell rows apart which agree in all model columns."""
+    return [c for c in ("date", "zone") if c in df.columns and c not in used]
+
+
 def _salted(rows: DataFrame, models: DataFrame, keys: Sequence[str], largest: float) -> tuple:
     """Rows and models grouped by key and salt; the largest group is cut to about ROWS_PER_TASK rows.
 
@@ -179,7 +206,7 @@ def _salted(rows: DataFrame, models: DataFrame, keys: Sequence[str], largest: fl
 def ridge_systems(
     df: DataFrame, keys: Sequence[str], conditions: dict[str, Sequence[str]], y: str, train: Column
 ) -> DataFrame:
-    """Eigen-decomposed normal equations per (group, condition), all from one Gram pass."""
+    """Eigen-decomposed normal equations per (group, condition), all from one pass over the train rows."""
     keys = list(keys)
     union = list(dict.fromkeys(c for cols in conditions.values() for c in cols))
     vec = T.ArrayType(T.DoubleType())
@@ -194,16 +221,15 @@ def ridge_systems(
     )
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _square(pdf, len(union) + 2)
-        rows = []
+        total, rows = _together(pdf, len(union) + 1), []
         for name, cols in conditions.items():
-            m = _Moments(g, [union.index(c) + 1 for c in cols], [len(union) + 1])
+            m = _Moments(total, [union.index(c) for c in cols], [len(union)])
             arrays = (m.x_mean, m.scale, m.values, m.basis.ravel(), m.proj[:, 0])
             rows.append([*key, name, m.n, m.y_mean[0], *(a.tolist() for a in arrays)])
         return pd.DataFrame(rows, columns=out.names)
 
-    cells = gram_cells(df.filter(train), keys, [*union, y])
-    return stable(cells.groupBy(*keys).applyInPandas(solve, out), "ridge")
+    parts = co_moments(df.filter(train), keys, [*union, y])
+    return stable(parts.groupBy(*keys).applyInPandas(solve, out), "ridge")
 
 
 def loo_errors(
@@ -247,7 +273,7 @@ def loo_errors(
                 parts.append(cell[out.names])
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=out.names)
 
-    rows = df.filter(train).select(*keys, *(c for c in (y, *union)))
+    rows = df.filter(train).select(*keys, y, *union, *_apart(df, [*keys, y, *union]))
     largest = systems.agg(F.max("n").alias("n")).first().n or 0
     left, right = _salted(rows, systems, keys, largest)
     partial = left.cogroup(right).applyInPandas(score, out)
@@ -356,35 +382,34 @@ def search_errors(
 ) -> DataFrame:
     """Mean absolute error of every (condition, draw, fold) ridge.
 
-    One Gram pass and one row pass serve all of them. Train rows carry the
-    index of the date block they fall in; block matrices summed over the blocks
-    before a fold are that fold's train matrix, scaler included.
+    One pass for the moments and one row pass serve all of them. Train rows carry the
+    index of the date block they fall in; the moments merged over the blocks before a
+    fold are that fold's train moments, scaler included.
     Returns (keys, condition, draw, alpha, fold, mae).
     """
     keys, alphas = list(keys), list(alphas)
     union = list(dict.fromkeys(c for cols in conditions.values() for c in cols))
     p = len(union)
     by = [*keys, "block"]
-    apart = [c for c in ("date", "zone") if c in df.columns and c not in (*by, y, *union)]
-    blocked = stable(with_fold_block(df.filter(train), keys, folds).select(*by, y, *union, *apart), "blocks")
-    cells = gram_cells(blocked, by, [*union, y])
+    blocked = stable(with_fold_block(df.filter(train), keys, folds).select(*by, y, *union, *_apart(df, [*by, y, *union])), "blocks")
+    parts = co_moments(blocked, by, [*union, y])
     vec = T.ArrayType(T.DoubleType())
     head = [*_key_fields(df, keys), T.StructField("block", T.IntegerType()), T.StructField("condition", T.StringType()), T.StructField("draw", T.IntegerType())]
     model_schema = T.StructType([*head, T.StructField("coef", vec)])
     score_schema = T.StructType([*head, T.StructField("sae", T.DoubleType()), T.StructField("rows", T.DoubleType())])
 
     def fold_models(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total, rows = np.zeros((p + 2, p + 2)), []
+        total, rows = CoMoments.empty(p + 1), []
         for block in range(folds + 1):
-            if total[0, 0] > 1:
+            if total.n > 1:
                 for name, cols in conditions.items():
-                    at = [union.index(c) + 1 for c in cols]
-                    m = _Moments(total, at, [p + 1])
+                    at = [union.index(c) for c in cols]
+                    m = _Moments(total, at, [p])
                     for d, a in enumerate(alphas):
                         wide = np.zeros(p + 1)
-                        wide[[0, *at]] = m.raw(m.ridge(a))[:, 0]
+                        wide[[0, *(i + 1 for i in at)]] = m.raw(m.ridge(a))[:, 0]
                         rows.append([*key, block, name, d, wide.tolist()])
-            total = total + _square(pdf[pdf["block"] == block], p + 2)
+            total = total + _together(pdf[pdf["block"] == block], p + 1)
         return pd.DataFrame(rows, columns=model_schema.names)
 
     def score(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -397,8 +422,8 @@ def search_errors(
         cell["rows"] = float(len(left))
         return cell[score_schema.names]
 
-    models = cells.groupBy(*keys).applyInPandas(fold_models, model_schema)
-    largest = cells.filter("i = 0 AND j = 0").agg(F.max("v")).first()[0] or 0
+    models = parts.groupBy(*keys).applyInPandas(fold_models, model_schema)
+    largest = blocked.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     left, right = _salted(blocked, models, by, largest)
     partial = left.cogroup(right).applyInPandas(score, score_schema)
     fold = (F.col("block") - 1).alias("fold")
@@ -438,3 +463,51 @@ def search_ridge(
     mean = errors.groupBy(*keys, "condition", "draw", "alpha").agg(F.avg("mae").alias("cv_mae"))
     chosen = best_by(mean, [*keys, "condition"], "cv_mae", "draw")
     return ridge_coefficients(ridge_systems(df, keys, conditions, y, train), chosen, keys, conditions)
+
+
+def distorted(df: DataFrame, keys: Sequence[str], cols: Sequence[str], y: str, folds: int) -> DataFrame:
+    """Each row as it is and distorted in ``cols`` and ``y`` (column ``bent``), with its fold ``block``."""
+    blocked = with_fold_block(df, keys, folds)
+    both = blocked.withColumn("bent", F.explode(F.array(F.lit(False), F.lit(True))))
+    return both.withColumns({c: F.when(F.col("bent"), F.col(c) * 10 + F.col("block") * 7 + 500).otherwise(F.col(c)) for c in (*cols, y)})
+
+
+def moved_fold_models(
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], y: str, alpha: float, folds: int, tol: float = 1e-9
+) -> DataFrame:
+    """(keys, distorted, fold, scaler): fold models that move when the test days of one fold are distorted.
+
+    ``df`` comes from ``distorted``. One pass keyed by block gives the moments of each
+    block, true and distorted; any mixture of blocks is merged from them, so no fit
+    reads rows again. ``scaler`` is ``fold`` for models that see their fold's train days only and
+    ``all_days`` for the control, whose scale comes from all blocks.
+    """
+    keys, cols = list(keys), list(cols)
+    p = len(cols)
+    fields = [("distorted", T.IntegerType()), ("fold", T.IntegerType()), ("scaler", T.StringType())]
+    out = T.StructType([*_key_fields(df, keys), *(T.StructField(n, k) for n, k in fields)])
+
+    def models(blocks: list[CoMoments]) -> dict[tuple[int, str], np.ndarray]:
+        found, whole = {}, sum(blocks, CoMoments.empty(p + 1))
+        wide = _Moments(whole, range(p), [p])
+        for fold in range(folds):
+            m = _Moments(sum(blocks[: fold + 1], CoMoments.empty(p + 1)), range(p), [p])
+            found[fold, "fold"] = m.raw(m.ridge(alpha))[:, 0]
+            # The same ridge on columns that are scaled by what all days say.
+            ratio = m.scale / wide.scale
+            beta = np.linalg.solve(m.zz * np.outer(ratio, ratio) + alpha * np.eye(p), m.zy[:, 0] * ratio)
+            found[fold, "all_days"] = np.concatenate(([m.y_mean[0] - m.x_mean @ (beta / wide.scale)], beta / wide.scale))
+        return found
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = {bent: [_together(pdf[(pdf["block"] == b) & (pdf["bent"] == bent)], p + 1) for b in range(folds + 1)] for bent in (False, True)}
+        true, rows = models(parts[False]), []
+        for f in range(folds):
+            mixed = [parts[b == f + 1][b] for b in range(folds + 1)]
+            for (fold, scaler), coef in models(mixed).items():
+                if (np.abs(coef - true[fold, scaler]) > tol * np.maximum(1.0, np.abs(true[fold, scaler]))).any():
+                    rows.append([*key, f, fold, scaler])
+        return pd.DataFrame(rows, columns=out.names)
+
+    moments = co_moments(df, [*keys, "block", "bent"], [*cols, y])
+    return moments.groupBy(*keys).applyInPandas(compare, out)

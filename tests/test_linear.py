@@ -138,3 +138,37 @@ def test_one_heavy_group_is_spread_over_tasks(spark, monkeypatch):
         h = 1 / len(z) + z**2 / ((z**2).sum() + 1.0)
         e = part.y - part.y.mean() - z * (z * part.y).sum() / ((z**2).sum() + 1.0)
         assert got[g] == pytest.approx(((e / (1 - h)) ** 2).mean(), rel=1e-9)
+
+
+def test_small_spread_on_a_large_level(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (2000, 3))
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(0, 0.1, 2000)
+    rows = [(START + timedelta(i), "g", *(1e8 + x[i]).tolist(), float(1e8 + y[i])) for i in range(2000)]
+    names = ["a", "b", "c"]
+    df = spark.createDataFrame(rows, "date date, g string, a double, b double, c double, y double").repartition(7)
+    held = df.toPandas()
+    z, t = held[names].to_numpy() - 1e8, held["y"].to_numpy() - 1e8  # exact, as the level was added before
+    zc, tc = z - z.mean(0), t - t.mean()
+    beta = np.linalg.lstsq(zc, tc, rcond=None)[0]
+    coef = linear.fit_ols(df, ["g"], {"y": names}, F.lit(True)).first()["coef_y"]
+    assert np.allclose(coef[1:], beta, rtol=0, atol=1e-8)
+    models = linear.fit_ridge(df, ["g"], {"D": names}, "y", F.lit(True), 10.0)
+    std = linear.standardized_coefficients(models, ["g"], {"D": names}).toPandas().set_index("feature")["std_coef"]
+    want, _ = ridge_fit(zc / zc.std(0), tc, 10.0)
+    assert np.allclose([std[c] for c in names], want, rtol=0, atol=1e-8)
+    constant = df.withColumn("k", F.lit(1e8) / 3)
+    coef = linear.fit_ols(constant, ["g"], {"y": [*names, "k"]}, F.lit(True)).first()["coef_y"]
+    assert np.allclose(coef[1:4], beta, rtol=0, atol=1e-8) and abs(coef[4]) < 1e-8
+
+
+def test_merging_moments_in_any_cut_gives_the_whole():
+    rng = np.random.default_rng(6)
+    x = 1e6 + rng.normal(0, 1, (500, 4))
+    whole = linear.CoMoments.of(x)
+    for cuts in ([250], [1, 2, 499], [100, 200, 300, 400]):
+        total = linear.CoMoments.empty(4)
+        for part in np.split(x, cuts):
+            total = total + linear.CoMoments.of(part)
+        assert total.n == 500
+        assert np.allclose(total.mean, whole.mean, rtol=1e-15) and np.allclose(total.co, whole.co, rtol=0, atol=1e-9 * np.trace(whole.co))
