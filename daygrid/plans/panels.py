@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daygrid.functions.calendar import calendar_block
-from daygrid.operators import counts, events, features, grid, metrics, quality
+from daygrid.operators import counts, events, features, grid, metrics, quality, selection
 from daygrid.operators.segments import sum_segments
 from daygrid.plans import tables as t
 from daygrid.plans.registry import query
@@ -176,6 +176,19 @@ def exact_quantile(spark: SparkSession, d: str) -> DataFrame:
     return t.rounded(out.select("segment", F.col("q")[0].alias("q90"), F.col("q")[1].alias("q025")))
 
 
+@query(
+    "line_quantiles",
+    """SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.5), 6) + 0.0 AS median_price,
+    round(quantile_cont(l_extendedprice, 0.975), 6) + 0.0 AS high_price FROM lineitem GROUP BY 1, 2""",
+)
+def line_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact quantiles of all line prices by flag and status: four groups that hold all lines."""
+    keys = ["l_returnflag", "l_linestatus"]
+    lines = read_table(spark, d, "lineitem").select(*keys, "l_extendedprice")
+    half = selection.exact_quantile(lines, keys, "l_extendedprice", 0.5, "median_price")
+    return t.rounded(half.join(selection.exact_quantile(lines, keys, "l_extendedprice", 0.975, "high_price"), keys))
+
+
 @query("fit_line", with_ctes(["series", "exo"], f"SELECT target, {r6('regr_slope(y, exo_count)', 'slope')}, {r6('regr_intercept(y, exo_count)', 'intercept')} FROM series JOIN exo USING (date) GROUP BY 1"))
 def fit_line(spark: SparkSession, d: str) -> DataFrame:
     exo = sample.exo_daily(spark, d).select("date", "exo_count")
