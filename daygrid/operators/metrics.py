@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daygrid.functions.stats import r2_from, safe_corr
+from daygrid.operators.features import FEATURE_GROUPS
 from daygrid.operators.segments import AXES, COMMUTE, LEISURE
 
 
@@ -117,3 +118,11 @@ def overall_verdict(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(
         F.when(agree == n, "supported").when(agree == 0, "rejected").otherwise("mixed").alias("overall")
     )
+
+
+def coefficient_summary(coefs: DataFrame, keys: Sequence[str], named: dict[str, str]) -> DataFrame:
+    """(keys, max_<group>..., named coefficients) from standardised coefficients; one grouping."""
+    prefix = F.split("feature", "_")[0]
+    largest = [F.max(F.when(prefix == p, F.col("abs"))).alias(f"max_{g}") for p, g in FEATURE_GROUPS.items()]
+    single = [F.max(F.when(F.col("feature") == c, F.col("std_coef"))).alias(n) for n, c in named.items()]
+    return coefs.groupBy(*keys).agg(*largest, *single)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daygrid.config import TimeWindows
 from daygrid.functions.stats import half_even
@@ -68,10 +69,12 @@ def count_segments(df: DataFrame, rules: list[Column], weight: str | None = None
 
 
 def sum_segments(df: DataFrame, ts: str, value: str, windows: TimeWindows) -> DataFrame:
-    """(date, segment, n) from hourly sums, rounded half to even."""
+    """(date, segment, n) from hourly sums, rounded half to even. Rows whose time is no time are dropped."""
+    if isinstance(df.schema[ts].dataType, T.StringType):
+        df = df.withColumn(ts, F.try_to_timestamp(ts))
     rules = hour_rules(F.col(ts), windows)
     return (
-        _unfold(df, rules, F.to_date(ts).alias("date"), F.col(value).alias("_v"))
+        _unfold(df.filter(F.col(ts).isNotNull()), rules, F.to_date(ts).alias("date"), F.col(value).alias("_v"))
         .groupBy("date", "segment")
         .agg(half_even(F.sum("_v")).cast("long").alias("n"))
     )

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("scans", "panels", "regression", "inference", "checks")
+FAMILIES = ("scans", "panels", "regression", "inference", "systems", "checks")
 
 
 def load() -> None:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daygrid.config import SearchSettings
 from daygrid.functions.calendar import harmonic_names
 from daygrid.operators import features, grid, linear, quality
 from daygrid.plans import tables as t
@@ -60,20 +61,34 @@ def dq_split_order(spark: SparkSession, d: str) -> DataFrame:
     return quality.split_ranges(t.demand_panel(spark, d), features.split_label(F.col("date"), t.PERIOD))
 
 
+# A control beside each proof: features that are known to leak must be found.
+_ROLLED = "avg(demand) OVER (PARTITION BY zone ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
+
+
 @query(
     "leak_lag",
     with_ctes(
-        ["feats"],
+        ["panel"],
         " UNION ALL ".join(
-            f"SELECT a.zone, a.date, {k} AS lag FROM feats a LEFT JOIN feats b ON a.zone = b.zone AND b.date = a.date - {k} WHERE a.demand_lag_{k} IS DISTINCT FROM b.demand"
+            f"SELECT zone, date, {k} AS lag, '{source}' AS source FROM (SELECT a.zone, a.date, a.shifted, b.demand AS past FROM "
+            f"(SELECT zone, date, lag(demand, {k - less}) OVER (PARTITION BY zone ORDER BY date) AS shifted FROM panel) a "
+            f"LEFT JOIN panel b ON a.zone = b.zone AND b.date = a.date - {k}) WHERE shifted IS DISTINCT FROM past"
             for k in t.PANEL.lags
+            for source, less in (("features", 0), ("control", 1))
         ),
     ),
 )
 def leak_lag(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose lag is not the value so many days before; the control's lags are one day short."""
     table = stable(t.demand_panel(spark, d), "panel")
-    lagged = stable(table.select("*", *features.lags("demand", t.PANEL.lags, features.by_day("zone"), "demand_lag_")), "lagged")
-    wrong = [quality.wrong_lags(lagged, "zone", "demand", f"demand_lag_{k}", k).select("zone", "date", F.lit(k).alias("lag")) for k in t.PANEL.lags]
+    w = features.by_day("zone")
+    short = [F.lag("demand", k - 1).over(w).alias(f"short_{k}") for k in t.PANEL.lags]
+    lagged = stable(table.select("*", *features.lags("demand", t.PANEL.lags, w, "demand_lag_"), *short), "lagged")
+    wrong = [
+        quality.wrong_lags(lagged, "zone", "demand", f"{prefix}{k}", k).select("zone", "date", F.lit(k).alias("lag"), F.lit(source).alias("source"))
+        for k in t.PANEL.lags
+        for source, prefix in (("features", "demand_lag_"), ("control", "short_"))
+    ]
     return reduce(DataFrame.union, wrong)
 
 
@@ -81,15 +96,47 @@ def leak_lag(spark: SparkSession, d: str) -> DataFrame:
     "leak_rolling",
     with_ctes(
         ["feats"],
-        """SELECT a.zone, a.date FROM feats a LEFT JOIN feats b ON a.zone = b.zone AND b.date BETWEEN a.date - 7 AND a.date - 1
-        GROUP BY a.zone, a.date HAVING (count(b.date) = 7) <> (max(a.demand_rolling_mean_7) IS NOT NULL)
-        OR abs(max(a.demand_rolling_mean_7) - avg(b.demand)) > 1e-6""",
+        f"""SELECT zone, date, source FROM (SELECT a.zone, a.date, a.source, max(a.rolled) AS rolled, count(b.date) AS n, avg(b.demand) AS mean FROM
+        (SELECT zone, date, demand_rolling_mean_7 AS rolled, 'features' AS source FROM feats UNION ALL
+        SELECT zone, date, {_ROLLED} AS rolled, 'control' AS source FROM panel) a
+        LEFT JOIN feats b ON a.zone = b.zone AND b.date BETWEEN a.date - 7 AND a.date - 1 GROUP BY a.zone, a.date, a.source)
+        WHERE (n = 7) <> (rolled IS NOT NULL) OR (n = 7 AND abs(rolled - mean) > 1e-6)""",
     ),
 )
 def leak_rolling(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose rolling mean is not that of the seven days before; the control's mean sees today."""
     table = stable(t.demand_panel(spark, d), "panel")
-    rolled = table.select("*", *features.rolling_means("demand", (7,), features.by_day("zone"), "roll_"))
-    return quality.wrong_rolling(rolled, "zone", "demand", "roll_7", 7).select("zone", "date")
+    w = features.by_day("zone")
+    today = F.avg("demand").over(w.rowsBetween(-6, 0)).alias("today_7")
+    rolled = stable(table.select("*", *features.rolling_means("demand", (7,), w, "roll_"), today), "rolled")
+    wrong = [
+        quality.wrong_rolling(rolled, "zone", "demand", c, 7).select("zone", "date", F.lit(source).alias("source"))
+        for source, c in (("features", "roll_7"), ("control", "today_7"))
+    ]
+    return wrong[0].union(wrong[1])
+
+
+_FOLDS = SearchSettings().folds
+
+
+@query(
+    "leak_fold",
+    with_ctes(
+        ["series"],
+        f"""SELECT target, CAST(f.range AS INTEGER) AS distorted, CAST(m.range AS INTEGER) AS fold, scaler FROM (SELECT DISTINCT target FROM series),
+        range({_FOLDS}) f, range({_FOLDS}) m, (VALUES ('fold'), ('all_days')) v(scaler) WHERE scaler = 'all_days' OR f.range < m.range""",
+    ),
+)
+def leak_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Which folds' models move when the test days of one fold are distorted.
+
+    A fold trains on the days before its own, so the distortion of fold f may reach the
+    models of later folds only. The control takes its scaler from all train days, and
+    every model of it moves.
+    """
+    rows = stable(t.series_table(spark, d).dropna(), "clean")
+    inputs = linear.distorted(rows.filter(t.is_train()), ["target"], [*t.ANOMALIES, "lag_y_1", "lag_y_7"], "y", _FOLDS)
+    return linear.moved_fold_models(inputs, ["target"], [*BASELINE, *t.ANOMALIES, "lag_y_1", "lag_y_7"], "y", 10.0, _FOLDS)
 
 
 @query("leak_fit", with_ctes(["series"], "SELECT date, target, 'all_days' AS fitted_on FROM series"))

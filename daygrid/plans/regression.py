@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daygrid.config import PANEL_RIDGE_ALPHA, SERIES_RIDGE_ALPHA, SearchSettings
@@ -28,6 +28,7 @@ from daygrid.plans.sqltext import (
     r6_all,
     residual_ctes,
     ridge,
+    ridge_search,
     with_ctes,
 )
 from daygrid.session import stable
@@ -79,13 +80,13 @@ def _loo(prefix: str, source: str, keys: list[str], xs: list[str]) -> list[tuple
     ]
 
 
-def _test_r2(prefix: str, source: str, keys: list[str]) -> tuple[str, str]:
+def _test_r2(prefix: str, source: str, keys: list[str], test: str = f"date > DATE '{VAL_END}'") -> tuple[str, str]:
     """Test R2 of the chosen ridge; data rows hold y - fitted."""
     k = ", ".join(keys)
     return (
         f"{prefix}_r2",
         f"SELECT {k}, 1 - sum(o.y * o.y) / (var_pop(s.y) * count(*)) AS r2 FROM {prefix}_best o JOIN {source} s USING ({k}, date) "
-        f"WHERE kind = 0 AND date > DATE '{VAL_END}' GROUP BY {k}",
+        f"WHERE kind = 0 AND {test} GROUP BY {k}",
     )
 
 
@@ -405,7 +406,7 @@ _SEARCH = [
         _SEARCH,
     ),
 )
-def ridge_search(spark: SparkSession, d: str) -> DataFrame:
+def ridge_search_errors(spark: SparkSession, d: str) -> DataFrame:
     """Fold errors of 20 seeded penalties on 5 forward folds, scaler refitted per fold."""
     rows = stable(_clean(spark, d), "clean")
     search = SearchSettings()
@@ -425,11 +426,11 @@ _SEG_FEATURES = [
 ]
 
 
-def _r2_table(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _r2_table(rows: DataFrame, keys: list[str], train: Column | None = None, test: Column | None = None) -> DataFrame:
     """Test R2 of condition A and B per group and their difference."""
     conditions = {c: CONDITION_COLUMNS[c] for c in ("A", "B")}
-    models = linear.fit_ridge_loo(rows, keys, conditions, "y", t.is_train())
-    pred = linear.predict(rows.filter(t.is_test()), models, keys, conditions)
+    models = linear.fit_ridge_loo(rows, keys, conditions, "y", t.is_train() if train is None else train)
+    pred = linear.predict(rows.filter(t.is_test() if test is None else test), models, keys, conditions)
     r2 = metrics.score(pred, [*keys, "condition"], "y", "pred")
     wide = r2.groupBy(*keys).agg(*(F.max(F.when(F.col("condition") == c, F.col("r2"))).alias(f"r2{c}_test") for c in ("A", "B")))
     return wide.withColumn("delta_r2", F.col("r2B_test") - F.col("r2A_test"))
@@ -627,14 +628,27 @@ def forest_model(spark: SparkSession, d: str) -> DataFrame:
 
 def _boosted_predictions(rows: DataFrame, conditions: dict[str, list[str]]) -> DataFrame:
     """Boosted trees at fixed parameters for every condition, held rows."""
+    searches = [trees.Search(n, tuple(cols)) for n, cols in conditions.items()]
+    single = SearchSettings(draws=1)
+    pred = trees.search_trees(rows, searches, [], "demand", t.is_train(), trees.boosted, lambda *_: FIXED_BOOSTED, {}, single)
+    held = pred.filter(~t.is_train())
+    return held.withColumns({"condition": F.col("search"), "model": F.lit("BoostedFixed")}).select(*_PANEL_KEEP)
 
-    def one(condition: str) -> DataFrame:
-        model = trees.boosted(FIXED_BOOSTED, "demand", TREE_SEED)
-        pred = trees.fit_tree(rows, conditions[condition], "demand", t.is_train(), model)
-        tags = {"condition": F.lit(condition), "model": F.lit("BoostedFixed")}
-        return pred.filter(~t.is_train()).withColumns(tags).select(*_PANEL_KEEP)
 
-    return union_all(trees.in_parallel(one, list(conditions), 4))
+# The searches of the studies over small ranges, 3 draws x 3 folds, so that the whole of it is registered and scored.
+SMALL_FOREST = {"trees": (3, 8), "depth": (2, 4), "leaf": (1, 19)}
+SMALL_SEARCH = SearchSettings(draws=3, folds=3)
+
+
+@query("forest_search")
+def forest_search(spark: SparkSession, d: str) -> DataFrame:
+    """Searched forests of every target and condition, val and test scores."""
+    rows = t.with_split(_clean(spark, d))
+    searches = [trees.Search(f"{y}:{c}", tuple(cols), f"target = '{y}'") for y in t.TARGETS for c, cols in CONDITION_COLUMNS.items()]
+    pred = trees.search_trees(rows, searches, ["target"], "y", t.is_train(), trees.forest, trees.forest_draw, SMALL_FOREST, SMALL_SEARCH, parallelism=8)
+    label = F.element_at(F.split("search", ":"), -1)
+    held = pred.filter(~t.is_train()).select("target", label.alias("condition"), F.lit("ForestSearched").alias("model"), "split", "y", "pred")
+    return t.rounded(metrics.score_splits(held, ["target", "condition", "model"], "y", "pred"))
 
 
 @query("boosted_model")
@@ -694,6 +708,47 @@ def shallow_tree(spark: SparkSession, d: str) -> DataFrame:
     return t.rounded(union_all(trees.in_parallel(one, list(t.TARGETS), 3)))
 
 
+IMPORTANCE_REPEATS = 5
+_PERM = [
+    *_SHALLOW,
+    ("fitted", "SELECT target, side, leaf, avg(y) AS pred FROM leafed WHERE is_train GROUP BY 1, 2, 3"),
+    ("held", f"SELECT target, date, any_value(y) AS y, map(list(k ORDER BY k), list(x ORDER BY k)) AS own FROM flag WHERE date > DATE '{VAL_END}' GROUP BY 1, 2"),
+    ("each", f"SELECT * FROM held, (SELECT range AS rep FROM range({IMPORTANCE_REPEATS})) r"),
+    ("spot", "SELECT target, date, rep, y, own, dense_rank() OVER (PARTITION BY target, rep ORDER BY date) AS place, "
+     f"row_number() OVER (PARTITION BY target, rep ORDER BY md5('{TREE_SEED}:' || rep || ':' || date)) AS rank FROM each"),
+    (
+        "moved",
+        f"""SELECT a.target, a.rep, a.y, c.range AS col, a.own, b.own AS other FROM spot a JOIN spot b ON a.target = b.target AND a.rep = b.rep AND a.place = b.rank,
+        (SELECT range FROM range(-1, {len(TWO_VALUED)})) c""",
+    ),
+    ("sided", "SELECT m.*, CASE WHEN col = r.k THEN other[r.k] ELSE own[r.k] END AS side FROM moved m JOIN root r USING (target)"),
+    ("ended", "SELECT s.*, coalesce(CASE WHEN col = c.k THEN other[c.k] ELSE own[c.k] END, false) AS leaf FROM sided s LEFT JOIN child c USING (target, side)"),
+    ("mses", "SELECT target, rep, col, avg(power(y - pred, 2)) AS mse FROM ended JOIN fitted USING (target, side, leaf) GROUP BY 1, 2, 3"),
+    ("grown", "SELECT a.target, a.col, a.rep, a.mse - b.mse AS g FROM mses a JOIN mses b ON a.target = b.target AND a.rep = b.rep AND b.col = -1 WHERE a.col >= 0"),
+]
+
+
+@query(
+    "permutation_importance",
+    with_ctes(
+        _FEATURE_NEEDS,
+        "SELECT target, CASE col " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(TWO_VALUED)) + f" END AS column, {r6('avg(g)', 'importance')}, {r6('stddev_pop(g)', 'spread')} FROM grown GROUP BY target, col",
+        _PERM,
+    ),
+)
+def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
+    """How much each flag of the tree of depth two matters on the test days of every target."""
+    rows = stable(_clean(spark, d), "clean")
+    params = {"numTrees": 1, "maxDepth": 2, "bootstrap": False, "featureSubsetStrategy": "all"}
+
+    def one(target: str) -> DataFrame:
+        mine = rows.filter(F.col("target") == target)
+        model = trees.fitted(mine.filter(t.is_train()), TWO_VALUED, trees.forest(params, "y", TREE_SEED))
+        return trees.permutation_importance(mine.filter(t.is_test()), model, ["target"], ["date"], TWO_VALUED, "y", IMPORTANCE_REPEATS, TREE_SEED)
+
+    return t.rounded(union_all(trees.in_parallel(one, list(t.TARGETS), 3)))
+
+
 _ABL_NEEDS = _FEATURE_NEEDS
 
 
@@ -749,29 +804,24 @@ _PANEL_SETS = {
     "D": [*EXO, "event_count"],
     "E": ["event_count_zone"],
 }
+_PANEL_DRAWS = (
+    "pdr",
+    f"SELECT CAST(range AS INTEGER) AS a, exp(ln({PANEL_RIDGE_ALPHA[0]}) + {hash_uniform(_SEED_TEXT)} * (ln({PANEL_RIDGE_ALPHA[1]}) - ln({PANEL_RIDGE_ALPHA[0]}))) AS alpha FROM range(20)",
+)
 _PANEL_RIDGE = [
     ("ranked", "SELECT *, dense_rank() OVER (ORDER BY zone) AS zr FROM feats WHERE demand_lag_14 IS NOT NULL"),
     (
-        "pr",
-        f"SELECT *, 1 AS g, date <= DATE '{TRAIN_END}' AS is_train, "
-        + ", ".join(f"CAST(zr = {k} AS DOUBLE) AS zr_{k}" for k in range(2, 11))
-        + " FROM ranked",
+        "blocks",
+        f"""SELECT date, CASE WHEN pos < n - 5 * (n // 6) THEN 0 ELSE (pos - n + 5 * (n // 6)) // (n // 6) + 1 END AS block FROM
+        (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM ranked WHERE date <= DATE '{TRAIN_END}'))""",
     ),
-    *[
-        cte
-        for c, extra in _PANEL_SETS.items()
-        for cte in ridge(
-            f"pa{c.lower()}", "pr", ["g"], [*_PANEL_BASE, *extra, *_PANEL_ZONES], "demand",
-            f"(SELECT 0 AS a, CAST({FIXED_ALPHA} AS DOUBLE) AS alpha)", carry=("date", "zone"),
-        )
-    ],
+    ("pr", "SELECT ranked.*, block, " + ", ".join(f"CAST(zr = {k} AS DOUBLE) AS zr_{k}" for k in range(2, 11)) + " FROM ranked LEFT JOIN blocks USING (date)"),
+    _PANEL_DRAWS,
+    *ridge_search("ps", "pr", {c: [*_PANEL_BASE, *extra, *_PANEL_ZONES] for c, extra in _PANEL_SETS.items()}, "demand", "pdr", 5, ("date", "zone")),
     (
         "pall",
-        " UNION ALL ".join(
-            f"SELECT '{c}' AS condition, 'Ridge' AS model, s.zone, s.date, s.demand AS y, s.demand - o.demand AS pred FROM pa{c.lower()}_out o "
-            f"JOIN pr s USING (date, zone) WHERE kind = 0 UNION ALL SELECT '{c}', 'SeasonalNaive', zone, date, demand, demand_lag_7 FROM pr"
-            for c in _PANEL_SETS
-        ),
+        "SELECT condition, 'Ridge' AS model, zone, date, demand AS y, pred FROM ps_pred JOIN pr USING (date, zone) UNION ALL "
+        + " UNION ALL ".join(f"SELECT '{c}', 'SeasonalNaive', zone, date, demand, demand_lag_7 FROM pr WHERE block IS NULL" for c in _PANEL_SETS),
     ),
     ("pzone", f"SELECT condition, model, zone, {_score_sql('val')}, {_score_sql('test')} FROM (SELECT *, {_SPLIT} AS split FROM pall) GROUP BY 1, 2, 3"),
 ]
@@ -800,9 +850,9 @@ def _panel_predictions(held: DataFrame, models: DataFrame, conditions: dict[str,
     ),
 )
 def panel_ablation(spark: SparkSession, d: str) -> DataFrame:
-    """Pooled ridge with zone indicators at a fixed penalty and seasonal naive, all six conditions."""
+    """Pooled ridge with zone indicators, penalty searched over 20 draws x 5 folds, and seasonal naive, all six conditions."""
     rows, conditions = _panel_setup(spark, d)
-    models = linear.fit_ridge(rows, ["g"], conditions, "demand", t.is_train(), FIXED_ALPHA)
+    models = linear.search_ridge(rows, ["g"], conditions, "demand", t.is_train(), SearchSettings(), PANEL_RIDGE_ALPHA)
     pred = _panel_predictions(rows.filter(~t.is_train()), models, conditions)
     return t.rounded(metrics.score_zone_mean(pred, ["condition", "model"], "demand", "pred"))
 

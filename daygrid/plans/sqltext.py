@@ -293,6 +293,77 @@ def ridge(
     ]
 
 
+def ridge_search(
+    prefix: str, source: str, conditions: dict[str, Sequence[str]], y: str, draws: str, folds: int, row: Sequence[str]
+) -> list[tuple[str, str]]:
+    """Searched ridge of pooled rows by the normal equations of every (condition, fold, draw), solved by elimination.
+
+    ``source`` has the ``row`` key, date, y, all columns and ``block`` (null outside train days). Fold
+    ``folds`` stands for the refit on all train rows. The result ``<prefix>_pred`` holds (condition,
+    row, pred) of the rows outside train at the draw with the lowest mean fold error.
+    """
+    xs = list(dict.fromkeys(c for cols in conditions.values() for c in cols))
+    at = {c: i for i, c in enumerate(xs)}
+    sd = {x: f"CASE WHEN stddev_pop({x}) > 0 THEN stddev_pop({x}) ELSE 1.0 END" for x in xs}
+    pairs = [(a, b) for a in xs for b in [*xs[at[a] :], y]]
+    cells = ", ".join(
+        "{" + f"'i': {at[a]}, 'j': {at.get(b, len(xs))}, 'v': covar_pop({a}, {b}) * count(*) / ({sd[a]}{f' * {sd[b]}' if b in sd else ''})" + "}" for a, b in pairs
+    )
+    member = ", ".join(f"('{c}', {at[x]})" for c, cols in conditions.items() for x in cols)
+    keys = "condition, fold, a"
+    out = [
+        (f"{prefix}_f", f"SELECT CAST(range AS INTEGER) AS fold FROM range({folds + 1})"),
+        (f"{prefix}_t", f"SELECT f.fold, s.* FROM {source} s JOIN {prefix}_f f ON s.block <= f.fold"),
+        (f"{prefix}_s", f"SELECT fold, avg({y}) AS m_y, [{', '.join(f'avg({x})' for x in xs)}] AS m, [{', '.join(sd[x] for x in xs)}] AS s FROM {prefix}_t GROUP BY fold"),
+        (f"{prefix}_c", f"SELECT fold, unnest(c) AS c FROM (SELECT fold, [{cells}] AS c FROM {prefix}_t GROUP BY fold)"),
+        (f"{prefix}_g", f"SELECT fold, c.i AS i, c.j AS j, c.v AS v FROM {prefix}_c UNION ALL SELECT fold, c.j, c.i, c.v FROM {prefix}_c WHERE c.i < c.j AND c.j < {len(xs)}"),
+        (f"{prefix}_m", f"SELECT * FROM (VALUES {member}) v(condition, i)"),
+        (
+            f"{prefix}_0",
+            f"""SELECT m.condition, g.fold, d.a, g.i, g.j, g.v + CASE WHEN g.i = g.j THEN d.alpha ELSE 0.0 END AS v FROM {prefix}_g g JOIN {prefix}_m m USING (i)
+            JOIN {draws} d ON true WHERE g.j = {len(xs)} OR EXISTS (SELECT 1 FROM {prefix}_m n WHERE n.condition = m.condition AND n.i = g.j)""",
+        ),
+    ]
+    for k in range(len(xs)):  # what a column explains leaves all others; its own row is divided by its pivot
+        top = f"SELECT {keys}, j, v / max(CASE WHEN j = {k} THEN v END) OVER (PARTITION BY {keys}) AS v FROM {prefix}_{k} WHERE i = {k}"
+        side = f"SELECT {keys}, i, v FROM {prefix}_{k} WHERE j = {k} AND i <> {k}"
+        out.append(
+            (
+                f"{prefix}_{k + 1}",
+                f"""SELECT {keys}, x.i, x.j, CASE WHEN x.i = {k} THEN coalesce(t.v, x.v) ELSE x.v - coalesce(c.v * t.v, 0.0) END AS v FROM {prefix}_{k} x
+                LEFT JOIN ({top}) t USING ({keys}, j) LEFT JOIN ({side}) c USING ({keys}, i) WHERE x.j > {k}""",
+            )
+        )
+    n = len(xs)
+    out += [
+        (f"{prefix}_b", f"SELECT {keys}, list(coalesce(v, 0.0) ORDER BY i) AS b FROM (SELECT {keys}, i, v FROM {prefix}_{n} WHERE j = {n}) RIGHT JOIN (SELECT DISTINCT {keys}, r.range AS i FROM {prefix}_0, range({n}) r) USING ({keys}, i) GROUP BY {keys}"),
+        (
+            f"{prefix}_w",
+            f"""SELECT {keys}, b.b, s.m_y, s.m, s.s FROM {prefix}_b b JOIN {prefix}_s s USING (fold)""",
+        ),
+        (f"{prefix}_z", f"SELECT {', '.join(row)}, block, {y}, [{', '.join(f'CAST({x} AS DOUBLE)' for x in xs)}] AS x FROM {source}"),
+    ]
+    out += [
+        # In raw terms a prediction is an intercept and one inner product.
+        (
+            f"{prefix}_r",
+            f"""SELECT {keys}, list_transform(list_zip(b, s), lambda q: q[1] / q[2]) AS beta,
+            m_y - list_sum(list_transform(list_zip(b, m, s), lambda q: q[1] * q[2] / q[3])) AS level FROM {prefix}_w""",
+        ),
+        (
+            f"{prefix}_e",
+            f"SELECT r.condition, r.fold, r.a, avg(abs({y} - level - list_inner_product(x, beta))) AS mae FROM {prefix}_z z JOIN {prefix}_r r ON z.block = r.fold + 1 GROUP BY 1, 2, 3",
+        ),
+        (f"{prefix}_p", f"SELECT condition, arg_min(a, (cv, a)) AS a FROM (SELECT condition, a, avg(mae) AS cv FROM {prefix}_e GROUP BY 1, 2) GROUP BY 1"),
+        (
+            f"{prefix}_pred",
+            f"""SELECT r.condition, {', '.join('z.' + c for c in row)}, level + list_inner_product(x, beta) AS pred FROM {prefix}_r r JOIN {prefix}_p p USING (condition, a)
+            JOIN {prefix}_z z ON z.block IS NULL WHERE r.fold = {folds}""",
+        ),
+    ]
+    return out
+
+
 ALPHA_ROWS = "SELECT CAST(range AS INTEGER) AS a, pow(10, -2 + 6.0 * range / 29) AS alpha FROM range(30)"
 
 
@@ -309,11 +380,16 @@ def corr_expr(x: str, y: str, where: str = "") -> str:
     )
 
 
-def residual_ctes(source: str, keys: Sequence[str], y: str = "y", exo: Sequence[str] = EXO) -> list[tuple[str, str]]:
-    """From (keys, date, y, exo) to ``res``: keys, date, y, resid, anom_*, calendar columns."""
+def residual_ctes(
+    source: str, keys: Sequence[str], y: str = "y", exo: Sequence[str] = EXO, train: str = f"date <= DATE '{TRAIN_END}'"
+) -> list[tuple[str, str]]:
+    """From (keys, date, y, exo) to ``res``: keys, date, y, resid, anom_*, calendar columns.
+
+    ``train`` may name columns of ``source``, such as each row's own train end.
+    """
     k = ", ".join(keys)
     cal = calendar_select(holiday=False)
-    design = f"SELECT {k}, date, {y}, {', '.join(exo)}, {cal}, 1.0 AS one, date <= DATE '{TRAIN_END}' AS is_train FROM {source}"
+    design = f"SELECT {k}, date, {y}, {', '.join(exo)}, {cal}, 1.0 AS one, {train} AS is_train FROM {source}"
     out = [("design", design)]
     out += orthogonalize("gy", "design", keys, ["one", *BASELINE], [y], ["date"])
     out += orthogonalize("gx", "design", keys, ["one", *HARMONICS], exo, ["date"])

@@ -27,7 +27,7 @@ from daygrid.config import (
 )
 from daygrid.functions.calendar import day_of, calendar_block, calendar_names, date_spine, day_range, harmonic_names
 from daygrid.functions.stats import safe_corr
-from daygrid.operators import bootstrap, counts, events, features, grid, linear, metrics, quality, segments, trees
+from daygrid.operators import bootstrap, counts, events, features, grid, linear, metrics, quality, segments, splits, trees
 from daygrid.session import stable
 from daygrid.sources.readers import require_columns, union_all
 
@@ -102,38 +102,32 @@ def panel_scores(panel: Panel, settings: PanelSettings, search: SearchSettings =
     return metrics.score_zone_mean(ridge.unionByName(naive), ["condition", "model"], "demand", "pred")
 
 
-def panel_tree_scores(panel: Panel, settings: PanelSettings, search: SearchSettings = SearchSettings()) -> DataFrame:
-    """Boosted-tree rows of the ablation table, one per condition, zone-mean scores."""
+def panel_tree_scores(panel: Panel, settings: PanelSettings, search: SearchSettings = SearchSettings(), ledger: str | None = None) -> DataFrame:
+    """Boosted-tree rows of the ablation table, one per condition, zone-mean scores; ``ledger`` lets a lost run go on."""
     period = settings.period
     split = features.split_label(F.col("date"), period)
     names = [f"zone_{z}" for z in panel.zones[1:]]
     indicators = [c.alias(n) for n, c in zip(names, features.zone_indicators(panel.zones))]
-    rows = stable(panel.table.dropna().select("*", *indicators, split.alias("split")), "rows")
+    rows = panel.table.dropna().select("*", *indicators, split.alias("split"))
     train = F.col("date") <= F.lit(period.train_end)
+    searches = [trees.Search(n, (*cols, *names)) for n, cols in panel.conditions.items()]
+    pred = trees.search_trees(rows, searches, [], "demand", train, trees.boosted, trees.boosted_draw, PANEL_BOOSTED, search, ledger, 3)
+    kept = pred.filter(~train).select(F.col("search").alias("condition"), F.lit("Boosted").alias("model"), "zone", "split", "demand", "pred")
+    return metrics.score_zone_mean(kept, ["condition", "model"], "demand", "pred")
 
-    def one(condition: str) -> DataFrame:
-        cols = [*panel.conditions[condition], *names]
-        pred, _ = trees.fit_tree_search(rows, cols, "demand", train, trees.boosted, trees.boosted_draw, PANEL_BOOSTED, search)
-        return pred.filter(~train).select(F.lit(condition).alias("condition"), F.lit("Boosted").alias("model"), "zone", "split", "demand", "pred")
 
-    return metrics.score_zone_mean(union_all(trees.in_parallel(one, list(panel.conditions), 3)), ["condition", "model"], "demand", "pred")
-
-
-def series_tree_scores(study: SeriesStudy, settings: SeriesSettings, search: SearchSettings = SearchSettings()) -> DataFrame:
-    """Random-forest and boosted-tree rows for every target and condition."""
+def series_tree_scores(study: SeriesStudy, settings: SeriesSettings, search: SearchSettings = SearchSettings(), ledger: str | None = None) -> DataFrame:
+    """Random-forest and boosted-tree rows for every target and condition; ``ledger`` lets a lost run go on."""
     train = F.col("date") <= F.lit(settings.period.train_end)
     conditions = features.series_conditions(study.features.columns)
     families = (("RandomForest", trees.forest, trees.forest_draw, SERIES_FOREST), ("Boosted", trees.boosted, trees.boosted_draw, SERIES_BOOSTED))
     targets = [r.target for r in study.features.select("target").distinct().orderBy("target").collect()]
-
-    def one(task: tuple) -> DataFrame:
-        target, condition, (model, build, draw, space) = task
-        rows = study.features.filter(F.col("target") == target)
-        pred, _ = trees.fit_tree_search(rows, conditions[condition], "y", train, build, draw, space, search)
-        tags = {"condition": F.lit(condition), "model": F.lit(model)}
-        return pred.filter(~train).withColumns(tags).select("target", "condition", "model", "split", "y", "pred")
-
-    parts = trees.in_parallel(one, [(y, c, f) for y in targets for c in conditions for f in families], 3)
+    searches = [trees.Search(f"{y}:{c}", tuple(cols), f"target = '{y}'") for y in targets for c, cols in conditions.items()]
+    parts = []
+    for model, build, draw, space in families:
+        pred = trees.search_trees(study.features, searches, ["target"], "y", train, build, draw, space, search, ledger, 3)
+        label = F.element_at(F.split("search", ":"), -1)
+        parts.append(pred.filter(~train).select("target", label.alias("condition"), F.lit(model).alias("model"), "split", "y", "pred"))
     return metrics.score_splits(union_all(parts), ["target", "condition", "model"], "y", "pred")
 
 
@@ -254,6 +248,49 @@ def segment_study(segs: DataFrame, weather: DataFrame, settings: SeriesSettings)
     return SegmentStudy(rows, corr.join(wide, "segment", "left"))
 
 
+@dataclass(frozen=True)
+class ContrastStudy:
+    residuals: DataFrame
+    contrast: DataFrame
+    coefficients: DataFrame
+
+
+def contrast_study(series: DataFrame, weather: DataFrame, bounds: DataFrame, settings: SeriesSettings, named: dict[str, str]) -> ContrastStudy:
+    """One method on several systems, each with the period and split that ``bounds`` gives it.
+
+    ``series`` is (series, date, y) and ``bounds`` (system, series, first_day, last_day, train_end,
+    val_end), so that one series can be studied in several periods. Per system: residual
+    correlations with each anomaly, test R2 without and with them, the largest standardised
+    coefficient of each feature group and those of ``named`` (name to feature).
+    """
+    exo = [c for c in weather.columns if c != "date"]
+    quality.require_one_to_one(weather, ["date"], "weather")
+    rows = splits.within_boundaries(series, bounds, ["series"], ["system"]).join(weather, "date", "left")
+    merged = stable(rows.select("*", *calendar_block(F.col("date"), settings.period.start)), "systems")
+    quality.require_no_nulls(merged, exo)
+    res = _residualized(merged, ["system"], "y", exo, splits.in_train(), settings.harmonics)
+    corr = res.groupBy("system").agg(F.count(F.lit(1)).alias("n_days"), *(safe_corr(F.col("resid"), F.col(f"anom_{v}")).alias(f"corr_{v}") for v in exo))
+    anoms = [f"anom_{v}" for v in exo]
+    cal = calendar_names(settings.harmonics)
+    nested = {"A": cal, "B": [*cal, *anoms]}
+    models = linear.fit_ridge_loo(res, ["system"], nested, "y", splits.in_train())
+    pred = linear.predict(res.filter(splits.in_test()), models, ["system"], nested)
+    r2 = metrics.score(pred, ["system", "condition"], "y", "pred")
+    wide = r2.groupBy("system").agg(*(F.max(F.when(F.col("condition") == c, F.col("r2"))).alias(f"r2{c}_test") for c in nested))
+    wide = wide.withColumn("delta_r2", F.col("r2B_test") - F.col("r2A_test"))
+    lagged = stable(res.select("*", *features.series_lag_columns(settings, "system")).dropna(), "lagged")
+    lags = [*(f"lag_y_{k}" for k in settings.lags), *(f"lag_roll_mean_{k}" for k in settings.rolling)]
+    full = {"D": [*cal, *anoms, *lags]}
+    coefs = linear.standardized_coefficients(linear.fit_ridge_loo(lagged, ["system"], full, "y", splits.in_train()), ["system"], full)
+    return ContrastStudy(res, corr.join(wide, "system", "left"), metrics.coefficient_summary(coefs, ["system"], named))
+
+
+def study_cells(residuals: DataFrame, name: str, variable: str) -> DataFrame:
+    """(cell, date, x, y): anomaly of ``variable`` and residual, one cell for each value of the column ``name``."""
+    cells = residuals.select(F.col(name).cast("string").alias("cell"), "date", F.col(f"anom_{variable}").alias("x"), F.col("resid").alias("y"))
+    return stable(cells, "cells")
+
+
 def two_mode_cells(first: SegmentStudy, second: SegmentStudy, variable: str, modes: tuple[str, str]) -> DataFrame:
     """(mode, segment, cell, date, x, y) of the commute and leisure cells of two modes, written once."""
     parts = []
@@ -275,6 +312,29 @@ def cell_report(cells: DataFrame, seed: int = 42, reps: int = 5000, block: int =
     return ci.join(bootstrap.effective_size(cells, ["cell"], "y").select("cell", "n_eff"), "cell")
 
 
+def paired_report(cells: DataFrame, pairs: Sequence[tuple[str, str, str]], seed: int = 42, reps: int = 5000, block: int = 14) -> DataFrame:
+    """(test, diff, interval) of ``a - b`` for cells of the same days, both taken on the same resampled days."""
+    wanted = cells.sparkSession.createDataFrame([tuple(p) for p in pairs], "test string, a string, b string")
+    first = cells.select(F.col("cell").alias("a"), "date", "x", F.col("y").alias("ya"))
+    second = cells.select(F.col("cell").alias("b"), "date", F.col("y").alias("yb"))
+    both = F.broadcast(wanted).join(first, "a").join(second, ["b", "date"]).select("test", "date", "x", "ya", "yb")
+    return bootstrap.paired_corr_difference(stable(both, "pairs"), ["test"], "x", "ya", "yb", F.lit(seed), reps, block)
+
+
+def difference_report(cells: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Fisher-z tests of ``a - b`` for cells without common days, with effective sample sizes."""
+    w = bootstrap.corr_points(cells, ["cell"], "x", ["y"]).withColumnRenamed("r_y", "w")
+    table = stable(w.join(bootstrap.effective_size(cells, ["cell"], "y").select("cell", "n_eff"), "cell"), "cell_sizes")
+    return bootstrap.compare_cells(table, pairs, "cell", "w", "n_eff")
+
+
+def effect_report(cells: DataFrame, pairs: Sequence[tuple[str, str, str]], seeds: dict[str, int], reps: int = 5000, block: int = 14) -> DataFrame:
+    """Effects ``a - b`` with intervals: replicates of independent cells, each with its own seed, subtracted by index."""
+    seed = F.create_map(*(F.lit(v) for kv in seeds.items() for v in kv))[F.col("cell")]
+    boots = stable(bootstrap.corr_replicates(cells, ["cell"], "x", ["y"], seed, reps, block), "replicates")
+    return bootstrap.replicate_effects(boots, pairs, "cell", "r_y")
+
+
 def effect_pairs(modes: tuple[str, str]) -> list[tuple[str, str, str]]:
     a, b = modes
     return [

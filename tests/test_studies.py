@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from daygrid.config import PanelSettings, Period, SearchSettings, SeriesSettings
+from daygrid.config import PanelSettings, Period, SearchSettings, SeriesSettings, TimeWindows
 from daygrid.functions.calendar import day_of_text
+from daygrid.operators import splits
 from daygrid.operators.events import area_weights
+from daygrid.operators.segments import sum_segments
 from daygrid.plans import studies
 from daygrid.sources import readers
 
@@ -131,6 +133,53 @@ def test_segment_and_two_mode_studies(spark, trips, weather):
     assert report["bike-commute"].ci_lo <= report["bike-commute"].point <= report["bike-commute"].ci_hi
 
 
+def test_contrast_of_systems_with_own_splits(spark, trips, weather):
+    daily = studies.type_series(trips, PERIOD)
+    series = daily.select("date", F.lit("bike").alias("series"), F.col("total").cast("double").alias("y"))
+    early = Period(PERIOD.start, date(2022, 11, 30), date(2022, 8, 31), date(2022, 10, 15))
+    bounds = splits.boundaries(spark, {("whole", "bike"): PERIOD, ("early", "bike"): early}, ["system", "series"])
+    study = studies.contrast_study(series, weather, bounds, SeriesSettings(PERIOD), {"coef_rain": "anom_rain", "coef_lag1": "lag_y_1"})
+    rows = {r.system: r for r in study.contrast.collect()}
+    assert rows["whole"].n_days == 365 and rows["early"].n_days == early.days
+    # The same system studied alone gives the same numbers.
+    alone = studies.series_study(daily.select("date", "total"), weather, SeriesSettings(PERIOD), "rain", ("total",), SEARCH)
+    d = {r.feature: r.std_coef for r in alone.coefficients.collect()}
+    coefs = {r.system: r for r in study.coefficients.collect()}
+    assert coefs["whole"].coef_rain == pytest.approx(d["anom_rain"]) and coefs["whole"].coef_lag1 == pytest.approx(d["lag_y_1"])
+    assert coefs["whole"].max_weather_anom == pytest.approx(max(abs(v) for c, v in d.items() if c.startswith("anom_")))
+    # Studied without the other one, the early system gives the same numbers, and they are not those of the whole.
+    only = splits.boundaries(spark, {("early", "bike"): early}, ["system", "series"])
+    again = studies.contrast_study(series, weather, only, SeriesSettings(PERIOD), {"coef_rain": "anom_rain"}).contrast.first()
+    assert rows["early"].corr_rain == pytest.approx(again.corr_rain) and rows["early"].r2B_test == pytest.approx(again.r2B_test)
+    assert rows["early"].corr_rain != pytest.approx(rows["whole"].corr_rain, abs=1e-3)
+
+
+def test_inference_steps(spark, trips, weather):
+    segs = studies.segment_study(studies.trip_segments(trips, PERIOD), weather, SeriesSettings(PERIOD))
+    cells = studies.study_cells(segs.residuals, "segment", "rain")
+    paired = {r.test: r for r in studies.paired_report(cells, [("route", "rt_round", "rt_point"), ("same", "all", "all")], reps=100).collect()}
+    point = {r.segment: r.corr_rain for r in segs.sensitivity.collect()}
+    held = cells.toPandas()
+    both = held[held.cell == "rt_round"].merge(held[held.cell == "rt_point"], on="date")  # days with trips of both kinds
+    gap = np.corrcoef(both.x_x, both.y_x)[0, 1] - np.corrcoef(both.x_x, both.y_y)[0, 1]
+    assert paired["route"].n == len(both) and paired["route"].diff == pytest.approx(gap)
+    assert paired["same"].diff == 0 and not paired["same"].excludes_0
+    pair = [("time", "time_weMID", "time_wdAM")]
+    test = studies.difference_report(cells, pair).first()
+    assert test.diff == pytest.approx(point["time_weMID"] - point["time_wdAM"]) and 0 <= test.p <= 1
+    effect = studies.effect_report(cells, pair, {"time_weMID": 1, "time_wdAM": 2}, reps=200).first()
+    assert effect.ci_lo < effect.point < effect.ci_hi and effect.reps == 200
+    assert [p[0] for p in studies.effect_pairs(("bike", "rail"))] == ["column bike", "column rail", "row commute", "row leisure"]
+
+
+def test_bad_hour_texts_are_dropped(spark):
+    rows = [("2022-01-03 08:00:00", 2.0), ("not a time", 5.0), (None, 1.0), ("2022-01-08 12:00:00", 3.0)]
+    hourly = spark.createDataFrame(rows, "transit_timestamp string, ridership double")
+    for out in (sum_segments(hourly, "transit_timestamp", "ridership", TimeWindows()), studies.hourly_segments(hourly, PERIOD)):
+        got = {(r.date.isoformat(), r.segment): r.n for r in out.collect()}
+        assert got == {("2022-01-03", "all"): 2, ("2022-01-03", "time_wdAM"): 2, ("2022-01-08", "all"): 3, ("2022-01-08", "time_weMID"): 3}
+
+
 def test_tree_rows(monkeypatch, trips, weather):
     monkeypatch.setattr(studies, "SERIES_FOREST", {"trees": (3, 4), "depth": (2, 3), "leaf": (1, 3)})
     monkeypatch.setattr(studies, "SERIES_BOOSTED", {"trees": (3, 4), "depth": (2, 3), "rate": (0.1, 0.3), "share": (0.6, 1.0)})
