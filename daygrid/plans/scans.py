@@ -26,6 +26,7 @@ from daygrid.sources.readers import (
     trim_names,
     union_all,
     write_parquet,
+    write_result_csv,
 )
 
 
@@ -50,6 +51,32 @@ def csv_scan(spark: SparkSession, d: str) -> DataFrame:
     return count_rows(back, [F.to_date("l_shipdate").alias("date"), F.col("l_linestatus").alias("kind")])
 
 
+@query(
+    "parquet_sink",
+    "SELECT year(l_shipdate) AS year, l_returnflag, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS numbers FROM lineitem GROUP BY 1, 2",
+)
+def parquet_sink(spark: SparkSession, d: str) -> DataFrame:
+    """All lines through the partitioned sink, written twice over itself and read back."""
+    path = scratch(spark, "sink")
+    lines = read_table(spark, d, "lineitem").select(F.year("l_shipdate").alias("year"), "l_returnflag", "l_linenumber")
+    for _ in range(2):
+        write_parquet(lines, path, ["year"])
+    back = spark.read.parquet(path)
+    return back.groupBy("year", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("numbers"))
+
+
+@query(
+    "csv_sink",
+    """SELECT l_suppkey, round_even(avg(l_quantity), 3) AS mean_quantity, count(*) AS n FROM lineitem GROUP BY 1""",
+)
+def csv_sink(spark: SparkSession, d: str) -> DataFrame:
+    """A result table of all lines through the one-file sink with fixed columns and rounded numbers, read back."""
+    path = scratch(spark, "result")
+    table = read_table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("mean_quantity"), F.count(F.lit(1)).alias("n"))
+    write_result_csv(table, path, ["l_suppkey", "mean_quantity", "n"])
+    return read_csv(spark, path, "l_suppkey bigint, mean_quantity double, n bigint")
+
+
 @query(
     "json_columnar_unpack",
     """SELECT CAST(o_orderdate AS DATE) AS date, round(sum(o_totalprice), 2) / count(*) AS exo_mean, max(o_totalprice) AS exo_max,
