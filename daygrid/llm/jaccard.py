@@ -16,8 +16,9 @@ by token.
   that the leader links need no comparison with each other, for the result is
   components. What is left outside gets leaders of its own, round by round while a
   round still closes a tenth of the open lists. For the rest the first leader's answers bound theirs: Jaccard distance is a metric, so two
-  sets whose distances to the leader differ by more than 0.25 cannot link; only the
-  others are compared. No pair between different components is left out otherwise.
+  sets whose distances to the leader differ by more than 0.25 cannot link; of the
+  others only those are compared whose bitmaps (the hash ranges that hold a token) leave
+  room for the needed overlap. No pair between different components is left out otherwise.
 
 Frequent tokens are those whose share of the sets reaches ``HOT_SHARE`` in some
 chunk; any token whose share is that large overall is frequent in one chunk. Being
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daygrid.llm.common import GOLDEN, mix64, parts, small_batches, texts_of
+from daygrid.llm.common import GOLDEN, bucket_of, mix64, parts, small_batches, texts_of, with_row_key
 from daygrid.llm.graph import components
 from daygrid.session import checked_broadcast, stable
 
@@ -54,7 +55,11 @@ ROUNDS = 4
 ROUND_GAIN = 0.1
 BUCKET_ENTRIES = 400_000
 KNOWN_WORDS = 150_000
-PRINT_BYTES = 6
+BITMAP_BITS, LEVEL_TOKENS = 11, 1024
+CELL_SETS = 20_000
+SMALL_CELL = 128
+TASK_SETS = 30_000
+WORDS_AT_ONCE = 1 << 18  # of bitmaps that are compared at once
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ENTRY = np.dtype([("token", "<u8"), ("own", "<u2"), ("pos", "<u2")])
 SET = np.dtype([("key", "<i8"), ("n", "<i4")])
@@ -237,31 +242,96 @@ def pairs_of_bucket(bucket: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def level_of(n: np.ndarray) -> np.ndarray:
+    """Levels of bitmaps: 0 up to ``LEVEL_TOKENS`` tokens, one more for each further factor of four."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / LEVEL_TOKENS) / 2)).astype(np.int64)
+
+
+def bitmap_of(tokens: np.ndarray) -> bytes:
+    """Which hash ranges hold a token, two bits to a token at least.
+
+    A range that holds one of a and none of b holds a token of a that b lacks.
+    """
+    bits = BITMAP_BITS + 2 * int(level_of(np.array(len(tokens))))
+    out = np.zeros(1 << bits, bool)
+    out[(tokens >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def folded(maps: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows of words) one level down: four neighbouring ranges become one."""
+    bits = np.unpackbits(maps.view(np.uint8), axis=1)
+    return np.packbits(bits.reshape(len(maps), -1, 4).any(axis=2), axis=1).view(np.uint64)
+
+
+class Bitmaps:
+    """Bitmaps of some sets, to bound overlaps of pairs by place."""
+
+    def __init__(self, raw: list[bytes], n: np.ndarray):
+        self.n, self.level = n, level_of(n)
+        self.words, self.slot = {}, {}
+        for level in np.unique(self.level).tolist():
+            own, above = np.flatnonzero(self.level == level), np.flatnonzero(self.level == level + 1)
+            parts = [np.frombuffer(b"".join(raw[i] for i in own), np.uint64).reshape(len(own), -1)]
+            if len(above):
+                parts.append(folded(np.frombuffer(b"".join(raw[i] for i in above), np.uint64).reshape(len(above), -1)))
+            self.words[level] = np.concatenate(parts)
+            self.slot[level] = np.full(len(n), -1)
+            self.slot[level][np.concatenate((own, above))] = np.arange(len(own) + len(above))
+
+    def room(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the pairs (i, j) can share as many tokens as they need; true where levels are too far apart to tell."""
+        out = np.ones(len(i), bool)
+        low = np.minimum(self.level[i], self.level[j])
+        for level, words in self.words.items():
+            slot, step = self.slot[level], max(1, WORDS_AT_ONCE // words.shape[1])
+            found = np.flatnonzero((low == level) & (slot[i] >= 0) & (slot[j] >= 0))
+            for start in range(0, len(found), step):
+                at = found[start : start + step]
+                p, q, n, m = words[slot[i[at]]], words[slot[j[at]]], self.n[i[at]], self.n[j[at]]
+                most = np.minimum(n - np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64), m - np.bitwise_count(q & ~p).sum(axis=1, dtype=np.int64))
+                out[at] = most >= needed(n, m)
+        return out
+
+
 def packed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, n, prints) of the classes in ``wanted`` (key, doc), made anew from one document of each."""
+    """(key, n, bitmap, prints) of the classes in ``wanted`` (key, doc), made anew from one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in texts_of(batches, "shingled_text"):
             sets = list({key_of(s): s for s in map(shingles, texts) if len(s)}.values())
-            prints = [np.unique(s << np.uint64(64 - 8 * PRINT_BYTES)).view(np.uint8).reshape(-1, 8)[:, 8 - PRINT_BYTES :].tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary())],
-                names=["key", "n", "prints"],
-            )
+            columns = [
+                pa.array([key_of(s) for s in sets], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([bitmap_of(s) for s in sets], pa.binary()),
+                pa.array([s.tobytes() for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "bitmap", "prints"])
 
     ids = checked_broadcast(stable(wanted.select(F.col("doc").alias("rep")).distinct(), "set_ids"))
     chosen = docs.join(ids, F.col("doc").eqNullSafe(F.col("rep")), "left_semi")
-    made = chosen.mapInArrow(run, "key long, n long, prints binary")
+    made = chosen.mapInArrow(run, "key long, n long, bitmap binary, prints binary")
     return stable(made.join(checked_broadcast(stable(wanted.select("key"), "set_keys")), "key", "left_semi"), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, shared, n_a, n_b): the exact overlap of each pair."""
+def within_bound(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave room for the needed overlap."""
 
-    def widened(raw: bytes) -> np.ndarray:
-        wide = np.zeros((len(raw) // PRINT_BYTES, 8), np.uint8)
-        wide[:, :PRINT_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, PRINT_BYTES)
-        return wide.view("<u8").ravel()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.concatenate([batch.column(k).to_numpy() for k in (2, 3)])
+            maps = Bitmaps([*batch.column(4).to_pylist(), *batch.column(5).to_pylist()], n)
+            fits = maps.room(np.arange(batch.num_rows), np.arange(batch.num_rows) + batch.num_rows)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits)) for c in batch.columns[:2]], names=["a", "b"])
+
+    first = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("x"))
+    second = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("y"))
+    rows = pairs.join(second, "b").join(first, "a").select("a", "b", "n_a", "n_b", "x", "y")
+    return stable(rows.mapInArrow(run, "a long, b long"), "bounded_pairs")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, shared, n_a, n_b): the exact overlap of each pair that the bitmaps leave; only the sets of those travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,12 +339,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 raw = x.as_py()
                 if raw != last:
-                    last, mine = raw, widened(raw)
-                shared.append(len(np.intersect1d(mine, widened(y.as_py()), assume_unique=True)))
+                    last, mine = raw, np.frombuffer(raw, np.uint64)
+                shared.append(len(np.intersect1d(mine, np.frombuffer(y.as_py(), np.uint64), assume_unique=True)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64())], names=["a", "b", "n_a", "n_b", "shared"])
 
-    first = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("prints").alias("x"))
-    second = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("prints").alias("y"))
+    pairs = within_bound(pairs, sets)
+    used = checked_broadcast(stable(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "used_keys"))
+    own = sets.join(used, "key", "left_semi")
+    first = own.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("prints").alias("x"))
+    second = own.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("prints").alias("y"))
     rows = pairs.join(second, "b").join(first, "a").select("a", "b", "n_a", "n_b", "x", "y")
     return stable(rows.mapInArrow(run, "a long, b long, n_a long, n_b long, shared long").distinct(), "overlaps")
 
@@ -303,8 +376,12 @@ def star_pairs(members: DataFrame, candidates: DataFrame) -> DataFrame:
     return pairs.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
 
 
-def residual_pairs(members: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """Pairs of long lists that the leaders' answers neither linked nor ruled out."""
+def residual_pairs(members: DataFrame, overlaps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of long lists that neither the leaders' answers nor the bitmaps linked or ruled out.
+
+    A list of more than ``CELL_SETS`` sets is cut by the hash of the set; every two of
+    its parts meet in a task of their own.
+    """
     known = overlaps.select("a", "b", (1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("gap"))
     known = known.union(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
     best = F.max(F.struct("weight", F.col("key").alias("leader"), F.col("root").alias("leader_root"))).alias("best")
@@ -316,22 +393,52 @@ def residual_pairs(members: DataFrame, overlaps: DataFrame) -> DataFrame:
     room = 1 - NUM / DEN + 1e-9
     least = gaps.filter(outside).groupBy("list").agg(F.min(F.coalesce("gap", F.lit(0.0))).alias("nearest"))
     open_ = gaps.join(least, "list").filter(outside | F.col("gap").isNull() | (F.col("gap") >= F.col("nearest") - room))
-
-    def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("key").sort_values(["n", "key"], kind="stable")
-        keys, n, left, root, gap = (rows[c].to_numpy() for c in ("key", "n", "left", "root", "gap"))
-        ends = np.searchsorted(n, n * DEN // NUM, side="right")  # the block of sizes that can still match
+    open_ = stable(open_.select("list", "key", "n", "left", "root", "gap"), "open_sets")
+    cuts = open_.groupBy("list").agg(F.ceil(F.count("*") / CELL_SETS).cast("int").alias("cuts"))
+    own = F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int")
+    dealt = open_.join(cuts, "list").withColumn("cut", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    dealt = dealt.withColumns({"low": F.least("cut", "other"), "high": F.greatest("cut", "other")})
+    # Many cells meet in a task, each compared on its own; a set's bitmap comes to a task once, however many lists hold it.
+    task = bucket_of(parts(open_.count(), TASK_SETS), "list", "low", "high").alias("task")
+    dealt = stable(dealt.select(task, "list", "low", "high", "cut", "key", "n", "left", "root", "gap"), "cells")
+    wanted = dealt.select(F.col("task").alias("to_task"), F.col("key").alias("of_set")).distinct()
+    bitmaps = wanted.join(sets.select(F.col("key").alias("of_set"), F.col("n").alias("size"), "bitmap"), "of_set")
+
+    def pair(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["list", "low", "high", "key"]).sort_values(["list", "low", "high", "n", "key"], kind="stable")
+        held = held.sort_values("of_set")
+        maps, spot = Bitmaps(held["bitmap"].tolist(), held["size"].to_numpy()), np.searchsorted(held["of_set"].to_numpy(), rows["key"].to_numpy())
+        del held
+        keys, n, left, root, gap, cut = (rows[c].to_numpy() for c in ("key", "n", "left", "root", "gap", "cut"))
+        cell = rows[["list", "low", "high"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]).any(axis=1))))
+        stops, crossed = np.append(starts[1:], len(rows)), cell[:, 1] != cell[:, 2]
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in np.flatnonzero(left >= needed(n, n)):  # partners are as large or larger and need as much
-            block = slice(i + 1, ends[i])
-            far = np.abs(gap[block] - gap[i]) > room  # false where a distance is not known
-            enough = np.minimum(left[block], left[i]) >= needed(n[block], n[i])
-            other = keys[block][(root[block] != root[i]) & enough & ~far]
-            a.append(np.minimum(other, keys[i]))
-            b.append(np.maximum(other, keys[i]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    found = open_.select("list", "key", "n", "left", "root", "gap").groupBy("list").applyInPandas(pair, "a long, b long")
+
+        def compare(i: np.ndarray, j: np.ndarray) -> None:
+            least_shared = needed(n[i], n[j])
+            far = np.abs(gap[i] - gap[j]) > room  # false where a distance is not known
+            meets = (root[i] != root[j]) & (DEN * n[i] >= NUM * n[j]) & (np.minimum(left[i], left[j]) >= least_shared) & ~far
+            meets &= ~crossed[i] | (cut[i] != cut[j])
+            i, j = i[meets], j[meets]
+            fits = maps.room(spot[i], spot[j])
+            x, y = keys[i[fits]], keys[j[fits]]
+            a.append(np.minimum(x, y))
+            b.append(np.maximum(x, y))
+
+        for start, stop in zip(starts, stops, strict=True):
+            if stop - start <= SMALL_CELL:
+                i, j = np.triu_indices(stop - start, 1)
+                compare(i + start, j + start)
+                continue
+            ends = start + np.searchsorted(n[start:stop], n[start:stop] * DEN // NUM, side="right")  # sizes that can still match
+            for i in np.flatnonzero(left[start:stop] >= needed(n[start:stop], n[start:stop])) + start:  # partners need as much
+                j = np.arange(i + 1, ends[i - start])
+                compare(np.full(len(j), i), j)
+        pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    found = dealt.groupBy("task").cogroup(bitmaps.groupBy("to_task")).applyInPandas(pair, "a long, b long")
     return found.distinct().join(overlaps.select("a", "b"), ["a", "b"], "left_anti")
 
 
@@ -383,7 +490,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         overlaps = overlaps.union(verified(fresh, sets))
         members = stable(with_roots(lists, components(linking(overlaps))), "open_members")
-    rest = stable(residual_pairs(members, overlaps), "residual_pairs")
+    rest = stable(residual_pairs(members, overlaps, sets), "residual_pairs")
     roots = components(linking(overlaps.union(verified(rest, sets))))
 
     grouped = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "doc", F.coalesce("root", "key").alias("root"))
@@ -396,17 +503,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, that with the smallest id; rows without id stay."""
-    found = jaccard_components(docs)
-    losers = stable(found.filter("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct(), "near_copies")
-    left = docs.join(checked_broadcast(losers), "doc_id", "left_anti").select(docs.columns)
-    repeated = stable(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    """One document of each group, that with the smallest id; documents without words all stay.
+
+    Decisions go by id and text together: of two texts under one id each keeps its own, a row
+    without id is the last of its group, and of rows equal in both one stays.
+    """
+    keyed, key = with_row_key(docs)
+    found = stable(jaccard_components(keyed, key), "row_components")
+    losers = stable(found.filter(F.col(key) != F.col("component_id")).select(key).distinct(), "near_copies")
+    left = keyed.join(checked_broadcast(losers), key, "left_anti")
+    held = found.filter((F.col(key) == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy(key).count()
+    repeated = stable(held.filter("count > 1").select(key), "repeated")
     if repeated.isEmpty():
-        return left
+        return left.select(docs.columns)
     again = checked_broadcast(repeated)
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).union(
-        left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    )
+    single = left.join(again, key, "left_semi").dropDuplicates([key])
+    return left.join(again, key, "left_anti").select(docs.columns).union(single.select(docs.columns))
 
 
 def components_sql() -> str:
