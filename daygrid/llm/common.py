@@ -49,3 +49,21 @@ def texts_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[p
     """Each batch with its texts; a null text counts as empty."""
     for batch in batches:
         yield batch, ["" if t is None else t for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> F.Column:
+    """What decisions about a row go by: its id, null or not, and the checksum of its text.
+
+    Rows that share an id keep their own decisions; rows equal in both share theirs. Smaller ids
+    come first, no id last.
+    """
+    text = F.md5(F.col(text_col).cast("binary"))
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), text.alias("text_md5"))
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with their row key, under a name that none of their columns has."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, row_key()), name

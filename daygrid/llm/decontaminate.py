@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from daygrid.llm.common import with_row_key
 from daygrid.session import checked_broadcast, stable
 
 SHINGLE = 5
@@ -152,9 +153,10 @@ def contaminated(
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no passage of the benchmark, with their own columns."""
-    held = stable(contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(checked_broadcast(held), "doc_id", "left_anti").select(docs.columns)
+    """The documents that hold no passage of the benchmark, with their own columns; each by its own text, with or without an id."""
+    keyed, key = with_row_key(docs)
+    held = stable(contaminated(keyed, benchmark, id_col=key).select(key).distinct(), "contaminated")
+    return keyed.join(checked_broadcast(held), key, "left_anti").select(docs.columns)
 
 
 def contaminated_sql(at_least: float = SIMILARITY) -> str:
