@@ -7,18 +7,20 @@ merged into the host's template, whose nodes are the slots. Templates are merged
 inside tasks first, then per host over salted, distinct partial templates, so a hot
 host never meets in one task page by page. Then each page is aligned with the
 template and Spark counts, over the host's different pages, those that hold a slot
-and those that hold one line in it. A line that stands on all pages of its slot, two
+and those that hold one line in it. A line that stands on all pages of its slot, three
 at least, is template, any other one content.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 comments are never content. Where a page marks its article (article or main
 element), the text is that element's content; there, a line is template only if it
-also stands on half of the host's pages. Otherwise it is the whole page's content. A
+stands on four pages at least and on nine tenths of the host's, so that headings and
+closing lines that some articles share stay. Otherwise it is the whole page's content. A
 page without any (its host has one page, or copies of one) keeps all its lines.
 
 Defined results: a null html counts as empty and gives an empty text; a null url
 is a host of its own name; broken markup never fails (open elements close at the
-end, stray ends are ignored); repeated rows are extracted each.
+end, stray ends are ignored, an inline advert that is never closed stays); elements
+below depth ``DEEPEST`` are flattened into it; repeated rows are extracted each.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from daygrid.llm.common import small_batches
 from daygrid.session import checked_broadcast, stable
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 # Element names of the HTML standard.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "select", "object"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -56,6 +58,11 @@ NOISE = re.compile(
 MODIFIERS = set("has have no not with without hide hides hidden show shows is open opened closed enabled disabled allowed active on off layout".split())
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 SPACES = re.compile(r"\s+")
+# Deeper elements add their lines to the element at this depth, as browsers flatten them too.
+DEEPEST = 200
+# A line is template from so many different pages on: where no article is marked, and inside a
+# marked one, where it must also stand on this share of the host's pages.
+CONSTANT_PAGES, FIRM_PAGES, FIRM_SHARE = 3, 4, 0.9
 SALTS = 16
 ARROW_LINES = pa.list_(pa.struct([("text", pa.string()), ("slot", pa.int64()), ("line", pa.int64()), ("inside", pa.bool_())]))
 
@@ -76,6 +83,29 @@ def noise_marks(marks: str) -> bool:
     return False
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Attributes of a start tag by name; one without a value has an empty one."""
+    return {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(text)} if text else {}
+
+
+def is_noise(name: str, found: dict[str, str]) -> bool:
+    """Whether an element is never content: by its name, by being hidden, or by its role, class or id."""
+    if name in DROPPED or "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in NOISE_ROLES:
+        return True
+    own = name in ("html", "body", "article", "main") or found.get("role") in ("main", "article")  # never noise by class
+    return not own and noise_marks(f"{found.get('class', '')} {found.get('id', '')}")
+
+
+def end_of(page: str, name: str, at: int) -> int | None:
+    """Where the element ``name`` ends whose start tag ended at ``at``, if it is closed at all."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(name)}(?![A-Za-z0-9:-])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+    return None
+
+
 def parse(page: str) -> Node:
     """Tree of block elements; ``parts`` holds texts and child nodes in page order."""
     root = Node("page")
@@ -84,7 +114,7 @@ def parse(page: str) -> Node:
     def flush() -> None:
         text = SPACES.sub(" ", entities.unescape("".join(held))).strip()
         held.clear()
-        if text:
+        if text and not (len(stack) > DEEPEST and stack[-1].noise):
             stack[-1].parts.append(text)
 
     n = len(page)
@@ -96,7 +126,11 @@ def parse(page: str) -> Node:
         held.append(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
-        if not name or name in INLINE:
+        if not name:
+            continue
+        if name in INLINE:
+            if not m[1] and m[3] and is_noise(name, attributes(m[3])):
+                at = end_of(page, name, at) or at
             continue
         if name in VOID:
             held.append(" ")
@@ -118,17 +152,17 @@ def parse(page: str) -> Node:
                     break
                 if own in BOUNDS:
                     break
-            found = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])} if m[3] else {}
-            marks = f"{found.get('class', '')} {found.get('id', '')}".strip()
-            hidden = found.get("aria-hidden") == "true"
-            own = name in ("html", "body", "article", "main") or found.get("role") in ("main", "article")  # never noise by class
-            noise = name in DROPPED or hidden or found.get("role") in NOISE_ROLES or (not own and noise_marks(marks))
-            if stack[-1].article and name == "header":  # an article's own heading group
-                noise = False
+            found = attributes(m[3])
+            noise = is_noise(name, found)
+            if stack[-1].article and name == "header" and not noise_marks(f"{found.get('class', '')} {found.get('id', '')}"):  # its own heading group
+                noise = "hidden" in found or found.get("aria-hidden") == "true"
             article = name in ("article", "main") or found.get("role") in ("main", "article") or stack[-1].article
             node = Node(f"{name}.{found.get('class', '').split(' ')[0]}", noise or stack[-1].noise, article and name not in ("html", "body"))
-            stack[-1].parts.append(node)
-            stack[-1].children.append(node)
+            if len(stack) < DEEPEST:
+                stack[-1].parts.append(node)
+                stack[-1].children.append(node)
+            else:  # its lines join those of the element at the greatest depth
+                node.parts, node.children = stack[-1].parts, stack[-1].children
             if not m[3].endswith("/"):
                 stack.append(node)
         else:
@@ -251,13 +285,14 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def constant_lines(aligned: DataFrame) -> DataFrame:
-    """(host, constant, firm): lines on all different pages of their slot, and those of them on half of the host's pages."""
+    """(host, constant, firm): lines on all different pages of their slot, and those of them on nearly all of the host's pages."""
     seen = aligned.select("host", "copy", F.explode("lines").alias("x")).select("host", "copy", "x.slot", "x.line").distinct()
     by_line = seen.groupBy("host", "slot", "line").agg(F.count("*").alias("n"))
     by_slot = seen.select("host", "copy", "slot").distinct().groupBy("host", "slot").agg(F.count("*").alias("n"))
     by_host = aligned.select("host", "copy").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
-    same = by_line.filter("n > 1").join(by_slot, ["host", "slot", "n"]).join(by_host, "host")
-    firm = F.collect_set(F.when(2 * F.col("n") >= F.col("n_pages"), F.col("line"))).alias("firm")
+    same = by_line.filter(F.col("n") >= CONSTANT_PAGES).join(by_slot, ["host", "slot", "n"]).join(by_host, "host")
+    nearly_all = (F.col("n") >= FIRM_PAGES) & (F.col("n") >= FIRM_SHARE * F.col("n_pages"))
+    firm = F.collect_set(F.when(nearly_all, F.col("line"))).alias("firm")
     return stable(same.groupBy("host").agg(F.collect_set("line").alias("constant"), firm), "constant_lines")
 
 
