@@ -8,9 +8,9 @@ path (whether a file or address encloses the value) and the neighbouring words.
 
 The forest is trained from labelled findings: a table (before, value, after,
 label), by default made by rule from a fixed seed in the forms that credentials
-and their usual look-alikes have. The dictionary and the letter pairs are counted
-over all documents; of words, those are kept whose share in some task is at least
-``WORD_SHARE``, which bounds them whatever the corpus' size.
+and their usual look-alikes have. The letter pairs are those of all words of all
+documents; the dictionary holds the words whose share of them is at least
+``WORD_SHARE``, which bounds it whatever the corpus' size.
 
 Defined results: null and empty texts have no findings; repeated rows give their
 findings each; of overlapping candidates the earliest, then longest, counts.
@@ -23,7 +23,7 @@ import random
 import re
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrid.llm.common import small_batches, texts_of
+from daygrid.llm.common import small_batches, texts_of, with_row_key
 from daygrid.session import checked_broadcast, stable
 
 WORD_SHARE = 1e-4
+HELD_WORDS = 400_000  # distinct tokens that a task counts before it hands them on
 THRESHOLD = 0.5
 TREES, DEPTH = 24, 7
 NEAR = 40
@@ -60,12 +61,12 @@ FEATURES = (
 class Language:
     """Letter-pair chances and dictionary of a corpus."""
 
-    def __init__(self, words: dict[str, int]):
-        pairs = np.ones((27, 27))
-        for w, n in words.items():
-            c = np.frombuffer(w.encode(), np.uint8) - 96
-            np.add.at(pairs, (np.concatenate(([0], c)), np.concatenate((c, [0]))), n)
-        self.logs = np.log(pairs / pairs.sum(axis=1, keepdims=True))
+    def __init__(self, words: Iterable[str], pairs: dict[int, int]):
+        counts = np.ones(27 * 27)
+        for pair, n in pairs.items():
+            counts[pair] += n
+        counts = counts.reshape(27, 27)
+        self.logs = np.log(counts / counts.sum(axis=1, keepdims=True))
         self.words = frozenset(w for w in words if len(w) >= 3)
         self.longest = max(map(len, self.words), default=0)
 
@@ -135,29 +136,57 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def corpus_words(docs: DataFrame, text_col: str, share: float = WORD_SHARE) -> dict[str, int]:
-    """Lower-case ASCII words of all documents whose share in some task reaches ``share``, with their counts there."""
+def letter_pairs(words: list[str], counts: list[int]) -> np.ndarray:
+    """Occurrences of each pair of letters a-z in the words, 0 standing for a word's ends."""
+    raw = np.frombuffer((" " + " ".join(words) + " ").encode(), np.uint8)
+    codes = np.where(raw == 32, 0, raw.astype(np.int64) - 96)
+    weights = np.repeat(counts, [len(w) + 1 for w in words])
+    out = np.zeros(27 * 27, np.int64)
+    np.add.at(out, codes[:-1] * 27 + codes[1:], weights)
+    return out
+
+
+def language_of(docs: DataFrame, text_col: str, share: float = WORD_SHARE) -> Language:
+    """Letter pairs of all words of all documents, and the words whose share of them reaches ``share``.
+
+    Words are lower-case, of 2 to 20 letters a-z. Tasks count partially and Spark adds up, so
+    that the result does not depend on how the rows lie; at most 1 / ``share`` words and
+    729 pairs come to the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            low: Counter = Counter()
+            for w, n in held.items():
+                w = w.strip(string.punctuation).lower()
+                if 1 < len(w) <= 20 and w.isascii() and w.isalpha():
+                    low[w] += n
+            held.clear()
+            words, counts = list(low), list(low.values())
+            pairs = letter_pairs(words, counts) if words else np.zeros(27 * 27, np.int64)
+            at = np.flatnonzero(pairs)
+            columns = [
+                pa.array([*words, *[None] * len(at)], pa.string()),
+                pa.array([*[None] * len(words), *at.tolist()], pa.int32()),
+                pa.array([*counts, *pairs[at].tolist()], pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["word", "pair", "n"])
+
         for _, texts in texts_of(batches, "counted_text"):
             for t in texts:
                 held.update(t.split())
-            if len(held) > 400_000:  # below a tenth of the share so far, no word can matter
-                least = share / 10 * sum(held.values())
-                held = Counter({w: n for w, n in held.items() if n >= least})
-        low: Counter = Counter()
-        for w, n in held.items():
-            w = w.strip(string.punctuation).lower()
-            if 1 < len(w) <= 20 and w.isascii() and w.isalpha():
-                low[w] += n
-        least = share * sum(low.values())
-        kept = [(w, n) for w, n in low.items() if n >= least]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
-
-    counted = docs.select(F.col(text_col).alias("counted_text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    most = int(5 / share)  # the most frequent ones; ties by the word
-    return {r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()}
+            if len(held) > HELD_WORDS:
+                yield out()
+        yield out()
+
+    counted = docs.select(F.col(text_col).alias("counted_text")).mapInArrow(count, "word string, pair int, n long")
+    counted = stable(counted, "word_counts")
+    pairs = {r["pair"]: r["n"] for r in counted.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    total = sum(n for pair, n in pairs.items() if pair < 27)  # pairs that begin a word
+    words = counted.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= share * total)
+    return Language([r["word"] for r in words.select("word").collect()], pairs)
 
 
 def labelled_findings(rows: int = 3000, seed: int = 29) -> list[tuple[str, str, str, int]]:
@@ -218,7 +247,7 @@ def find_secrets(
 ) -> DataFrame:
     """(id, first, last, value_md5, score): the candidates that the forest keeps."""
     small_batches(docs.sparkSession)
-    language = Language(corpus_words(docs, text_col))
+    language = language_of(docs, text_col)
     model = trained(docs.sparkSession, language, findings or labelled_findings())
     shared = docs.sparkSession.sparkContext.broadcast(language)
 
@@ -251,13 +280,16 @@ def find_secrets(
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with each found secret replaced by ``mark``; ``n_chars`` follows the text."""
-    found = stable(find_secrets(docs), "secrets")
-    name = "spans"
+    """The documents with each found secret replaced by ``mark``; ``n_chars`` follows the text.
+
+    Spans belong to the row by its id and text together, with or without an id.
+    """
+    keyed, key = with_row_key(docs)
+    found = stable(find_secrets(keyed, key), "secrets")
+    name = f"{key}_spans"
     while name in docs.columns:
         name += "_"
-    spans = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias(name))
-    spans = stable(spans, "secret_spans")
+    spans = stable(found.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias(name)), "secret_spans")
     pieces = F.aggregate(
         name,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("done")),
@@ -267,5 +299,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         lambda acc: F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
     )
     plain = F.col(name).isNull()
-    joined = docs.join(checked_broadcast(spans), "doc_id", "left").withColumn("text", F.when(plain, F.col("text")).otherwise(pieces))
+    joined = keyed.join(checked_broadcast(spans), key, "left").withColumn("text", F.when(plain, F.col("text")).otherwise(pieces))
     return joined.withColumn("n_chars", F.when(plain, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
