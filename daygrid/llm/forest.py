@@ -19,7 +19,9 @@ sample; all vectors are indexed.
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part; vectors are compared with those of equal length only;
 ties go to the smaller id; an id that comes twice with the same vector counts
-once. With fewer candidates than asked for, all are returned.
+once, one that comes with several vectors asks with the smallest of them and is found at
+its nearest. A query whose runs give fewer neighbours than asked for ascends again, so
+with fewer candidates than that, all are returned.
 """
 
 from __future__ import annotations
@@ -109,7 +111,8 @@ def nearest(
     )
     n = index.count()
     depth = min(bits, max(0, int(np.ceil(np.log2(max(1, n / BLOCK_ROWS))))))
-    wanted = int(np.ceil(CANDIDATE_SHARE * n))
+    # Besides the share, as many entries as the query's own vector and k near copies of it put into all runs.
+    wanted = int(np.ceil(CANDIDATE_SHARE * n)) + trees * (k + 1)
     block = F.shiftright("code", bits - depth).alias("block") if depth else F.lit(0).cast("long").alias("block")
 
     # Runs of every prefix length: counts per block, rolled up.
@@ -178,13 +181,6 @@ def nearest(
         .agg(longest)
     )
     ascent = stable(ascent.union(deep).groupBy("id").agg(F.max("length").alias("length")), "lengths")
-    chosen = levels.withColumnRenamed("length", "upto").join(ascent, "id").filter(F.col("upto") == F.least("length", F.lit(depth)))
-    visits = (
-        chosen.join(salted.select("dim", "tree", "block", "salts", lengths, prefix).withColumnRenamed("length", "upto"), ["dim", "tree", "upto", "prefix"])
-        .select("id", "dim", "tree", "block", "code", "length", salts)
-        .join(asked.select("id", "vector"), "id")
-    )
-
     def search(_, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or rows.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -195,22 +191,54 @@ def nearest(
         found = []
         for q, v, code, length in zip(queries["id"], queries["vector"], queries["code"], queries["length"], strict=True):
             at = np.flatnonzero((held_codes ^ code) >> (bits - length) == 0) if length > depth else np.arange(len(x))
-            v = np.asarray(v, dtype=np.float64)
-            if len(at) > k + 1:  # the products only leave out what is farther by more than their error
-                rough = (squares + v @ v - 2 * (x @ v))[at]
-                at = at[rough <= np.partition(rough, k)[k] + 1e-9 * (squares.max() + v @ v)]
-            gap = x[at] - v
-            d = np.sqrt((gap * gap).sum(axis=1))
-            for i in np.argsort(d, kind="stable")[: k + 1]:
-                found.extend((q, m, d[i]) for m in members[at[i]] if m != q)
+            v, most, ids = np.asarray(v, dtype=np.float64), k + 1, {}
+            while len(ids) <= k:  # an id with several vectors takes several of the nearest
+                near = at
+                if len(at) > most:  # the products only leave out what is farther by more than their error
+                    rough = (squares + v @ v - 2 * (x @ v))[at]
+                    near = at[rough <= np.partition(rough, most - 1)[most - 1] + 1e-9 * (squares.max() + v @ v)]
+                gap = x[near] - v
+                d = np.sqrt((gap * gap).sum(axis=1))
+                ids = {}
+                for i in np.argsort(d, kind="stable"):
+                    for m in members[near[i]]:
+                        ids.setdefault(m, d[i])
+                    if len(ids) > k and d[i] > max(ids.values()):
+                        break
+                if most >= len(at):
+                    break
+                most *= 2
+            found.extend((q, m, score) for m, score in ids.items() if m != q)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    found = visits.groupBy(keys).cogroup(stored.groupBy(keys)).applyInPandas(search, f"query_id {id_kind}, vec_id {id_kind}, score double")
+    def found_at(lengths: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score) of all that the runs of these lengths hold, for the queries that they name."""
+        chosen = levels.withColumnRenamed("length", "upto").join(lengths, "id").filter(F.col("upto") == F.least("length", F.lit(depth)))
+        cut = salted.select("dim", "tree", "block", "salts", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("upto"))
+        cut = cut.withColumn("prefix", F.expr(f"shiftright(block, {depth} - upto)"))
+        visits = (
+            chosen.join(cut, ["dim", "tree", "upto", "prefix"])
+            .select("id", "dim", "tree", "block", "code", "length", salts)
+            .join(asked.select("id", "vector"), "id")
+        )
+        pairs = visits.groupBy(keys).cogroup(stored.groupBy(keys)).applyInPandas(search, f"query_id {id_kind}, vec_id {id_kind}, score double")
+        return stable(pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "found")
+
+    # Runs may hold the query's own vector and few others: such queries ascend again, at last to all vectors.
+    candidates = own.groupBy(F.size("vector").alias("dim")).agg(F.count_distinct("id").alias("held"))
+    due = asked.join(candidates, "dim").select("id", F.least(F.col("held") - 1, F.lit(k)).alias("due"))
+    found, ask = found_at(ascent), ascent
+    while True:
+        have = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("have"))
+        short = ask.filter("length > 0").join(due, "id").join(have, "id", "left").filter("coalesce(have, 0) < due")
+        short = stable(short.select("id", F.expr("length DIV 2").cast("int").alias("length")), "short_queries")
+        if short.isEmpty():
+            break
+        again = checked_broadcast(short.select(F.col("id").alias("query_id")))
+        found, ask = found.join(again, "query_id", "left_anti").unionByName(found_at(short)), short
     ranked = W.partitionBy("query_id").orderBy("score", "vec_id")
     return (
-        found.groupBy("query_id", "vec_id")
-        .agg(F.min("score").alias("score"))
-        .withColumn("rank", F.row_number().over(ranked))
+        found.withColumn("rank", F.row_number().over(ranked))
         .filter(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int"), "vec_id", "score")
     )
