@@ -230,13 +230,11 @@ def forest_of(rows: pd.DataFrame, radius: int = RADIUS) -> pd.DataFrame:
 def dealt_nodes(classes: DataFrame, radius: int, node_most: int) -> DataFrame:
     """(print, mask, value): the uppermost nodes with the fingerprints below, none of more than ``node_most``
     while bits are left to split it by."""
-    spark = classes.sparkSession
-
     def under(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
         # A mask has radius + 1 finer ones; there are a few hundred masks at most.
-        finer = spark.createDataFrame([(m, f) for m, fs in masks.items() for f in fs], "above long, mask long")
-        dealt = rows.join(F.broadcast(finer), "above").select("print", "mask", F.col("print").bitwiseAND(F.col("mask")).alias("value"))
-        return stable(dealt, "nodes")
+        choices = F.coalesce(*(F.when(F.col("above") == m, F.array(*map(F.lit, fs))) for m, fs in masks.items()))
+        dealt = rows.select("print", F.explode(choices).alias("mask"))
+        return stable(dealt.withColumn("value", F.col("print").bitwiseAND(F.col("mask"))), "nodes")
 
     def finer(mask: int) -> list[int]:
         own = mask & int(ALL)
