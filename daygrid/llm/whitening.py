@@ -171,8 +171,8 @@ def eigen(scatter: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def models(moments: DataFrame, count: int) -> DataFrame:
-    """(dim, n, sums, mean, small, values, shares, components) of each length; ``small`` where deviations stay in longs."""
-    schema = "dim int, n long, sums array<decimal(38,0)>, mean array<double>, small boolean, values array<double>, shares array<double>, components array<array<double>>"
+    """(dim, n, sums, small_sums, mean, small, values, shares, components) of each length; ``small`` where deviations stay in longs."""
+    schema = "dim int, n long, sums array<decimal(38,0)>, small_sums array<long>, mean array<double>, small boolean, values array<double>, shares array<double>, components array<array<double>>"
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         from decimal import Decimal
@@ -183,13 +183,15 @@ def models(moments: DataFrame, count: int) -> DataFrame:
         cov = np.asarray(row["moments"]).reshape(d, d) / n
         values, vectors = eigen((cov + cov.T) / 2, count)
         reach = n * int(row["most"]) + max(map(abs, sums))
+        small = reach * reach * d < 1 << 62
         return pd.DataFrame(
             {
                 "dim": [d],
                 "n": [n],
                 "sums": [[Decimal(s) for s in sums]],
+                "small_sums": [sums if small else []],
                 "mean": [[s / n for s in sums]],
-                "small": [reach * reach * d < 1 << 62],
+                "small": [small],
                 "values": [values.tolist()],
                 "shares": [(values / np.trace(cov)).tolist()],
                 "components": [[v.tolist() for v in vectors]],
@@ -199,14 +201,18 @@ def models(moments: DataFrame, count: int) -> DataFrame:
     return moments.groupBy("dim").applyInPandas(solve, schema)
 
 
-PROJECTED = """transform(components, (v, k) -> aggregate(sequence(0, dim - 1), 0D,
-    (t, i) -> t + (x[i] - mean[i]) * v[i]) / sqrt(values[k]))"""
+PROJECTED = """transform(components, (v, k) -> aggregate(zip_with(gaps, v, (g, c) -> g * c), 0D, (t, p) -> t + p) / sqrt(values[k]))"""
 # Whole numbers throughout; the second form for vectors so long or many that 64 bits could be too few.
-DEVIATION = """CASE WHEN small THEN aggregate(sequence(0, dim - 1), 0L, (t, i) -> t + (n * x[i] - bigint(sums[i])) * (n * x[i] - bigint(sums[i])))
-    ELSE try_cast(aggregate(transform(sequence(0, dim - 1), i -> try_subtract(try_multiply(decimal(n), cast(x[i] AS decimal(19, 0))), sums[i])),
+DEVIATION = """CASE WHEN small THEN aggregate(zip_with(x, small_sums, (c, s) -> n * c - s), 0L, (t, g) -> t + g * g)
+    ELSE try_cast(aggregate(zip_with(x, sums, (c, s) -> try_subtract(try_multiply(decimal(n), cast(c AS decimal(19, 0))), s)),
         cast(0 AS decimal(38, 0)), (t, g) -> try_add(t, cast(try_multiply(g, g) AS decimal(38, 0)))) AS bigint) END"""
 
 
+def with_gaps(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """The rows (x, ...) with the model of their length and ``gaps``, the vector minus the mean."""
+    return rows.withColumn("dim", F.size("x")).join(checked_broadcast(model), "dim").withColumn("gaps", F.expr("zip_with(x, mean, (c, m) -> c - m)"))
+
+
 def whiten(
     vectors: DataFrame, components: int = COMPONENTS, factor: int = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -216,13 +222,10 @@ def whiten(
     kept = usable.select(F.col(id_col).alias("id"), scaled(F.col(vector_col), factor).alias("x"))
     listed = stable(kept.select("x").distinct(), "fit_list")
     model = stable(models(together(co_moments(listed, "x")), components), "whitening_models")
-    by_length = checked_broadcast(model)
-
-    scores = listed.withColumn("dim", F.size("x")).join(by_length, "dim").select("dim", F.expr(PROJECTED).alias("scores"))
+    scores = with_gaps(listed, model).select("dim", F.expr(PROJECTED).alias("scores"))
     errors = identity_errors(scores, components)
     full = stable(model.join(errors, "dim", "left"), "whitening")
-    rows = kept.withColumn("dim", F.size("x")).join(checked_broadcast(full), "dim")
-    rows = rows.select("id", "n", F.expr(DEVIATION).alias("deviation"), "shares", "identity_error", F.posexplode(F.expr(PROJECTED)).alias("at", "whitened"))
+    rows = with_gaps(kept, full).select("id", "n", F.expr(DEVIATION).alias("deviation"), "shares", "identity_error", F.posexplode(F.expr(PROJECTED)).alias("at", "whitened"))
     return rows.select(
         F.col("id").alias(id_col), (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.expr("shares[at]").alias("explained"), "identity_error"
     )
