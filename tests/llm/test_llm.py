@@ -127,6 +127,29 @@ def test_pages_with_repeated_constant_items(spark):
     assert text[20] == text[21] == "One story" and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 15, 40])
+def test_nearest_of_small_tables_are_complete(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 6))
+    if n == 40:
+        x[20:] = x[:20] + 1e-9  # near pairs
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + ([(3, (x[3] + 1).tolist())] if n == 15 else [])
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("dim", F.lit("x"))
+    got = forest.nearest(frame, F.lit(True)).collect()
+    hit = total = 0
+    for q in range(n):
+        mine = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [rank for rank, _ in mine] == list(range(1, min(10, n - 1) + 1)), q
+        if n != 15:
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            d[q] = np.inf
+            best = np.argsort(d, kind="stable")[: min(10, n - 1)].tolist()
+            hit += len({v for _, v in mine} & set(best))
+            total += len(best)
+            assert n != 40 or mine[0][1] == (q + 20) % 40
+    assert hit >= 0.9 * total
+
+
 @pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "post comments-open", "with-header", "page-search-results", "layout-with-sidebar"])
 def test_layout_classes_are_no_noise(name):
     def inside(page):
@@ -139,6 +162,35 @@ def test_layout_classes_are_no_noise(name):
         assert inside(f"<body><div class='{noise}'><p>Dropped</p></div><p>Kept</p></body>") == ["Kept"]
 
 
+def inside(page):
+    return [t for t, *_ in wrappers.lines_of(wrappers.parse(page), ["page", []])]
+
+
+def test_attributes_and_inline_noise():
+    assert inside("<div data-id='share-box'><p>Kept</p></div><p data-role=search>Also</p><p title='x class=menu'>Third</p>") == ["Kept", "Also", "Third"]
+    assert inside("<p>a</p><div hidden><p>b</p></div><div hidden='hidden'>c</div><p HIDDEN>d</p><p class=unhidden>e</p>") == ["a", "e"]
+    assert inside("<p>One <span class='advert'>AD <span>x</span> y</span> two<span class=kept> three</span></p>") == ["One two three"]
+    assert inside("<p>One <span class='advert'>never closed") == ["One never closed"]
+    assert inside("<article><header class=nav><p>n</p></header><header><h1>Head</h1></header><p>Text</p></article>") == ["Head", "Text"]
+
+
+@pytest.mark.parametrize("depth", [900, 5000])
+def test_deep_markup_keeps_its_text(spark, depth):
+    deep = "<div>" * depth + "first<div>second</div>third" + "</div>" * depth
+    noisy = "<div>" * depth + "kept<nav>menu</nav>too" + "</div>" * depth
+    rows = [(i, "http://deep/", f"<body><article><p>Story {i}</p>{body}</article></body>") for i, body in enumerate((deep, noisy, deep))]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "Story 0 first second third", 1: "Story 1 kept too", 2: "Story 2 first second third"}
+
+
+def test_two_pages_with_equal_headings_keep_them(spark):
+    body = "<body><nav>m</nav>{}<h2>Summary</h2><p>Story {}</p><p>The end</p>{}</body>"
+    rows = [(i, "http://two/", body.format("<article>", i, "</article>")) for i in range(2)]
+    rows += [(10 + i, "http://plain/", body.format("<div>", i, "</div>")) for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Summary Story {k % 10} The end" for k in (0, 1, 10, 11)}
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, ITEM), (2, "never seen words in any text at all"), (3, None), (4, ""), (5, "one")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(docs, items).collect()}
@@ -266,8 +318,65 @@ def test_long_secrets_are_whole(spark):
     assert secret_scan.candidates(many) == [(6, len(many))]
 
 
+def test_language_does_not_depend_on_the_partitions(spark, monkeypatch):
+    texts = [prose(i, 300) + " Rare%d, common 'Common' c0mmon ümlaut" % i for i in range(40)] + [None, ""]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    one = secret_scan.language_of(frame.coalesce(1), "text")
+    monkeypatch.setattr(secret_scan, "HELD_WORDS", 50)
+    many = secret_scan.language_of(frame.repartition(16), "text")
+    counted = {}
+    for t in texts:
+        for w in (t or "").split():
+            w = w.strip("'\",.").lower()
+            if 1 < len(w) <= 20 and w.isascii() and w.isalpha():
+                counted[w] = counted.get(w, 0) + 1
+    total = sum(counted.values())
+    assert one.words == many.words == {w for w, n in counted.items() if n >= 1e-4 * total and len(w) >= 3}
+    assert (one.logs == many.logs).all()
+    pairs = np.ones((27, 27))
+    for w, n in counted.items():
+        c = [0, *(ord(x) - 96 for x in w), 0]
+        for a, b in zip(c, c[1:], strict=False):
+            pairs[a, b] += n
+    assert np.allclose(one.logs, np.log(pairs / pairs.sum(axis=1, keepdims=True)))
+
+
+def test_decisions_go_by_id_and_text(spark):
+    secret = "0123456789abcdef0123456789abcdef01234567"
+    rows = [
+        (None, f'Key: token = "{secret}" end'),
+        (3, f'Key: token = "{secret}" end'),
+        (3, "a quiet text of the same id with no secret at all in it, long enough to be cut"),
+        (4, prose(2) + " " + ITEM),
+        (4, prose(3)),
+        (None, prose(4) + " " + ITEM),
+        (5, BASE),
+        (None, BASE),
+        (5, prose(7)),
+        (6, BASE.upper()),
+        (6, BASE.upper()),
+        (7, prose(8)),
+        (7, prose(8)),
+        (8, ""),
+        (8, ""),
+        (None, None),
+    ]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).withColumn("row_key", F.lit(1)).repartition(4)
+    red = [r["text"] for r in secret_scan.redact(frame).collect()]
+    assert len(red) == len(rows) and not any(secret in (t or "") for t in red)
+    assert rows[2][1] in red
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    clean = [r["text"] for r in decontaminate.keep_clean(frame, items).collect()]
+    assert sorted(clean, key=str) == sorted((t for _, t in rows if ITEM not in (t or "")), key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(frame).collect()), key=str)
+    want = [rows[1], *rows[2:6], (5, BASE), (5, prose(7)), (7, prose(8)), (8, ""), (8, ""), (None, None)]
+    assert kept == sorted(want, key=str)
+
+
 def test_forest_removes_lookalikes(spark):
-    language = secret_scan.Language({w: 5 for w in prose(1).split()})
+    words = [w for w in dict.fromkeys(prose(1).split()) if len(w) > 1]
+    pairs = secret_scan.letter_pairs(words, [5] * len(words))
+    language = secret_scan.Language(words, dict(enumerate(pairs.tolist())))
     model = secret_scan.trained(spark, language, secret_scan.labelled_findings(2000))
     fresh = secret_scan.labelled_findings(400, seed=77)
     rows = [(secret_scan.features(b, v, a, language), y) for b, v, a, y in fresh]
