@@ -3,9 +3,10 @@
 Texts are split at safe boundaries: white space, and the place between a letter
 or digit and a run of punctuation that ends a word. No token of the vocabulary
 spans either, so the counts of the pieces add up to the count of the whole text.
-The pieces that a batch needs and that are not known yet are encoded together,
-in calls of about equal bytes; only lengths are kept. Rows come in small Arrow
-batches, balanced by bytes, so that one long text never meets many others.
+Texts are taken in groups of at most ``GROUP_BYTES`` (a longer text is a group of its
+own). The pieces that a group needs and that are not known yet are encoded together,
+in calls of equal bytes; only lengths are kept, and of pieces up to ``KNOWN_BYTES``
+remembered. A run without white space is one piece, whatever its length.
 
 Defined results: a null text counts as empty and has no token; special strings
 inside a text become one token as the library does by default (a text that holds
@@ -14,6 +15,7 @@ one is encoded whole, between white space); repeated rows are counted each.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 from collections.abc import Iterator
@@ -28,6 +30,8 @@ from pyspark.sql import types as T
 from daygrid.llm.common import small_batches, texts_of
 
 CALL_BYTES = 1 << 18
+GROUP_BYTES = 1 << 22
+KNOWN_BYTES = 64
 KNOWN_PIECES = 600_000
 LIMIT = 2048
 
@@ -43,19 +47,26 @@ def safe_pieces(text: str, special: tuple[str, ...]) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").split(" ")
 
 
-def byte_balanced(pieces: list[str], most: int = CALL_BYTES) -> Iterator[list[str]]:
-    """Calls of about ``most`` characters each; a longer piece is a call of its own."""
+def byte_groups(texts: list[str], most: int) -> Iterator[list[str]]:
+    """Consecutive texts of at most ``most`` bytes together; a longer one is a group of its own."""
     held, size = [], 0
-    for p in pieces:
-        if held and size + len(p) > most:
+    for t in texts:
+        n = len(t.encode("utf-8", "surrogatepass"))
+        if held and size + n > most:
             yield held
             held, size = [], 0
-        held.append(p)
-        size += len(p)
+        held.append(t)
+        size += n
     if held:
         yield held
 
 
+def byte_balanced(pieces: list[str], most: int = CALL_BYTES) -> Iterator[list[str]]:
+    """The pieces in as few calls of at most ``most`` bytes as they need, filled about equally."""
+    total = sum(len(p.encode("utf-8", "surrogatepass")) for p in pieces)
+    yield from byte_groups(pieces, math.ceil(total / max(1, math.ceil(total / most))) if total else most)
+
+
 def _tokenizer(path: str):
     if path not in _STATE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,17 +91,17 @@ def lengths(texts: list[str], path: str) -> list[int]:
     encode, special, known = _tokenizer(path)
     if known is None:  # white space is part of the pieces there, so texts stay whole
         return list(chain.from_iterable(map(encode, byte_balanced(texts))))
-    if len(known) > KNOWN_PIECES:
-        known.clear()
     out = []
-    for text in texts:
-        pieces = safe_pieces(text, special)
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        for call in byte_balanced(new):
-            known.update(zip(call, encode(call), strict=True))
-        out.append(sum(map(known.__getitem__, pieces)))
-        if len(known) > 2 * KNOWN_PIECES:
+    for group in byte_groups(texts, GROUP_BYTES):
+        if len(known) > KNOWN_PIECES:
             known.clear()
+        cut = [safe_pieces(t, special) for t in group]
+        new = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in known]
+        long: dict[str, int] = {}
+        for call in byte_balanced(new):
+            for p, n in zip(call, encode(call), strict=True):
+                (known if len(p) <= KNOWN_BYTES else long)[p] = n
+        out += [sum(known[p] if p in known else long[p] for p in pieces) for pieces in cut]
     return out
 
 
