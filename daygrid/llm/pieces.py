@@ -1,16 +1,17 @@
-"""SentencePiece encoding and decoding over a relational lattice.
+"""SentencePiece encoding and decoding over a lattice of pieces.
 
 Texts are cut into words where no piece can reach across: before a run of the
 space mark, at line ends, and before punctuation that no piece of the vocabulary
-joins to what stands before it. Every distinct word is encoded once per group of
-chunks: its substrings of bounded length are exploded and equi-joined to the piece
-table, the matching edges are grouped by word, and a fold with Spark's
-higher-order ``aggregate`` picks the path: Viterbi for unigram models, the best
-merge first for BPE models, whose pieces Viterbi would not reproduce. Characters
-without a piece become byte pieces.
-
-A chunk is a stretch of one input partition. Documents travel once, as compressed
-word numbers of their chunk; the encoded words come back to the chunk packed, and
+joins to what stands before it. The distinct words of many chunks are dealt by hash
+and grouped, so that each is encoded once per group of chunks. Words of like length
+are taken together: a walk through the trie of the pieces finds all edges (word,
+place, length) of their lattice, and a fold over all of them at once picks the
+paths: Viterbi for unigram models, the best merge first for BPE models, whose
+pieces Viterbi would not reproduce. Characters without a piece become byte pieces.
+
+A chunk is a stretch of one input partition, bounded in characters and in distinct
+words. Documents travel once, as compressed word numbers of their chunk; words
+travel packed by chunk and bucket, and their ids come back packed alike, so that
 documents and words of a chunk meet in one bounded group. Both passes over the
 input number words alike; a word that is missing raises.
 
@@ -29,19 +30,149 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daygrid.llm.common import small_batches, texts_of
 
 MARK = "▁"
 CHUNK_CHARS = 20_000_000
-CHUNKS_IN_GROUP = 512
+CHUNK_WORDS = 250_000
+# Words meet over a group of at most 32 partitions x 16 chunks, dealt to this many buckets.
+PARTITIONS_IN_GROUP, CHUNKS_IN_GROUP, BUCKETS = 32, 16, 256
 LONG_WORD = 48
-WORDS_IN_PARTITION = 60_000
+CELLS_AT_ONCE = 60_000  # characters of a lattice
 _LOADED: dict[str, Vocabulary] = {}
 
 
+class Lattice:
+    """The trie of the pieces in arrays, to find and fold the edges of many words at once."""
+
+    def __init__(self, pieces: list[tuple[str, int, float]], longest: int, first_byte: int, unknown: int):
+        self.longest, self.first_byte, self.unknown = longest, first_byte, unknown
+        ranked = sorted(pieces, key=lambda p: (p[2], p[1]))
+        self.ids = np.array([i for _, i, _ in ranked], np.int32)
+        self.scores = np.array([score for _, _, score in ranked])
+        node_of, rank_of = {}, {}
+        for rank, (piece, _, _) in enumerate(ranked):
+            node = 0
+            for c in piece:
+                node = node_of.setdefault(node << 21 | ord(c), len(node_of) + 1)
+            rank_of[node] = rank
+        keys = np.fromiter(node_of.keys(), np.int64, len(node_of))
+        order = np.argsort(keys)
+        self.keys, self.nodes = keys[order], (order + 1).astype(np.int64)
+        self.ranks = np.full(len(keys) + 1, -1, np.int32)
+        self.ranks[list(rank_of)] = list(rank_of.values())
+
+    def edges(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Rank of the piece of each (word, place, length), -1 where there is none."""
+        width = codes.shape[1]
+        out = np.full((codes.size, self.longest + 1), -1, np.int32)
+        left = np.maximum(n[:, None] - np.arange(width), 0).ravel()
+        start = np.flatnonzero(left)
+        left, node, codes = left[start], np.zeros(len(start), np.int64), codes.ravel()
+        for length in range(1, self.longest + 1):
+            key = node << 21 | codes[start + length - 1]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[at] == key
+            start, left, node = start[on], left[on], self.nodes[at[on]]
+            out[start, length] = self.ranks[node]
+            on = left > length
+            start, left, node = start[on], left[on], node[on]
+        return out.reshape(len(n), width, self.longest + 1)
+
+    def merged(self, edges: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Length of the piece that starts at each place, 0 inside: the adjacent pair of the best score merges first, the leftmost of equals."""
+        width = edges.shape[1]
+        size = (np.arange(width) < n[:, None]).astype(np.int64)
+        before = np.tile(np.arange(width) - 1, (len(n), 1))
+        joined = edges[:, :, 2].copy() if self.longest > 1 else np.full(size.shape, -1)
+        rows = np.arange(len(n))
+
+        def rate(r: np.ndarray, p: np.ndarray) -> None:
+            q = p + size[r, p]
+            both = size[r, p] + np.where(q < n[r], size[r, np.minimum(q, width - 1)], self.longest)
+            joined[r, p] = np.where(both <= self.longest, edges[r, p, np.minimum(both, self.longest)], -1)
+
+        while len(rows):
+            p = joined[rows].argmax(axis=1)
+            more = joined[rows, p] >= 0
+            rows, p = rows[more], p[more]
+            q = p + size[rows, p]
+            size[rows, p] += size[rows, q]
+            size[rows, q], joined[rows, q] = 0, -1
+            after = p + size[rows, p]
+            inner = after < n[rows]
+            before[rows[inner], after[inner]] = p[inner]
+            rate(rows, p)
+            inner = before[rows, p] >= 0
+            rate(rows[inner], before[rows, p][inner])
+        return size
+
+    def best(self, edges: np.ndarray, n: np.ndarray, unknown_score: float = -1e6) -> np.ndarray:
+        """Like ``merged``, by the best path (Viterbi); of equal paths that with the shortest last piece."""
+        width = edges.shape[1]
+        score, last = np.zeros((len(n), width + 1)), np.zeros((len(n), width + 1), np.int64)
+        for end in range(1, width + 1):
+            score[:, end] = -np.inf
+            for length in range(min(self.longest, end), 0, -1):
+                rank = edges[:, end - length, length]
+                path = score[:, end - length] + np.where(rank >= 0, self.scores[rank], unknown_score if length == 1 else -1e18)
+                better = path >= score[:, end]
+                score[better, end], last[better, end] = path[better], length
+        size = np.zeros((len(n), width), np.int64)
+        rows, end = np.flatnonzero(n), n[n > 0]
+        while len(rows):
+            length = last[rows, end]
+            end = end - length
+            size[rows, end] = length
+            rows, end = rows[end > 0], end[end > 0]
+        return size
+
+    def encode(self, words: list[str], fold: str = "bpe") -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and the ids of all."""
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        order, lengths, ids, i = np.argsort(n, kind="stable"), [np.empty(0, np.int64)], [np.empty(0, np.int32)], 0
+        while i < len(words):
+            part = order[i : i + max(1, CELLS_AT_ONCE // max(1, int(n[order[i]])))]
+            part = part[: max(1, int(np.searchsorted(n[part], 2 * max(1, int(n[part[0]])), side="right")))]
+            i += len(part)
+            codes = np.zeros((len(part), max(1, int(n[part[-1]]))), np.int64)
+            codes[np.arange(codes.shape[1]) < n[part, None]] = np.frombuffer("".join([words[k] for k in part]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            edges = self.edges(codes, n[part])
+            size = self.merged(edges, n[part]) if fold == "bpe" else self.best(edges, n[part])
+            row, p = np.nonzero(size)
+            rank = edges[row, p, size[row, p]]
+            own = np.where(rank >= 0, self.ids[rank], self.unknown).astype(np.int32)
+            if self.first_byte >= 0 and (rank < 0).any():
+                raw = [chr(c).encode("utf-8", "surrogatepass") for c in codes[row, p][rank < 0]]
+                times = np.ones(len(row), np.int64)
+                times[rank < 0] = [len(x) for x in raw]
+                own, row, rank = np.repeat(own, times), np.repeat(row, times), np.repeat(rank, times)
+                own[rank < 0] = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32) + self.first_byte
+            lengths.append(np.bincount(row, minlength=len(part)))
+            ids.append(own)
+        lengths, ids = np.concatenate(lengths), np.concatenate(ids)
+        back = np.argsort(order)
+        return lengths[back], ids[slices((np.cumsum(lengths) - lengths)[back], lengths[back])]
+
+
+def slices(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each slice, one after the other."""
+    ends = np.cumsum(length)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - length, length) + np.repeat(first, length)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, compressed byte by byte of their places."""
+    return zlib.compress(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 class Vocabulary:
     """Pieces of a model file and the rules for cutting texts that follow from them."""
 
@@ -61,6 +192,7 @@ class Vocabulary:
             for i in range(n)
         ]
         self.word = self._word_pattern()
+        self.lattice = Lattice(self.pieces, self.longest, self.first_byte, self.unknown)
 
     def _word_pattern(self) -> re.Pattern:
         """Words; ``tails`` are signs that no piece joins to a sign that is no tail, but for the space mark."""
@@ -120,39 +252,43 @@ class Chunks:
         return chain.from_iterable(map(seen.__getitem__, stretches))
 
     def full(self) -> bool:
-        return self.chars > CHUNK_CHARS
+        return self.chars > CHUNK_CHARS or len(self.numbers) > CHUNK_WORDS
 
     def next(self) -> None:
         self.count, self.chars, self.numbers, self.between_spaces = self.count + 1, 0, {}, {}
 
 
 def chunk_words(docs: DataFrame, path: str) -> DataFrame:
-    """(word, chunk, number, given): the distinct words of each chunk; ids only of words that are too long for the lattice."""
+    """(chunk, bucket, numbers, lengths, letters): the distinct words of each chunk by bucket, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(path)
-        chunks = Chunks(known)
+        chunks = Chunks(vocabulary(path))
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
             words = list(chunks.numbers)
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                numbers = np.arange(i, i + len(part), dtype=np.int32)
-                given = [encode_long(known.model, w) if len(w) > LONG_WORD else None for w in part]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.string()), pa.array(np.full(len(part), chunks.chunk)), pa.array(numbers), pa.array(given, pa.list_(pa.int32()))],
-                    names=["word", "chunk", "number", "given"],
-                )
+            bucket = np.fromiter([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words], np.int64, len(words))
+            order = np.argsort(bucket, kind="stable")
+            stops = np.flatnonzero(np.diff(bucket[order])) + 1
+            parts = [p for p in np.split(order, stops) if len(p)]
+            mine = [[words[i] for i in p] for p in parts]
+            columns = [
+                pa.array(np.full(len(parts), chunks.chunk)),
+                pa.array([int(bucket[p[0]]) for p in parts], pa.int64()),
+                pa.array([packed(np.diff(p, prepend=0)) for p in parts], pa.binary()),
+                pa.array([packed(np.fromiter(map(len, w), np.int32, len(w))) for w in mine], pa.binary()),
+                pa.array([zlib.compress("".join(w).encode("utf-8", "surrogatepass"), 1) for w in mine], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "numbers", "lengths", "letters"])
 
         for _, texts in texts_of(batches, "cut_text"):
             for t in texts:
                 chunks.add(t)
                 if chunks.full():
-                    yield from out()
+                    yield out()
                     chunks.next()
-        yield from out()
+        yield out()
 
-    return docs.select("cut_text").mapInArrow(run, "word string, chunk long, number int, given array<int>")
+    return docs.select("cut_text").mapInArrow(run, "chunk long, bucket long, numbers binary, lengths binary, letters binary")
 
 
 def chunk_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -161,16 +297,16 @@ def chunk_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = Chunks(vocabulary(path))
         for batch, texts in texts_of(batches, "cut_text"):
-            names, checks, packed = [], [], []
+            names, checks, lists = [], [], []
             for t in texts:
                 numbers = np.fromiter(chunks.add(t), np.int32)
                 names.append(chunks.chunk)
                 checks.append(zlib.crc32(t.encode("utf-8", "surrogatepass")))
-                packed.append(zlib.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
+                lists.append(packed(numbers))
                 if chunks.full():
                     chunks.next()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), batch.column(0), pa.array(checks, pa.int64()), pa.array(packed, pa.binary())],
+                [pa.array(names, pa.int64()), batch.column(0), pa.array(checks, pa.int64()), pa.array(lists, pa.binary())],
                 names=["chunk", "doc", "check", "words"],
             )
 
@@ -178,139 +314,77 @@ def chunk_documents(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc", "cut_text").mapInArrow(run, f"chunk long, doc {kind}, check long, words binary")
 
 
-def bytes_or_unknown(known: Vocabulary) -> str:
-    """SQL for the ids of a character without a piece, from ``word`` and position ``c``."""
-    if known.first_byte < 0:
-        return f"array({known.unknown})"
-    raw = "hex(encode(substring(word, c, 1), 'UTF-8'))"
-    return f"transform(sequence(1, length({raw}) DIV 2), b -> int(conv(substring({raw}, 2 * b - 1, 2), 16, 10)) + {known.first_byte})"
-
-
-def merge_fold() -> str:
-    """SQL fold over cut positions: the adjacent pair of the best score merges first, the leftmost of equals."""
-    score = "coalesce(try_element_at(edges, element_at(cuts, j) * 64 + element_at(cuts, j + 2) - element_at(cuts, j)), -1L)"
-    best = f"transform(sequence(1, size(cuts) - 2), j -> {score})"
-    return f"""aggregate(sequence(1, n), sequence(1, n + 1), (cuts, k) -> IF(size(cuts) < 3, cuts, element_at(transform(array({best}),
-        s -> IF(array_max(s) < 0, cuts, filter(cuts, (c, x) -> x <> array_position(s, array_max(s))))), 1)))"""
-
-
-def viterbi_fold(unknown_score: float = -1e6) -> str:
-    """SQL fold over end positions: the best path to each, then its cut positions."""
-    step = """aggregate(sequence(1, n), array(named_struct('score', 0D, 'from', 0)), (best, e) -> concat(best, array(array_max(transform(
-        sequence(greatest(1, e - {longest} + 1), e), c -> named_struct(
-            'score', element_at(best, c).score + coalesce(element_at(scores, int(shiftright(try_element_at(edges, c * 64 + e + 1 - c), 20)) + 1), IF(c = e, {unknown}D, -1e18D)), 'from', c))))))"""
-    back = """aggregate(sequence(1, n), array(n + 1), (cuts, k) -> IF(element_at(cuts, 1) = 1, cuts,
-        concat(array(element_at(best, element_at(cuts, 1)).from), cuts)))"""
-    return f"element_at(transform(array({step}), best -> {back}), 1)".replace("{unknown}", repr(unknown_score))
-
-
 def encoded_words(words: DataFrame, known: Vocabulary, spark: SparkSession, fold: str = "bpe", keys: tuple[str, ...] = ("word",)) -> DataFrame:
-    """``keys``, ids and any other columns of distinct words, by the lattice; rows must be dealt by ``keys``."""
+    """``keys``, any other columns, and ids of the rows of ``words``, by the lattice."""
+    small_batches(spark)
+    parts = (known.pieces, known.longest, known.first_byte, known.unknown)
     rest = [c for c in words.columns if c not in keys]
-    levels = sorted({score for _, _, score in known.pieces})
-    rank = {score: r for r, score in enumerate(levels)}
-    rows = [(p, rank[score] << 20 | i) for p, i, score in known.pieces]
-    table = spark.createDataFrame(rows, "piece string, value long")  # a vocabulary's size, fixed by the model
-    spans = (
-        words.withColumn("n", F.least(F.length("word"), F.lit(LONG_WORD)))
-        .select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-        .select("*", F.explode(F.expr(f"sequence(1, least({known.longest}, n - i + 1))")).alias("l"))
-        .select("*", F.expr("substring(word, i, l)").alias("piece"))
-    )
-    # An edge is one number: place and length, rank of the score, id.
-    edge = F.shiftleft((F.col("i") * 64 + F.col("l")).cast("long"), 40).bitwiseOR(F.col("value"))
-    lattice = (
-        spans.join(F.broadcast(table), "piece", "left")
-        .filter("value IS NOT NULL OR l = 1")
-        .groupBy(*keys)
-        .agg(F.collect_list(edge).alias("found"), *[F.first(c).alias(c) for c in rest])
-        .withColumn("edges", F.expr(f"map_from_entries(transform(found, e -> struct(int(shiftright(e, 40)), e & {(1 << 40) - 1}L)))"))
-        .withColumn("n", F.least(F.length("word"), F.lit(LONG_WORD)))
-    )
-    cuts = merge_fold() if fold == "bpe" else viterbi_fold().replace("{longest}", str(known.longest))
-    if fold != "bpe":
-        lattice = lattice.withColumn("scores", F.array(*map(F.lit, levels)))
-    found = "try_element_at(edges, c * 64 + element_at(cuts, j + 2) - c)"
-    ids = f"""flatten(transform(slice(cuts, 1, size(cuts) - 1), (c, j) ->
-        IF({found} IS NULL, {bytes_or_unknown(known)}, array(int({found} & {(1 << 20) - 1}L)))))"""
-    return lattice.withColumn("cuts", F.expr(cuts)).select(*keys, *rest, F.expr(ids).alias("ids"))
-
-
-def packed_by_chunk(encoded: DataFrame) -> DataFrame:
-    """(chunk, payload): the encoded words of each chunk within a task, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            names, payloads = [], []
-            for chunk, rows in held.items():
-                numbers, lengths, ids = (np.concatenate(c) for c in zip(*rows, strict=True))
-                order = np.argsort(numbers, kind="stable")
-                starts = np.cumsum(lengths) - lengths
-                ids = np.concatenate([np.empty(0, np.int32), *[ids[starts[i] : starts[i] + lengths[i]] for i in order]])
-                raw = np.diff(numbers[order], prepend=0).astype(np.int32).tobytes() + lengths[order].astype(np.int32).tobytes() + ids.astype(np.int32).tobytes()
-                names.append(chunk)
-                payloads.append(len(numbers).to_bytes(4, "little") + zlib.compress(raw, 1))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(payloads, pa.binary())], names=["chunk", "payload"])
-
+        lattice = Lattice(*parts)
         for batch in batches:
-            chunks, numbers = (batch.column(k).to_numpy() for k in (0, 1))
-            lists = batch.column(2)
-            lengths, ids = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
-            starts = np.cumsum(lengths) - lengths
-            order = np.argsort(chunks, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(chunks[order])) + 1):
-                if len(part):
-                    mine = np.concatenate([np.empty(0, np.int32), *[ids[starts[i] : starts[i] + lengths[i]] for i in part]])
-                    held.setdefault(int(chunks[part[0]]), []).append((numbers[part], lengths[part], mine))
-            size += len(ids)
-            if size > 8_000_000:
-                yield out()
-                size = 0
-        yield out()
-
-    return encoded.select("chunk", "number", "ids").mapInArrow(run, "chunk long, payload binary")
+            lengths, ids = lattice.encode(batch.column(batch.schema.get_field_index("word")).to_pylist(), fold)
+            offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "ids"])
+
+    kinds = ", ".join(f"`{c}` {words.schema[c].dataType.simpleString()}" for c in [*keys, *rest])
+    return words.select(*keys, *rest).mapInArrow(run, f"{kinds}, ids array<int>")
+
+
+def encoded_bucket(rows: pa.Table, path: str, fold: str) -> pa.Table:
+    """(chunk, numbers, lengths, ids) of the words of one bucket of a group of chunks, packed; each distinct word is encoded once."""
+    known, words, counts = vocabulary(path), [], []
+    for lengths, letters in zip(rows.column("lengths").to_pylist(), rows.column("letters").to_pylist(), strict=True):
+        stops, text = np.cumsum(unpacked(lengths)).tolist(), zlib.decompress(letters).decode("utf-8", "surrogatepass")
+        words += [text[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        counts.append(len(stops))
+    numbers = {}
+    own = np.fromiter([numbers.setdefault(w, len(numbers)) for w in words], np.int64, len(words))
+    words = list(numbers)
+    lengths, ids = known.lattice.encode([w if len(w) <= LONG_WORD else "" for w in words], fold)
+    long = [(k, encode_long(known.model, w)) for k, w in enumerate(words) if len(w) > LONG_WORD]
+    first = np.cumsum(lengths) - lengths
+    if long:
+        at, given = zip(*long, strict=True)
+        added = np.array([len(x) for x in given])
+        first[list(at)], lengths[list(at)] = len(ids) + np.cumsum(added) - added, added
+        ids = np.concatenate((ids, np.concatenate(given).astype(np.int32)))
+    lists, sizes = [], []
+    for mine in np.split(own, np.cumsum(counts)[:-1]):
+        sizes.append(packed(lengths[mine]))
+        lists.append(packed(ids[slices(first[mine], lengths[mine])]))
+    return pa.table({"chunk": rows.column("chunk"), "numbers": rows.column("numbers"), "lengths": pa.array(sizes, pa.binary()), "ids": pa.array(lists, pa.binary())})
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", fold: str = "bpe") -> DataFrame:
     """(id, n_pieces, ids, round_trip) of every row; ``path`` is the model file on driver and workers."""
     spark = docs.sparkSession
     small_batches(spark)
-    # A word's edges come together, so grouping them by hash holds one partition's words.
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(WORDS_IN_PARTITION))
-    known = vocabulary(path)
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("cut_text"))
-    words = chunk_words(own, path).withColumn("part", F.expr(f"chunk DIV {CHUNKS_IN_GROUP << 20}"))
-    uses = words.groupBy("word", "part").agg(F.collect_list(F.struct("chunk", "number")).alias("uses"), F.first("given").alias("given"))
-    encoded = encoded_words(uses, known, spark, fold, ("word", "part")).select(F.explode("uses").alias("u"), F.coalesce("given", "ids").alias("ids"))
-    encoded = encoded.select("u.chunk", "u.number", "ids")
+    # A chunk's name is its partition and, in 20 bits, its count there.
+    group = F.expr(f"shiftright(chunk, 20) DIV {PARTITIONS_IN_GROUP}"), F.expr(f"(chunk & {(1 << 20) - 1}L) DIV {CHUNKS_IN_GROUP}")
+    words = chunk_words(own, path).groupBy(group[0].alias("part"), group[1].alias("stretch"), "bucket")
+    encoded = words.applyInArrow(lambda rows: encoded_bucket(rows, path, fold), "chunk long, numbers binary, lengths binary, ids binary")
     id_kind = docs.schema[id_col].dataType.simpleString()
 
     def join(words: pa.Table, rows: pa.Table) -> pa.Table:
         known = vocabulary(path)
         spot, length, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-        for p in words.column("payload").to_pylist():
-            n, raw = int.from_bytes(p[:4], "little"), np.frombuffer(zlib.decompress(p[4:]), np.int32)
-            spot.append(np.cumsum(raw[:n]))
-            length.append(raw[n : 2 * n])
-            ids.append(raw[2 * n :])
+        for numbers, lengths, part in zip(*(words.column(c).to_pylist() for c in ("numbers", "lengths", "ids")), strict=True):
+            spot.append(np.cumsum(unpacked(numbers)))
+            length.append(unpacked(lengths))
+            ids.append(unpacked(part))
         spot, length, ids = (np.concatenate(x) for x in (spot, length, ids))
         first = np.full(int(spot.max(initial=-1)) + 1, -1, np.int64)
         sizes = np.zeros(len(first), np.int64)
         first[spot], sizes[spot] = np.cumsum(length) - length, length
         lists, trips = [], []
-        for packed, check in zip(rows.column("words").to_pylist(), rows.column("check").to_pylist(), strict=True):
-            raw = np.frombuffer(zlib.decompress(packed), np.uint8)
-            numbers = np.ascontiguousarray(raw.reshape(4, -1).T).view(np.int32).ravel()
+        for raw, check in zip(rows.column("words").to_pylist(), rows.column("check").to_pylist(), strict=True):
+            numbers = unpacked(raw)
             if len(numbers) and (numbers.max() >= len(first) or (first[numbers] < 0).any()):
                 raise RuntimeError("a word of a chunk was not encoded")
-            k = sizes[numbers]
-            ends = np.cumsum(k)
-            at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - k, k) + np.repeat(first[numbers], k)
-            mine = ids[at]
+            mine = ids[slices(first[numbers], sizes[numbers])]
             lists.append(mine)
             trips.append(zlib.crc32(known.decode(mine.tolist())) == check)
         lengths = np.array([len(x) for x in lists], np.int32)
@@ -321,7 +395,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         )
 
     texts = chunk_documents(own, path)
-    out = packed_by_chunk(encoded).groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(
+    out = encoded.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(
         join, f"doc {id_kind}, n_pieces long, ids array<int>, round_trip boolean"
     )
     return out.withColumnRenamed("doc", id_col)

@@ -538,3 +538,19 @@ def test_components_of_chains_cycles_and_stars(spark):
                 root[a] = root[b] = min(root[a], root[b])
     found = components(spark.createDataFrame(links, "a long, b long"))
     assert {r.node: r.root for r in found.collect()} == root
+
+
+def test_distinct_words_travel_packed_and_fold_in_arrays(spark):
+    """Rows of bucket and chunk instead of a row per word, no edges in the plan; equal to the library."""
+    rng = random.Random(11)
+    signs = ["the", "ing", "tion", "a", "b", "é", "中", "𝄞", "\n", " ", "  ", "...", "7", "▁", "x" * 60]
+    rows = [(i, "".join(rng.choices(signs, k=rng.randint(0, 60)))) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    words = pieces.chunk_words(frame.withColumnRenamed("text", "cut_text"), MODEL)
+    assert words.count() <= words.select("chunk").distinct().count() * pieces.BUCKETS
+    got = pieces.encode(frame, MODEL)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "collect_list" not in plan
+    model = pieces.vocabulary(MODEL).model
+    out = {r["doc_id"]: r["ids"] for r in got.collect()}
+    assert out == {i: model.encode(t) for i, t in rows}
