@@ -7,6 +7,7 @@ third of all rows arrives at the join as a handful of counted rows.
 
 from __future__ import annotations
 
+import math
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from daygrid.config import PanelSettings, Period, SeriesSettings, TimeWindows
 from daygrid.functions.calendar import date_spine, within
 from daygrid.operators.segments import count_segments, slot_at, sum_segments, trip_rules
-from daygrid.session import bounded
+from daygrid.session import bounded, planned_bytes
 from daygrid.sources.readers import read_table
 
 SAMPLE_PERIOD = Period(date(1996, 1, 1), date(2000, 12, 31), date(1999, 12, 31), date(2000, 6, 30))
@@ -24,6 +25,7 @@ SAMPLE_SERIES = SeriesSettings(SAMPLE_PERIOD)
 SAMPLE_WINDOWS = TimeWindows()
 EXO_REGRESSORS = ["exo_sum", "exo_high", "exo_low", "exo_count"]
 MIN_AREA_SHARE = 0.03
+PART_BYTES = 8 << 20  # of the lines' files, to a part whose rows are sorted and grouped in one task
 
 
 def lines(spark: SparkSession, folder: str, period: Period | None = None) -> DataFrame:
@@ -181,18 +183,22 @@ def permit_rows(spark: SparkSession, folder: str, period: Period | None = None)
     """(event_id, day, police_precinct): one row per order, its suppliers' nations as a comma list.
 
     The set of an order holds each nation once, in ascending order, and is bounded
-    by the nations; sets combine map-side, however many lines an order has. Only
-    lines of the period's orders are joined to suppliers.
+    by the nations. Lines are reduced to distinct (order, nation) pairs, dealt by both,
+    before they meet the orders, however many lines an order has. The parts grow with
+    the lines read, so that what a task sorts and groups stays the same.
     """
     orders = read_table(spark, folder, "orders")
     if period:
         orders = orders.filter(within(F.col("o_orderdate"), period.start, period.end))
-    orders = orders.select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    raw = read_table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey")
+    lines_read = read_table(spark, folder, "lineitem")
+    n = max(spark.sparkContext.defaultParallelism, math.ceil(planned_bytes(lines_read) / PART_BYTES))
+    orders = orders.select("o_orderkey", F.to_date("o_orderdate").alias("day")).repartition(n, "o_orderkey")
+    raw = lines_read.select("l_orderkey", "l_suppkey")
     zones = read_table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    inside = raw.join(orders, raw.l_orderkey == orders.o_orderkey)
+    pairs = raw.join(zones, raw.l_suppkey == zones.s_suppkey).select("l_orderkey", "s_nationkey")
+    pairs = pairs.repartition(n, "l_orderkey", "s_nationkey").distinct().repartition(n, "l_orderkey")
     sets = (
-        inside.join(zones, inside.l_suppkey == zones.s_suppkey)
+        pairs.join(orders, pairs.l_orderkey == orders.o_orderkey)
         .groupBy("l_orderkey", "day")
         .agg(F.array_sort(F.collect_set("s_nationkey")).alias("ids"))
     )

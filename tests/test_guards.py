@@ -55,3 +55,13 @@ def test_rows_that_agree_in_some_columns_spread(spark):
     left, _ = linear._salted(rows, rows.limit(1).select("g"), ["g"], 8 * linear.ROWS_PER_TASK)
     counts = [r["count"] for r in left.count().collect()]
     assert len(counts) == 8 and max(counts) < 2 * min(counts)
+
+
+def test_parts_of_permits_grow_with_the_lines(spark, sample_dir, monkeypatch):
+    """What a task sorts and groups is bounded by the parts, not by the shuffle setting; the rows stay the same."""
+    whole = {tuple(r) for r in sample.permit_rows(spark, sample_dir).collect()}
+    size = sample.planned_bytes(sample.read_table(spark, sample_dir, "lineitem"))
+    monkeypatch.setattr(sample, "PART_BYTES", size // 23)
+    cut = sample.permit_rows(spark, sample_dir)
+    assert cut.rdd.getNumPartitions() >= 23
+    assert {tuple(r) for r in cut.collect()} == whole
