@@ -32,7 +32,7 @@ non-null id. Hashes of equal value count as equal shingles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -76,6 +76,18 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
+def forgetting(run: Callable) -> Callable:
+    """``run`` over the batches of a task; what it kept of words is given back at the end, for the worker lives on."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _HASHES.clear()
+
+    return wrapped
+
+
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
@@ -105,7 +117,7 @@ def prefix_length(n: int) -> int:
 
 def _sets_and_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and per chunk a row with its frequent tokens and their counts."""
-    seen, held, size = set(), [], 0
+    seen, held = set(), bytearray()
 
     def rows(ids, n, keys, tokens, counts) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -114,9 +126,8 @@ def _sets_and_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
     def hot(kind: pa.DataType) -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= max(3, HOT_SHARE * len(held))
-        return rows(pa.nulls(1, kind), [None], [None], [tokens[often].view(np.int64)], [counts[often]])
+        tokens, counts = often(np.frombuffer(held, np.uint64), max(3, HOT_SHARE * len(seen)))
+        return rows(pa.nulls(1, kind), [None], [None], [tokens.view(np.int64)], [counts])
 
     kind = pa.int64()
     for batch, texts in texts_of(batches, "shingled_text"):
@@ -128,16 +139,23 @@ def _sets_and_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             keys.append(key)
             if key is not None and key not in seen:
                 seen.add(key)
-                held.append(s)
-                size += len(s)
+                held += s.tobytes()
         yield rows(batch.column(0), ns, keys, [None] * len(ns), [None] * len(ns))
-        if size > CHUNK_TOKENS:
+        if len(held) > 8 * CHUNK_TOKENS:
             yield hot(kind)
-            seen, held, size = set(), [], 0
+            seen, held = set(), bytearray()
     if held:
         yield hot(kind)
 
 
+def often(tokens: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that stand at ``least`` places or more, with their counts; sorts ``tokens`` in place."""
+    tokens.sort()
+    more = int(np.ceil(least)) - 1
+    found = np.unique(tokens[: len(tokens) - more][tokens[more:] == tokens[: len(tokens) - more]]) if len(tokens) > more else tokens[:0]
+    return found, np.searchsorted(tokens, found, side="right") - np.searchsorted(tokens, found)
+
+
 def pack(sets: np.ndarray, entries: np.ndarray) -> bytes:
     """Entries with the sets that they name, renumbered."""
     used, own = np.unique(entries["own"], return_inverse=True)
@@ -191,17 +209,18 @@ def prefix_lists(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             packed = [pack(sets, e[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "payload"])
 
-    return docs.mapInArrow(run, "bucket long, payload binary")
+    return docs.mapInArrow(forgetting(run), "bucket long, payload binary")
 
 
-def pairs_of_bucket(bucket: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def pairs_of_bucket(bucket: tuple, rows: pa.Table) -> pa.Table:
     """Candidate pairs (a, b) of short lists; members (list, key, n, left) of long ones and of frequent tokens.
 
     ``left`` is the number of tokens from the shared one on, the most that can be shared.
 
     A long list is named by its members, so that tokens with the same list count once.
     """
-    token, key, n, pos = (np.concatenate(x) for x in zip(*map(unpack, rows["payload"]), strict=True))
+    token, key, n, pos = (np.concatenate(x) for x in zip(*map(unpack, rows.column("payload").to_pylist()), strict=True))
+    del rows
     order = np.lexsort((key, n, token))
     token, key, n, pos = token[order], key[order], n[order], pos[order]
     fresh = np.ones(len(token), bool)
@@ -210,7 +229,7 @@ def pairs_of_bucket(bucket: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(token)])))
     a, b, names, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    if int(bucket[0]) < 0:
+    if bucket[0].as_py() < 0:
         names.append(token.view(np.int64))
         at.append(np.arange(len(token)))
     else:
@@ -230,16 +249,12 @@ def pairs_of_bucket(bucket: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     at = np.concatenate(at)
     members = np.unique(np.stack((np.concatenate(names), key[at], n[at], n[at] - pos[at]), axis=1), axis=0)
     m, k = len(pairs), len(members)
-    return pd.DataFrame(
-        {
-            "a": pd.array([*pairs[:, 0].tolist(), *[None] * k], dtype="Int64"),
-            "b": pd.array([*pairs[:, 1].tolist(), *[None] * k], dtype="Int64"),
-            "list": pd.array([*[None] * m, *members[:, 0].tolist()], dtype="Int64"),
-            "key": pd.array([*[None] * m, *members[:, 1].tolist()], dtype="Int64"),
-            "n": pd.array([*[None] * m, *members[:, 2].tolist()], dtype="Int64"),
-            "left": pd.array([*[None] * m, *members[:, 3].tolist()], dtype="Int64"),
-        }
-    )
+
+    def column(values: np.ndarray, above: int, below: int) -> pa.ChunkedArray:
+        return pa.chunked_array([pa.nulls(above, pa.int64()), pa.array(np.ascontiguousarray(values)), pa.nulls(below, pa.int64())], pa.int64())
+
+    columns = [column(pairs[:, c], 0, k) for c in range(2)] + [column(members[:, c], m, 0) for c in range(4)]
+    return pa.table(columns, names=["a", "b", "list", "key", "n", "left"])
 
 
 def level_of(n: np.ndarray) -> np.ndarray:
@@ -310,7 +325,7 @@ def packed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     ids = checked_broadcast(stable(wanted.select(F.col("doc").alias("rep")).distinct(), "set_ids"))
     chosen = docs.join(ids, F.col("doc").eqNullSafe(F.col("rep")), "left_semi")
-    made = chosen.mapInArrow(run, "key long, n long, bitmap binary, prints binary")
+    made = chosen.mapInArrow(forgetting(run), "key long, n long, bitmap binary, prints binary")
     return stable(made.join(checked_broadcast(stable(wanted.select("key"), "set_keys")), "key", "left_semi"), "sets")
 
 
@@ -448,24 +463,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("shingled_text"))
     id_kind = docs.schema[id_col].dataType.simpleString()
-    made = own.mapInArrow(_sets_and_hot, f"doc {id_kind}, n long, key long, tokens array<long>, counts array<long>")
+    made = own.mapInArrow(forgetting(_sets_and_hot), f"doc {id_kind}, n long, key long, tokens array<long>, counts array<long>")
     made = stable(made, "shingled")
     rows = made.filter("tokens IS NULL").select("doc", "n", "key")
     classes = stable(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("doc"), F.max("n").alias("n")), "classes")
     total = classes.agg(F.count("*").alias("sets"), F.sum(F.expr(f"n + 1 - ceil({NUM} * n / {DEN})")).alias("entries")).first()
 
-    often = (
+    frequent = (
         made.filter("tokens IS NOT NULL")
         .select(F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
         .groupBy(F.col("t.tokens").alias("token"))
         .agg(F.sum("t.counts").alias("n"))
         .filter(F.col("n") >= max(HOT_LEAST, HOT_SHARE * total["sets"]))
     )
-    hot = [r["token"] for r in often.orderBy(F.desc("n"), "token").limit(HOT_MOST).collect()]
+    hot = [r["token"] for r in frequent.orderBy(F.desc("n"), "token").limit(HOT_MOST).collect()]
     hot = np.sort(np.array(hot, np.int64).view(np.uint64))
 
     packed = prefix_lists(own, hot, parts(total["entries"] or 0, BUCKET_ENTRIES))
-    found = packed.groupBy("bucket").applyInPandas(pairs_of_bucket, "a long, b long, list long, key long, n long, left long")
+    found = packed.groupBy("bucket").applyInArrow(pairs_of_bucket, "a long, b long, list long, key long, n long, left long")
     found = stable(found, "candidates")
     lists = found.filter("list IS NOT NULL").groupBy("list", "key").agg(F.max("n").alias("n"), F.max("left").alias("left"))
     lists = stable(lists, "lists")

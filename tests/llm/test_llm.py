@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -554,3 +555,31 @@ def test_distinct_words_travel_packed_and_fold_in_arrays(spark):
     model = pieces.vocabulary(MODEL).model
     out = {r["doc_id"]: r["ids"] for r in got.collect()}
     assert out == {i: model.encode(t) for i, t in rows}
+
+
+def test_a_bucket_of_entries_stays_in_arrays():
+    """Members of frequent tokens, null pairs beside them, without a Python object per value."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    sets = np.zeros(2000, jaccard.SET)
+    sets["key"], sets["n"] = np.arange(2000) - 1000, 100
+    entries = np.zeros(100_000, jaccard.ENTRY)
+    entries["token"], entries["own"], entries["pos"] = rng.integers(0, 300, 100_000), rng.integers(0, 2000, 100_000), 3
+    payload = jaccard.pack(sets, entries)
+    tracemalloc.start()
+    out = jaccard.pairs_of_bucket((pa.scalar(-1),), pa.table({"payload": pa.array([payload], pa.binary())}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {(int(t), int(k) - 1000, 100, 97) for t, k in zip(entries["token"], entries["own"], strict=True)}
+    got = list(zip(*(out.column(c).to_pylist() for c in ("list", "key", "n", "left")), strict=True))
+    assert len(got) == len(set(got)) and set(got) == want and out.column("a").null_count == out.num_rows
+    assert peak < 250 * len(entries)
+
+
+def test_often_counts_all_places():
+    tokens = np.random.default_rng(2).integers(0, 50, 700).astype(np.uint64)
+    for least in (1, 3, 12.5, 14, 800):
+        values, counts = np.unique(tokens, return_counts=True)
+        got = jaccard.often(tokens.copy(), least)
+        assert got[0].tolist() == values[counts >= least].tolist() and got[1].tolist() == counts[counts >= least].tolist()
