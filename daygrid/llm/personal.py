@@ -15,8 +15,9 @@ Positions come from the matches and the gaps between them, so each text is scann
 once per pattern for each. Patterns are possessive, which changes no match and
 keeps long runs linear.
 
-Of the table, at most as many positives of a kind are taken as keep the labels about
-even, chosen by hash.
+All distinct base spans of the table count, in the fit and in the thresholds. Where a
+kind has more of them than keep the labels about even, each weighs less. Findings
+that agree in kind, label and features are one row with the sum of their weights.
 
 Defined results: a null text counts as empty; no spans give counts of zero, an
 empty ``spans`` and the checksum of the empty string; repeated rows and ids are
@@ -39,7 +40,6 @@ from pyspark.sql import functions as F
 from daygrid.session import stable
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS = 20_000
 PRECISION = 0.95
 CONTEXT = 24
 MADE_ROWS = 2000
@@ -120,7 +120,7 @@ def candidates(text: Column, kind: int, pattern: str, test, keep, base) -> Colum
 
 
 def with_features(found: DataFrame) -> DataFrame:
-    """Format and context of a candidate; nothing that a base check looks at alone."""
+    """Format and context of a candidate, a column each; nothing that a base check looks at alone."""
     m = F.col("c.match")
     out = (
         found.withColumn("n_chars", F.length(m))
@@ -136,7 +136,11 @@ def with_features(found: DataFrame) -> DataFrame:
     )
     for name, words in WORD_HINTS.items():
         out = out.withColumn(name, F.col("c.before").rlike(words).cast("int"))
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(out)
+    return out
+
+
+def assembled(facts: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(facts)
 
 
 def labelled_findings(rows: int = MADE_ROWS, seed: int = 31) -> list[tuple[int, str, str, str, bool]]:
@@ -164,8 +168,8 @@ def labelled_findings(rows: int = MADE_ROWS, seed: int = 31) -> list[tuple[int,
     return out
 
 
-def masked(found: DataFrame, kind: int, most: int) -> DataFrame:
-    """Distinct base spans of ``kind`` in the form of its added generator, as positives."""
+def masked(found: DataFrame, kind: int) -> DataFrame:
+    """All distinct base spans of ``kind`` in the form of its added generator, as positives."""
     m = F.col("c.match")
     if kind == 0:
         form, pattern = F.regexp_replace(F.regexp_replace(m, "@", " [at] "), r"\.(?=[A-Za-z]{2,24}$)", " [dot] "), SPOKEN_EMAIL
@@ -173,26 +177,36 @@ def masked(found: DataFrame, kind: int, most: int) -> DataFrame:
         form, pattern = F.regexp_replace(m, r"^\+[0-9]{1,3}[\x20.-]*", ""), PLAIN_PHONE
     spans = found.filter(F.col("c.base") & (F.col("c.kind") == kind)).select(form.alias("match"), F.col("c.before").alias("before"), F.col("c.after").alias("after"))
     one = spans.filter(F.col("match").rlike(f"^(?:{pattern})$")).groupBy("match").agg(F.min(F.struct("before", "after")).alias("near"))
-    one = one.orderBy(F.xxhash64("match"), "match").limit(most)
     return one.select(F.lit(kind).alias("kind"), "near.before", "match", "near.after", F.lit(True).alias("base"))
 
 
-def chosen_spans(found: DataFrame, precision: float, train_rows: int) -> DataFrame | None:
-    """(row, extras): further spans that the trees select; none if no threshold reaches the precision."""
-    added = ((F.col("c.kind") == 0) & ~F.col("c.match").contains("@")) | ((F.col("c.kind") == 3) & ~F.col("c.match").startswith("+"))
-    facts = with_features(found.filter(~F.col("c.base") & added))
+def samples(found: DataFrame) -> DataFrame:
+    """(features, label, kind, held, weight) of the made findings and of all distinct base spans of the table."""
     names = ("kind", "before", "match", "after", "base")
     made = json.dumps([dict(zip(names, x, strict=True)) for x in labelled_findings()])
     schema = "array<struct<kind:int,before:string,match:string,after:string,base:boolean>>"
-    findings = found.sparkSession.range(1).select(F.inline(F.from_json(F.lit(made), schema)))
+    own = F.lit(False).alias("own")
+    findings = found.sparkSession.range(1).select(F.inline(F.from_json(F.lit(made), schema))).select("*", own)
     for kind in (0, 3):
-        findings = findings.union(masked(found, kind, min(train_rows, MADE_ROWS) // 2))
-    findings = with_features(findings.select(F.struct(*names).alias("c"))).withColumn("label", F.col("c.base").cast("double"))
+        findings = findings.union(masked(found, kind).withColumn("own", F.lit(True)))
     held = F.pmod(F.xxhash64("c.match", "c.before", "c.after"), F.lit(4)) == 0
-    sample = stable(findings.select("features", "label", "kind", held.alias("held")), "samples")
-    model = GBTClassifier(maxIter=12, maxDepth=3, seed=5, featuresCol="features", labelCol="label").fit(sample.filter("NOT held"))
+    facts = with_features(findings.select(F.struct(*names).alias("c"), "own")).withColumns({"label": F.col("c.base").cast("double"), "held": held})
+    alike = stable(facts.groupBy(*FEATURES, "label", "held", "own").agg(F.count("*").alias("times")), "findings")
+    times = {r["kind"]: r["times"] for r in alike.filter("own").groupBy("kind").agg(F.sum("times").alias("times")).collect()}  # a row per kind
+    share = F.coalesce(*[F.when(F.col("own") & (F.col("kind") == k), F.lit(min(1.0, MADE_ROWS / 2 / n))) for k, n in times.items()], F.lit(1.0))
+    weighed = alike.withColumn("weight", F.col("times") * share).groupBy(*FEATURES, "label", "held").agg(F.sum("weight").alias("weight"))
+    return stable(assembled(weighed).select("features", "label", "kind", "held", "weight"), "samples")
+
+
+def chosen_spans(found: DataFrame, precision: float) -> DataFrame | None:
+    """(row, extras): further spans that the trees select; none if no threshold reaches the precision."""
+    added = ((F.col("c.kind") == 0) & ~F.col("c.match").contains("@")) | ((F.col("c.kind") == 3) & ~F.col("c.match").startswith("+"))
+    facts = assembled(with_features(found.filter(~F.col("c.base") & added)))
+    learned = samples(found)
+    model = GBTClassifier(maxIter=12, maxDepth=3, seed=5, featuresCol="features", labelCol="label", weightCol="weight").fit(learned.filter("NOT held"))
     chance = F.round(vector_to_array("probability").getItem(1), 3)
-    curve = model.transform(sample.filter("held")).groupBy("kind", chance.alias("chance")).agg(F.sum("label").alias("good"), F.count("*").alias("all"))
+    curve = model.transform(learned.filter("held")).groupBy("kind", chance.alias("chance"))
+    curve = curve.agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("all"))
     above = W.partitionBy("kind").orderBy(F.desc("chance"))
     reached = (
         curve.withColumn("share", F.sum("good").over(above) / F.sum("all").over(above))
@@ -221,16 +235,14 @@ def spans_text(spans: Column) -> Column:
     )
 
 
-def find_personal(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION, train_rows: int = TRAIN_ROWS
-) -> DataFrame:
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION) -> DataFrame:
     """(id, spans_base, spans_all) of every row; spans are arrays of (first, kind, last)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = F.concat(*[candidates(text, *source) for source in SOURCES])
     facts = stable(docs.select(F.expr("uuid()").alias("row"), F.col(id_col).alias("doc"), found.alias("found")), "candidates")
     base = F.transform(F.filter("found", lambda c: c["base"]), lambda c: F.struct(c["first"].alias("first"), c["kind"].alias("kind"), c["last"].alias("last")))
     facts = facts.withColumn("base", base)
-    extras = chosen_spans(facts.select("row", F.explode("found").alias("c")), precision, train_rows)
+    extras = chosen_spans(facts.select("row", F.explode("found").alias("c")), precision)
     if extras is None:
         return facts.select(F.col("doc").alias(id_col), F.col("base").alias("spans_base"), F.col("base").alias("spans_all"))
 

@@ -583,3 +583,16 @@ def test_often_counts_all_places():
         values, counts = np.unique(tokens, return_counts=True)
         got = jaccard.often(tokens.copy(), least)
         assert got[0].tolist() == values[counts >= least].tolist() and got[1].tolist() == counts[counts >= least].tolist()
+
+
+def test_all_base_spans_count_in_the_fit(spark):
+    """2,500 distinct numbers weigh as much as the 1,000 that keep the labels even; none is left out."""
+    rows = [(i, f"call +1 555 {100 + i // 50} {1000 + i} or a{i}@posthof.org", "en", "s", 1) for i in range(2500)]
+    text, kinds = F.coalesce(F.col("text"), F.lit("")), (personal.SOURCES[0], personal.SOURCES[3])
+    found = spark.createDataFrame(rows, SCHEMA).select(F.explode(F.concat(*[personal.candidates(text, *k) for k in kinds])).alias("c"))
+    assert [personal.masked(found, kind).count() for kind in (0, 3)] == [2500, 2500]
+    made = personal.labelled_findings()
+    weights = {(r["kind"], r["label"]): r["w"] for r in personal.samples(found).groupBy("kind", "label").agg(F.sum("weight").alias("w")).collect()}
+    for kind in (0, 3):
+        assert weights[kind, 1.0] == pytest.approx(1000 + sum(x[0] == kind and x[4] for x in made))
+        assert weights[kind, 0.0] == pytest.approx(sum(x[0] == kind and not x[4] for x in made))
