@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows of an Arrow batch: bounds what a Python worker holds of long texts at once.
-ARROW_ROWS = 1000
+# Rows and bytes of an Arrow batch: bound what a Python worker holds of long texts at once.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 # splitmix64 finalizer constants, fixed values.
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -24,8 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Let Arrow functions of this session see at most ``rows`` rows at once."""
+    """Let Arrow functions of this session see at most ``rows`` rows at once, and no more once they pass ``ARROW_BYTES``."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def parts(rows: int, each: int) -> int:

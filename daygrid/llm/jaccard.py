@@ -76,6 +76,11 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
+def forget() -> None:
+    """Empties the hashes of this worker; by name, as a task's own functions travel with copies of what they refer to."""
+    _HASHES.clear()
+
+
 def forgetting(run: Callable) -> Callable:
     """``run`` over the batches of a task; what it kept of words is given back at the end, for the worker lives on."""
 
@@ -83,7 +88,7 @@ def forgetting(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            _HASHES.clear()
+            forget()
 
     return wrapped
 

@@ -68,6 +68,11 @@ class Words(dict):
 _WORDS = Words()
 
 
+def forget() -> None:
+    """Empties the hashes of this worker; by name, as a task's own functions travel with copies of what they refer to."""
+    _WORDS.clear()
+
+
 def features(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct feature ids and their values; id 0 is the constant."""
     words = text.split()
@@ -127,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(x, pa.binary())], names=["label_id", "y", "ids", "x"]
             )
+        forget()
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         order = rows["label_id"].map(lambda i: zlib.crc32(str(i).encode(), 3))
@@ -142,16 +148,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def quality_score(spark, weights: np.ndarray):
-    """A column function that scores texts."""
+    """A column function that scores texts; the word hashes of a task are given back at its end, for the worker lives on."""
     shared = spark.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        w, out = shared.value, []
-        for t in texts:
-            ids, x = features(t or "")
-            out.append(1.0 / (1.0 + np.exp(-np.clip(float(w[ids] @ x), -30, 30))))
-        return pd.Series(out, dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        w = shared.value
+        try:
+            for texts in batches:
+                out = []
+                for t in texts:
+                    ids, x = features(t or "")
+                    out.append(1.0 / (1.0 + np.exp(-np.clip(float(w[ids] @ x), -30, 30))))
+                yield pd.Series(out, dtype="float64")
+        finally:
+            forget()
 
     return score
 

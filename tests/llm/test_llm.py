@@ -1,6 +1,7 @@
 """The text and vector operators on small tables: edge rows, brute force, libraries."""
 
 import hashlib
+import importlib
 import random
 import re
 
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from daygrid.llm import balance, decontaminate, forest, jaccard, personal, pieces, quality, secret_scan, tokens, wrappers
+from daygrid.llm import balance, common, decontaminate, forest, jaccard, personal, pieces, quality, secret_scan, tokens, wrappers
 from daygrid.llm.graph import components
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -596,3 +597,29 @@ def test_all_base_spans_count_in_the_fit(spark):
     for kind in (0, 3):
         assert weights[kind, 1.0] == pytest.approx(1000 + sum(x[0] == kind and x[4] for x in made))
         assert weights[kind, 0.0] == pytest.approx(sum(x[0] == kind and not x[4] for x in made))
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["size"])
+
+    common.small_batches(spark)
+    long = spark.range(0, 1500, 1, 1).selectExpr("repeat('abcdefgh', 2000) AS text")
+    got = [r["size"] for r in long.mapInArrow(sizes, "size long").collect()]
+    assert sum(got) > 1500 * 16_000 and max(got) < common.ARROW_BYTES + 100_000
+
+
+def test_tasks_give_their_word_hashes_back(spark):
+    score = quality.quality_score(spark, np.zeros(1 << quality.BITS, np.float32))
+    texts = spark.createDataFrame([(f"word{i} and more",) for i in range(300)], "text string").coalesce(1)
+
+    def kept(batches):
+        for b in batches:
+            held = len(importlib.import_module("daygrid.llm.quality")._WORDS) + len(importlib.import_module("daygrid.llm.jaccard")._HASHES)
+            yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64())], names=["kept"])
+
+    assert {r[0] for r in texts.select(score("text")).collect()} == {0.5}
+    own = texts.selectExpr("1L AS doc", "text AS shingled_text")
+    assert own.mapInArrow(jaccard.forgetting(jaccard._sets_and_hot), "doc long, n long, key long, tokens array<long>, counts array<long>").count() > 300
+    assert all(r["kept"] == 0 for r in texts.repartition(4).mapInArrow(kept, "kept long").collect())
