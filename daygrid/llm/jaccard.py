@@ -20,6 +20,9 @@ by token.
   others only those are compared whose bitmaps (the hash ranges that hold a token) leave
   room for the needed overlap. No pair between different components is left out otherwise.
 
+A class keeps its bitmap, made with its hash; its tokens are made anew from one
+document where a pair that its bitmap leaves needs them, and travel for no other.
+
 Frequent tokens are those whose share of the sets reaches ``HOT_SHARE`` in some
 chunk; any token whose share is that large overall is frequent in one chunk. Being
 in the list decides the order only, never the result.
@@ -33,9 +36,9 @@ non-null id. Hashes of equal value count as equal shingles.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -120,32 +123,38 @@ def prefix_length(n: int) -> int:
     return n + 1 + (-NUM * n) // DEN
 
 
-def _sets_and_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document, and per chunk a row with its frequent tokens and their counts."""
+def _sets_and_hot(batches: Iterator[pa.RecordBatch], with_bitmaps: bool = False) -> Iterator[pa.RecordBatch]:
+    """A row per document, and per chunk a row with its frequent tokens and their counts.
+
+    ``with_bitmaps`` adds the bitmap of each set that is new to the chunk.
+    """
     seen, held = set(), bytearray()
 
-    def rows(ids, n, keys, tokens, counts) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [ids, pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
-            names=["doc", "n", "key", "tokens", "counts"],
-        )
+    def rows(ids, n, keys, tokens, counts, bitmaps) -> pa.RecordBatch:
+        columns = [ids, pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))]
+        names = ["doc", "n", "key", "tokens", "counts"]
+        if with_bitmaps:
+            columns, names = [*columns, pa.array(bitmaps, pa.binary())], [*names, "bitmap"]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def hot(kind: pa.DataType) -> pa.RecordBatch:
         tokens, counts = often(np.frombuffer(held, np.uint64), max(3, HOT_SHARE * len(seen)))
-        return rows(pa.nulls(1, kind), [None], [None], [tokens.view(np.int64)], [counts])
+        return rows(pa.nulls(1, kind), [None], [None], [tokens.view(np.int64)], [counts], [None])
 
     kind = pa.int64()
     for batch, texts in texts_of(batches, "shingled_text"):
-        kind, ns, keys = batch.column(0).type, [], []
+        kind, ns, keys, bitmaps = batch.column(0).type, [], [], []
         for t in texts:
             s = shingles(t)
             key = key_of(s) if len(s) else None
+            fresh = key is not None and key not in seen
             ns.append(len(s))
             keys.append(key)
-            if key is not None and key not in seen:
+            bitmaps.append(bitmap_of(s) if fresh and with_bitmaps else None)
+            if fresh:
                 seen.add(key)
                 held += s.tobytes()
-        yield rows(batch.column(0), ns, keys, [None] * len(ns), [None] * len(ns))
+        yield rows(batch.column(0), ns, keys, [None] * len(ns), [None] * len(ns), bitmaps)
         if len(held) > 8 * CHUNK_TOKENS:
             yield hot(kind)
             seen, held = set(), bytearray()
@@ -314,27 +323,33 @@ class Bitmaps:
         return out
 
 
+def bitmaps_of(made: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, n, bitmap) of the classes in ``wanted`` (key), once each."""
+    found = made.filter("bitmap IS NOT NULL").select("key", "n", "bitmap")
+    return stable(found.join(checked_broadcast(stable(wanted.select("key"), "bitmap_keys")), "key", "left_semi").dropDuplicates(["key"]), "bitmaps")
+
+
 def packed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, n, bitmap, prints) of the classes in ``wanted`` (key, doc), made anew from one document of each."""
+    """(key, n, prints) of the classes in ``wanted`` (key, doc), made anew from one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in texts_of(batches, "shingled_text"):
-            sets = list({key_of(s): s for s in map(shingles, texts) if len(s)}.values())
+            sets = {key_of(s): s for s in map(shingles, texts) if len(s)}
             columns = [
-                pa.array([key_of(s) for s in sets], pa.int64()),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([bitmap_of(s) for s in sets], pa.binary()),
-                pa.array([s.tobytes() for s in sets], pa.binary()),
+                pa.array(list(sets), pa.int64()),
+                pa.array([len(s) for s in sets.values()], pa.int64()),
+                pa.array([s.tobytes() for s in sets.values()], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "bitmap", "prints"])
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "prints"])
 
-    ids = checked_broadcast(stable(wanted.select(F.col("doc").alias("rep")).distinct(), "set_ids"))
+    wanted = stable(wanted.select("key", F.col("doc").alias("rep")), "set_keys")
+    ids = checked_broadcast(stable(wanted.select("rep").distinct(), "set_ids"))
     chosen = docs.join(ids, F.col("doc").eqNullSafe(F.col("rep")), "left_semi")
-    made = chosen.mapInArrow(forgetting(run), "key long, n long, bitmap binary, prints binary")
-    return stable(made.join(checked_broadcast(stable(wanted.select("key"), "set_keys")), "key", "left_semi"), "sets")
+    made = chosen.mapInArrow(forgetting(run), "key long, n long, prints binary")
+    return stable(made.join(checked_broadcast(wanted.select("key")), "key", "left_semi"), "sets")
 
 
-def within_bound(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def within_bound(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose bitmaps leave room for the needed overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,14 +359,14 @@ def within_bound(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             fits = maps.room(np.arange(batch.num_rows), np.arange(batch.num_rows) + batch.num_rows)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits)) for c in batch.columns[:2]], names=["a", "b"])
 
-    first = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("x"))
-    second = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("y"))
+    first = bitmaps.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("x"))
+    second = bitmaps.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("y"))
     rows = pairs.join(second, "b").join(first, "a").select("a", "b", "n_a", "n_b", "x", "y")
     return stable(rows.mapInArrow(run, "a long, b long"), "bounded_pairs")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, shared, n_a, n_b): the exact overlap of each pair that the bitmaps leave; only the sets of those travel."""
+def verified(pairs: DataFrame, bitmaps: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, shared, n_a, n_b): the exact overlap of each pair that the bitmaps leave; only the sets of those are made and travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,9 +378,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 shared.append(len(np.intersect1d(mine, np.frombuffer(y.as_py(), np.uint64), assume_unique=True)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64())], names=["a", "b", "n_a", "n_b", "shared"])
 
-    pairs = within_bound(pairs, sets)
+    pairs = within_bound(pairs, bitmaps)
     used = checked_broadcast(stable(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "used_keys"))
-    own = sets.join(used, "key", "left_semi")
+    own = packed_sets(docs, classes.select("key", "doc").join(used, "key"))
     first = own.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("prints").alias("x"))
     second = own.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("prints").alias("y"))
     rows = pairs.join(second, "b").join(first, "a").select("a", "b", "n_a", "n_b", "x", "y")
@@ -396,7 +411,7 @@ def star_pairs(members: DataFrame, candidates: DataFrame) -> DataFrame:
     return pairs.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
 
 
-def residual_pairs(members: DataFrame, overlaps: DataFrame, sets: DataFrame) -> DataFrame:
+def residual_pairs(members: DataFrame, overlaps: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Pairs of long lists that neither the leaders' answers nor the bitmaps linked or ruled out.
 
     A list of more than ``CELL_SETS`` sets is cut by the hash of the set; every two of
@@ -422,17 +437,20 @@ def residual_pairs(members: DataFrame, overlaps: DataFrame, sets: DataFrame) ->
     task = bucket_of(parts(open_.count(), TASK_SETS), "list", "low", "high").alias("task")
     dealt = stable(dealt.select(task, "list", "low", "high", "cut", "key", "n", "left", "root", "gap"), "cells")
     wanted = dealt.select(F.col("task").alias("to_task"), F.col("key").alias("of_set")).distinct()
-    bitmaps = wanted.join(sets.select(F.col("key").alias("of_set"), F.col("n").alias("size"), "bitmap"), "of_set")
-
-    def pair(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["list", "low", "high", "key"]).sort_values(["list", "low", "high", "n", "key"], kind="stable")
-        held = held.sort_values("of_set")
-        maps, spot = Bitmaps(held["bitmap"].tolist(), held["size"].to_numpy()), np.searchsorted(held["of_set"].to_numpy(), rows["key"].to_numpy())
-        del held
-        keys, n, left, root, gap, cut = (rows[c].to_numpy() for c in ("key", "n", "left", "root", "gap", "cut"))
-        cell = rows[["list", "low", "high"]].to_numpy()
+    bitmaps = wanted.join(bitmaps.select(F.col("key").alias("of_set"), F.col("n").alias("size"), "bitmap"), "of_set")
+
+    def pair(rows: pa.Table, held: pa.Table) -> pa.Table:
+        cell = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("list", "low", "high")], axis=1)
+        keys, n, left, root, gap, cut = (rows.column(c).to_numpy() for c in ("key", "n", "left", "root", "gap", "cut"))
+        order = np.lexsort((keys, n, cell[:, 2], cell[:, 1], cell[:, 0]))
+        twice = np.concatenate(([False], (cell[order[1:]] == cell[order[:-1]]).all(axis=1) & (keys[order[1:]] == keys[order[:-1]])))[: len(order)]
+        order = order[~twice]
+        cell, keys, n, left, root, gap, cut = (x[order] for x in (cell, keys, n, left, root, gap, cut))
+        held = held.sort_by("of_set")
+        maps, spot = Bitmaps(held.column("bitmap").to_pylist(), held.column("size").to_numpy()), np.searchsorted(held.column("of_set").to_numpy(), keys)
+        del rows, held
         starts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]).any(axis=1))))
-        stops, crossed = np.append(starts[1:], len(rows)), cell[:, 1] != cell[:, 2]
+        stops, crossed = np.append(starts[1:], len(keys)), cell[:, 1] != cell[:, 2]
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
         def compare(i: np.ndarray, j: np.ndarray) -> None:
@@ -456,9 +474,9 @@ def residual_pairs(members: DataFrame, overlaps: DataFrame, sets: DataFrame) ->
                 j = np.arange(i + 1, ends[i - start])
                 compare(np.full(len(j), i), j)
         pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
 
-    found = dealt.groupBy("task").cogroup(bitmaps.groupBy("to_task")).applyInPandas(pair, "a long, b long")
+    found = dealt.groupBy("task").cogroup(bitmaps.groupBy("to_task")).applyInArrow(pair, "a long, b long")
     return found.distinct().join(overlaps.select("a", "b"), ["a", "b"], "left_anti")
 
 
@@ -468,7 +486,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("shingled_text"))
     id_kind = docs.schema[id_col].dataType.simpleString()
-    made = own.mapInArrow(forgetting(_sets_and_hot), f"doc {id_kind}, n long, key long, tokens array<long>, counts array<long>")
+    made = own.mapInArrow(forgetting(partial(_sets_and_hot, with_bitmaps=True)), f"doc {id_kind}, n long, key long, tokens array<long>, counts array<long>, bitmap binary")
     made = stable(made, "shingled")
     rows = made.filter("tokens IS NULL").select("doc", "n", "key")
     classes = stable(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("doc"), F.max("n").alias("n")), "classes")
@@ -494,10 +512,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = stable(lists.join(held.select("list"), "list").join(weights, "key"), "weighted_lists")
 
     in_pairs = found.filter("a IS NOT NULL").select(F.explode(F.array("a", "b")).alias("key")).union(lists.select("key")).distinct()
-    sets = packed_sets(own, in_pairs.join(classes.select("key", "doc"), "key"))
+    bitmaps = bitmaps_of(made, in_pairs)
     members = lists.withColumn("root", F.col("key"))
     pairs = stable(found.filter("a IS NOT NULL").select("a", "b").union(star_pairs(members, members)).distinct(), "pairs")
-    overlaps = verified(pairs, sets)
+    overlaps = verified(pairs, bitmaps, own, classes)
     members, still_open = stable(with_roots(lists, components(linking(overlaps))), "open_members"), None
     for _ in range(ROUNDS):
         before, still_open = still_open, members.count()
@@ -508,10 +526,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         fresh = stable(fresh.join(overlaps.select("a", "b"), ["a", "b"], "left_anti"), "star_pairs")
         if fresh.isEmpty():
             break
-        overlaps = overlaps.union(verified(fresh, sets))
+        overlaps = overlaps.union(verified(fresh, bitmaps, own, classes))
         members = stable(with_roots(lists, components(linking(overlaps))), "open_members")
-    rest = stable(residual_pairs(members, overlaps, sets), "residual_pairs")
-    roots = components(linking(overlaps.union(verified(rest, sets))))
+    rest = stable(residual_pairs(members, overlaps, bitmaps), "residual_pairs")
+    roots = components(linking(overlaps.union(verified(rest, bitmaps, own, classes))))
 
     grouped = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "doc", F.coalesce("root", "key").alias("root"))
     grouped = stable(grouped, "grouped")

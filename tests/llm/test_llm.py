@@ -287,6 +287,26 @@ def test_jaccard_large_groups(spark):
     assert got == brute_components(rows)
 
 
+def test_sets_travel_only_for_pairs_that_bitmaps_leave(spark, monkeypatch):
+    """Texts that share a passage and little else meet in lists; their tokens are written for no join."""
+    shared, base = prose(98, 40), prose(97, 150)
+    rows = [(i, prose(300 + i, 150) + " " + shared) for i in range(60)] + [(60 + i, f"{base} tail{i}") for i in range(3)]
+    written, whole = {}, jaccard.stable
+
+    def kept(df, label="table"):
+        out = whole(df, label)
+        written.setdefault(label, []).append(out)
+        return out
+
+    monkeypatch.setattr(jaccard, "stable", kept)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(x[0]), x[1], str(x[2])) for x in jaccard.jaccard_components(frame).collect())
+    assert got == brute_components(rows)
+    pairs = {k for df in written["bounded_pairs"] for r in df.collect() for k in (r["a"], r["b"])}
+    sets = {r["key"] for df in written["sets"] for r in df.collect()}
+    assert sets == pairs and 3 <= len(sets) < 30
+
+
 def test_keep_one(docs):
     kept = [r["doc_id"] for r in jaccard.keep_one(docs).collect()]
     assert kept.count(5) == 1 and 6 not in kept and 16 not in kept and None in kept and {0, 1, 2, 3, 4} <= set(kept)
