@@ -10,7 +10,8 @@ paths: Viterbi for unigram models, the best merge first for BPE models, whose
 pieces Viterbi would not reproduce. Characters without a piece become byte pieces.
 
 A chunk is a stretch of one input partition, bounded in characters and in distinct
-words. Documents travel once, as compressed word numbers of their chunk; words
+words. Its texts come in small groups; what stands between two spaces is told apart
+in Arrow for a group at once, and cut once per chunk. Documents travel once, as compressed word numbers of their chunk; words
 travel packed by chunk and bucket, and their ids come back packed alike, so that
 documents and words of a chunk meet in one bounded group. Both passes over the
 input number words alike; a word that is missing raises.
@@ -23,11 +24,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,7 @@ from daygrid.llm.common import small_batches, texts_of
 MARK = "▁"
 CHUNK_CHARS = 20_000_000
 CHUNK_WORDS = 250_000
+GROUP_CHARS, GROUP_TEXTS = 1 << 20, 1000  # of texts whose stretches are told apart at once
 # Words meet over a group of at most 32 partitions x 16 chunks, dealt to this many buckets.
 PARTITIONS_IN_GROUP, CHUNKS_IN_GROUP, BUCKETS = 32, 16, 256
 LONG_WORD = 48
@@ -226,12 +229,32 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
+class Stretches(dict):
+    """Word numbers of what stands between two spaces, each cut once per chunk; letters and digits alone are one word, for no piece's cut lies in them."""
+
+    def __init__(self, cut: Callable[[str], list[str]], numbers: dict[str, int]):
+        self.cut, self.numbers = cut, numbers
+
+    def __missing__(self, stretch: str) -> tuple[int, ...]:
+        numbers, word = self.numbers, MARK + stretch
+        if stretch.isalnum():
+            found = (numbers.setdefault(word, len(numbers)),)
+        else:
+            found = tuple([numbers.setdefault(w, len(numbers)) for w in self.cut(word)])
+        self[stretch] = found
+        return found
+
+
 class Chunks:
     """Numbers the chunks of a task and the words of a chunk, alike in every pass."""
 
     def __init__(self, known: Vocabulary):
         self.known, self.part, self.count = known, TaskContext.get().partitionId(), 0
-        self.chars, self.numbers, self.between_spaces = 0, {}, {}
+        self.start()
+
+    def start(self) -> None:
+        self.chars, self.numbers = 0, {}
+        self.between_spaces = Stretches(self.known.word.findall, self.numbers)
 
     @property
     def chunk(self) -> int:
@@ -240,22 +263,54 @@ class Chunks:
     def numbered(self, words: list[str]) -> tuple[int, ...]:
         return tuple([self.numbers.setdefault(w, len(self.numbers)) for w in words])
 
-    def add(self, text: str) -> Iterable[int]:
-        """Word numbers of a text; what stands between two spaces is cut once per chunk."""
-        self.chars += len(text)
-        if not self.known.plain(text):
-            return self.numbered(self.known.words(text))
-        stretches, seen = text.split(" "), self.between_spaces
-        for s in stretches:
-            if s not in seen:
-                seen[s] = self.numbered(self.known.word.findall(MARK + s))
-        return chain.from_iterable(map(seen.__getitem__, stretches))
+    def add(self, texts: list[str]) -> tuple[pa.ListArray, pa.DictionaryArray, list[tuple[int, ...]], list[int], dict[int, tuple[int, ...]]]:
+        """Numbers the words of a group of texts, those of the distinct stretches of all plain texts first.
+
+        Returns the stretches of the plain texts, these told apart, the word numbers of each, the places of
+        the plain texts, and the word numbers of the other texts.
+        """
+        self.chars += sum(map(len, texts))
+        plain = [i for i, t in enumerate(texts) if self.known.plain(t)]
+        stretches = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
+        coded = stretches.values.dictionary_encode()
+        found = [*map(self.between_spaces.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False))]
+        others = {i: self.numbered(self.known.words(texts[i])) for i in sorted({*range(len(texts))}.difference(plain))}
+        return stretches, coded, found, plain, others
+
+    def numbers_of(self, texts: list[str]) -> list[np.ndarray]:
+        """Word numbers of each text of a group."""
+        stretches, coded, found, plain, others = self.add(texts)
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))
+        at = coded.indices.to_numpy()
+        numbers = flat[slices((np.cumsum(count) - count)[at], count[at])]
+        stops = np.concatenate(([0], np.cumsum(count[at])))[stretches.offsets.to_numpy()]
+        out = {i: np.array(w, np.int32) for i, w in others.items()}
+        out.update((i, numbers[a:b]) for i, a, b in zip(plain, stops, stops[1:], strict=False))
+        return [out[i] for i in range(len(texts))]
 
     def full(self) -> bool:
         return self.chars > CHUNK_CHARS or len(self.numbers) > CHUNK_WORDS
 
     def next(self) -> None:
-        self.count, self.chars, self.numbers, self.between_spaces = self.count + 1, 0, {}, {}
+        self.count += 1
+        self.start()
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.Array, list[str]]]:
+    """The first column and the texts of stretches of rows that the texts' lengths alone cut, however the batches are cut."""
+    most, firsts, held, chars = min(GROUP_CHARS, CHUNK_CHARS // 16), [], [], 0
+    for batch, texts in texts_of(batches, column):
+        start = 0
+        for i, t in enumerate(texts):
+            held.append(t)
+            chars += len(t)
+            if chars > most or len(held) == GROUP_TEXTS:
+                yield pa.concat_arrays([*firsts, batch.column(0).slice(start, i + 1 - start)]), held
+                start, firsts, held, chars = i + 1, [], [], 0
+        firsts.append(batch.column(0).slice(start))
+    if held:
+        yield pa.concat_arrays(firsts), held
 
 
 def chunk_words(docs: DataFrame, path: str) -> DataFrame:
@@ -280,12 +335,11 @@ def chunk_words(docs: DataFrame, path: str) -> DataFrame:
             ]
             return pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "numbers", "lengths", "letters"])
 
-        for _, texts in texts_of(batches, "cut_text"):
-            for t in texts:
-                chunks.add(t)
-                if chunks.full():
-                    yield out()
-                    chunks.next()
+        for _, texts in groups_of(batches, "cut_text"):
+            chunks.add(texts)
+            if chunks.full():
+                yield out()
+                chunks.next()
         yield out()
 
     return docs.select("cut_text").mapInArrow(run, "chunk long, bucket long, numbers binary, lengths binary, letters binary")
@@ -296,19 +350,15 @@ def chunk_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = Chunks(vocabulary(path))
-        for batch, texts in texts_of(batches, "cut_text"):
-            names, checks, lists = [], [], []
-            for t in texts:
-                numbers = np.fromiter(chunks.add(t), np.int32)
-                names.append(chunks.chunk)
-                checks.append(zlib.crc32(t.encode("utf-8", "surrogatepass")))
-                lists.append(packed(numbers))
-                if chunks.full():
-                    chunks.next()
+        for ids, texts in groups_of(batches, "cut_text"):
+            lists = [packed(x) for x in chunks.numbers_of(texts)]
+            checks = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), batch.column(0), pa.array(checks, pa.int64()), pa.array(lists, pa.binary())],
+                [pa.array(np.full(len(texts), chunks.chunk)), ids, pa.array(checks, pa.int64()), pa.array(lists, pa.binary())],
                 names=["chunk", "doc", "check", "words"],
             )
+            if chunks.full():
+                chunks.next()
 
     kind = docs.schema["doc"].dataType.simpleString()
     return docs.select("doc", "cut_text").mapInArrow(run, f"chunk long, doc {kind}, check long, words binary")

@@ -287,6 +287,30 @@ def test_jaccard_large_groups(spark):
     assert got == brute_components(rows)
 
 
+def test_groups_of_texts_do_not_hang_on_batches(monkeypatch):
+    """Both passes of the pieces cut their input alike, and a group's word numbers give its words back."""
+    known = pieces.vocabulary(MODEL)
+    texts = [*TEXTS, "", "one two", " led by space", "x" * 100, *(prose(i, 30) + ", and\nline" for i in range(40))]
+    texts = [t or "" for t in texts]
+
+    def cut(rows):
+        batches = [pa.RecordBatch.from_arrays([pa.array(range(i, min(i + rows, len(texts)))), pa.array(texts[i : i + rows])], names=["doc", "cut_text"]) for i in range(0, len(texts), rows)]
+        return [(ids.to_pylist(), held) for ids, held in pieces.groups_of(batches, "cut_text")]
+
+    monkeypatch.setattr(pieces, "GROUP_CHARS", 500)
+    groups = cut(7)
+    assert groups == cut(1) == cut(1000) and len(groups) > 5
+    assert [i for ids, _ in groups for i in ids] == list(range(len(texts))) and [t for _, held in groups for t in held] == texts
+    monkeypatch.setattr(pieces.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    first, second = pieces.Chunks(known), pieces.Chunks(known)
+    for _, held in groups:
+        first.add(held)
+        for text, numbers in zip(held, second.numbers_of(held), strict=True):
+            words = list(second.numbers)
+            assert [words[i] for i in numbers] == known.words(text)
+    assert list(first.numbers) == list(second.numbers)
+
+
 def test_sets_travel_only_for_pairs_that_bitmaps_leave(spark, monkeypatch):
     """Texts that share a passage and little else meet in lists; their tokens are written for no join."""
     shared, base = prose(98, 40), prose(97, 150)
