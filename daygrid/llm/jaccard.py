@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daygrid.llm.common import GOLDEN, bucket_of, mix64, parts, small_batches, texts_of, with_row_key
+from daygrid.llm.common import GOLDEN, bucket_of, give_back, giving_back, giving_back_at_end, mix64, parts, small_batches, texts_of, with_row_key
 from daygrid.llm.graph import components
 from daygrid.session import checked_broadcast, stable
 
@@ -92,6 +92,7 @@ def forgetting(run: Callable) -> Callable:
             yield from run(batches)
         finally:
             forget()
+            give_back()
 
     return wrapped
 
@@ -362,7 +363,7 @@ def within_bound(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     first = bitmaps.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("x"))
     second = bitmaps.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("y"))
     rows = pairs.join(second, "b").join(first, "a").select("a", "b", "n_a", "n_b", "x", "y")
-    return stable(rows.mapInArrow(run, "a long, b long"), "bounded_pairs")
+    return stable(rows.mapInArrow(giving_back_at_end(run), "a long, b long"), "bounded_pairs")
 
 
 def verified(pairs: DataFrame, bitmaps: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -384,7 +385,7 @@ def verified(pairs: DataFrame, bitmaps: DataFrame, docs: DataFrame, classes: Dat
     first = own.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("prints").alias("x"))
     second = own.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("prints").alias("y"))
     rows = pairs.join(second, "b").join(first, "a").select("a", "b", "n_a", "n_b", "x", "y")
-    return stable(rows.mapInArrow(run, "a long, b long, n_a long, n_b long, shared long").distinct(), "overlaps")
+    return stable(rows.mapInArrow(giving_back_at_end(run), "a long, b long, n_a long, n_b long, shared long").distinct(), "overlaps")
 
 
 def linking(overlaps: DataFrame) -> DataFrame:
@@ -476,7 +477,7 @@ def residual_pairs(members: DataFrame, overlaps: DataFrame, bitmaps: DataFrame)
         pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0)
         return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
 
-    found = dealt.groupBy("task").cogroup(bitmaps.groupBy("to_task")).applyInArrow(pair, "a long, b long")
+    found = dealt.groupBy("task").cogroup(bitmaps.groupBy("to_task")).applyInArrow(giving_back(pair), "a long, b long")
     return found.distinct().join(overlaps.select("a", "b"), ["a", "b"], "left_anti")
 
 
@@ -503,7 +504,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hot = np.sort(np.array(hot, np.int64).view(np.uint64))
 
     packed = prefix_lists(own, hot, parts(total["entries"] or 0, BUCKET_ENTRIES))
-    found = packed.groupBy("bucket").applyInArrow(pairs_of_bucket, "a long, b long, list long, key long, n long, left long")
+    found = packed.groupBy("bucket").applyInArrow(giving_back(pairs_of_bucket), "a long, b long, list long, key long, n long, left long")
     found = stable(found, "candidates")
     lists = found.filter("list IS NOT NULL").groupBy("list", "key").agg(F.max("n").alias("n"), F.max("left").alias("left"))
     lists = stable(lists, "lists")

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrid.llm.common import small_batches, texts_of
+from daygrid.llm.common import giving_back, giving_back_at_end, small_batches, texts_of
 
 MARK = "▁"
 CHUNK_CHARS = 20_000_000
@@ -320,6 +320,7 @@ def chunk_words(docs: DataFrame, path: str) -> DataFrame:
         chunks = Chunks(vocabulary(path))
 
         def out() -> pa.RecordBatch:
+            chunks.between_spaces.clear()  # the chunk ends here
             words = list(chunks.numbers)
             bucket = np.fromiter([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words], np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
@@ -342,7 +343,7 @@ def chunk_words(docs: DataFrame, path: str) -> DataFrame:
                 chunks.next()
         yield out()
 
-    return docs.select("cut_text").mapInArrow(run, "chunk long, bucket long, numbers binary, lengths binary, letters binary")
+    return docs.select("cut_text").mapInArrow(giving_back_at_end(run), "chunk long, bucket long, numbers binary, lengths binary, letters binary")
 
 
 def chunk_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -361,7 +362,7 @@ def chunk_documents(docs: DataFrame, path: str) -> DataFrame:
                 chunks.next()
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.select("doc", "cut_text").mapInArrow(run, f"chunk long, doc {kind}, check long, words binary")
+    return docs.select("doc", "cut_text").mapInArrow(giving_back_at_end(run), f"chunk long, doc {kind}, check long, words binary")
 
 
 def encoded_words(words: DataFrame, known: Vocabulary, spark: SparkSession, fold: str = "bpe", keys: tuple[str, ...] = ("word",)) -> DataFrame:
@@ -415,7 +416,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     # A chunk's name is its partition and, in 20 bits, its count there.
     group = F.expr(f"shiftright(chunk, 20) DIV {PARTITIONS_IN_GROUP}"), F.expr(f"(chunk & {(1 << 20) - 1}L) DIV {CHUNKS_IN_GROUP}")
     words = chunk_words(own, path).groupBy(group[0].alias("part"), group[1].alias("stretch"), "bucket")
-    encoded = words.applyInArrow(lambda rows: encoded_bucket(rows, path, fold), "chunk long, numbers binary, lengths binary, ids binary")
+    encoded = words.applyInArrow(giving_back(lambda rows: encoded_bucket(rows, path, fold)), "chunk long, numbers binary, lengths binary, ids binary")
     id_kind = docs.schema[id_col].dataType.simpleString()
 
     def join(words: pa.Table, rows: pa.Table) -> pa.Table:
@@ -446,7 +447,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     texts = chunk_documents(own, path)
     out = encoded.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(
-        join, f"doc {id_kind}, n_pieces long, ids array<int>, round_trip boolean"
+        giving_back(join), f"doc {id_kind}, n_pieces long, ids array<int>, round_trip boolean"
     )
     return out.withColumnRenamed("doc", id_col)
 

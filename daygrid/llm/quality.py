@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daygrid.llm.common import small_batches, texts_of
+from daygrid.llm.common import give_back, giving_back, giving_back_at_end, small_batches, texts_of
 
 BITS = 18
 TRAIN_ROWS = 10_000
@@ -100,7 +100,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, e
     weight = [np.sqrt(max(1, good) / max(1, len(rows) - good)), 1.0]
     for _ in range(epochs):
         for ids, x, y in rows:
-            zi, ni = z[ids], n[ids]
+            zi, ni, x = z[ids], n[ids], np.asarray(x, float)
             w = weights(zi, ni)
             g = weight[y] * (1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30))) - y) * x
             root = np.sqrt(ni + g * g)
@@ -137,13 +137,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         order = rows["label_id"].map(lambda i: zlib.crc32(str(i).encode(), 3))
         rows = rows.assign(order=order).sort_values(["order", "label_id", "ids"], kind="stable").drop_duplicates("label_id")
-        made = [(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32).astype(float), int(y)) for i, x, y in zip(rows["ids"], rows["x"], rows["y"], strict=True)]
+        made = [(np.frombuffer(i, np.int32), np.frombuffer(x, np.float32), int(y)) for i, x, y in zip(rows["ids"], rows["x"], rows["y"], strict=True)]
         return pd.DataFrame({"weights": [fit_ftrl(made).tobytes()]})
 
     picked = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("learned_text"))
     made = picked.join(F.broadcast(chosen), "label_id").select("label_id", "y", "learned_text")
     schema = T.StructType([*made.select("label_id", "y").schema, T.StructField("ids", T.BinaryType()), T.StructField("x", T.BinaryType())])
-    got = made.mapInArrow(featurize, schema).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fold, "weights binary").collect()
+    got = made.mapInArrow(giving_back_at_end(featurize), schema).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(giving_back(fold), "weights binary").collect()
     return np.frombuffer(got[0][0], np.float32) if got else np.zeros(1 << BITS, np.float32)
 
 
@@ -163,6 +163,7 @@ def quality_score(spark, weights: np.ndarray):
                 yield pd.Series(out, dtype="float64")
         finally:
             forget()
+            give_back()
 
     return score
 

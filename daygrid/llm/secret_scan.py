@@ -32,7 +32,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrid.llm.common import small_batches, texts_of, with_row_key
+from daygrid.llm.common import giving_back_at_end, small_batches, texts_of, with_row_key
 from daygrid.session import checked_broadcast, stable
 
 WORD_SHARE = 1e-4
@@ -181,7 +181,7 @@ def language_of(docs: DataFrame, text_col: str, share: float = WORD_SHARE) -> La
                 yield out()
         yield out()
 
-    counted = docs.select(F.col(text_col).alias("counted_text")).mapInArrow(count, "word string, pair int, n long")
+    counted = docs.select(F.col(text_col).alias("counted_text")).mapInArrow(giving_back_at_end(count), "word string, pair int, n long")
     counted = stable(counted, "word_counts")
     pairs = {r["pair"]: r["n"] for r in counted.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
     total = sum(n for pair, n in pairs.items() if pair < 27)  # pairs that begin a word
@@ -271,7 +271,7 @@ def find_secrets(
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("scanned_text")).mapInArrow(
-        scan, f"doc {kind}, first int, last int, value string, x array<double>"
+        giving_back_at_end(scan), f"doc {kind}, first int, last int, value string, x array<double>"
     )
     scored = model.transform(found.withColumn("features", array_to_vector("x")))
     return scored.withColumn("score", vector_to_array("probability").getItem(1)).filter(F.col("score") >= threshold).select(

@@ -4,6 +4,9 @@ import hashlib
 import importlib
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -667,3 +670,43 @@ def test_tasks_give_their_word_hashes_back(spark):
     own = texts.selectExpr("1L AS doc", "text AS shingled_text")
     assert own.mapInArrow(jaccard.forgetting(jaccard._sets_and_hot), "doc long, n long, key long, tokens array<long>, counts array<long>").count() > 300
     assert all(r["kept"] == 0 for r in texts.repartition(4).mapInArrow(kept, "kept long").collect())
+
+
+MEMORY_OF_A_WORKER = """
+import re
+import subprocess
+import sys
+from pathlib import Path
+from functools import partial
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+
+from daygrid.llm import jaccard
+
+
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+
+def batches(n):
+    for k in range(n):
+        words = np.random.default_rng(k).integers(0, 60_000, (1500, 500)).astype(str)
+        yield pa.record_batch({"doc": pa.array(range(1500)), "shingled_text": pa.array([" ".join(w) for w in words])})
+
+
+sets = jaccard.forgetting(partial(jaccard._sets_and_hot, with_bitmaps=True))
+for _ in sets(batches(1)):
+    pass
+before = held()
+for _ in sets(batches(10)):
+    pass
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory can't be read here")
+def test_a_task_gives_its_memory_back():
+    run = subprocess.run([sys.executable, "-c", MEMORY_OF_A_WORKER], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True, timeout=300)
+    assert float(run.stdout) < 8
